@@ -47,8 +47,26 @@ def zscore(value: Column, mean: Column, stddev: Column, zero_undefined: bool = F
     return F.coalesce(z, F.lit(0.0)) if zero_undefined else z
 
 
+def round_exact(value: Column, digits: int) -> Column:
+    """Rounds the binary value, exact halves to even.
+
+    ``round`` works on the printed decimal and moves every 'x.xx5' up. Where values come in such
+    steps the difference shows, so the product with 10^digits is taken with its rounding error.
+    """
+    scale = float(10 ** digits)
+    scaled = value * scale
+    big = value * 134217729.0  # 2^27 + 1 splits a double in two exact halves
+    high = big - (big - value)
+    error = (high * scale - scaled) + (value - high) * scale
+    low = F.floor(scaled).cast("double")
+    up = F.when(error != 0, error > 0).otherwise(low % 2 != 0)
+    whole = (F.when(scaled - low > 0.5, low + 1).when(scaled - low < 0.5, low)
+             .when(up, low + 1).otherwise(low))
+    return whole / scale
+
+
 def age_hours(ts: Column, as_of: Column) -> Column:
-    return F.round((F.unix_micros(as_of) - F.unix_micros(ts)) / F.lit(3.6e9), 2)
+    return round_exact((F.unix_micros(as_of) - F.unix_micros(ts)) / F.lit(3.6e9), 2)
 
 
 def forward_return_pct(entry: Column, current: Column) -> Column:
@@ -74,7 +92,7 @@ def synthetic_price(ticker: Column, day: Column) -> Column:
 
     base = F.lit(40) + hex_at(1, 6) % 360
     drift = (hex_at(7, 4) % 900 - 450) / F.lit(1000.0)
-    return F.round(F.greatest(F.lit(5.0), base * (1 + drift / 10)), 2)
+    return round_exact(F.greatest(F.lit(5.0), base * (1 + drift / 10)), 2)
 
 
 def epoch_seconds(day: Column) -> Column:

@@ -106,12 +106,12 @@ def _score_texts(model: Model, texts: list[str]) -> list:
         for i, output in zip(usable, outputs):
             results[i] = list(output)
     except Exception as error:  # any model error: fall back to one text at a time
-        logger.warning("batch scoring failed, scoring rows one by one: %s", error)
+        logger.info("batch scoring failed, scoring rows one by one: %s", error)
         for i in usable:
             try:
                 results[i] = list(model([texts[i]])[0]) or None
             except Exception as row_error:
-                logger.warning("dropping a headline that cannot be scored: %s", row_error)
+                logger.info("dropping a headline that cannot be scored: %s", row_error)
     return results
 
 
