@@ -201,7 +201,7 @@ def provider_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = l.select(
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("ticker"),
         F.col("l_shipdate").cast("date").alias("quote_date"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("close_price_usd"),
+        (F.col("l_extendedprice") / (F.col("l_quantity") + 0.37)).alias("close_price_usd"),
         F.when(F.col("l_returnflag") == "A", "polygon").when(F.col("l_returnflag") == "N", "yahoo_chart")
         .otherwise("synthetic").alias("data_source"),
         F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"))
@@ -210,7 +210,7 @@ def provider_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUOTES = """line_quotes AS (
-  SELECT 'P' || l_partkey AS ticker, CAST(l_shipdate AS DATE) AS quote_date, l_extendedprice / l_quantity AS close_price_usd,
+  SELECT 'P' || l_partkey AS ticker, CAST(l_shipdate AS DATE) AS quote_date, l_extendedprice / (l_quantity + 0.37) AS close_price_usd,
     CASE l_returnflag WHEN 'A' THEN 'polygon' WHEN 'N' THEN 'yahoo_chart' ELSE 'synthetic' END AS data_source,
     l_orderkey AS order_key, l_linenumber AS line FROM lineitem),
 provider_quotes AS (
@@ -291,19 +291,20 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    price = F.col("l_extendedprice") / (F.col("l_quantity") + 0.37)
     return l.join(o, l.l_orderkey == o.o_orderkey).select(
         F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("run_name"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("ticker"),
         F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
-        F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price_cad"),
-        F.col("l_extendedprice").alias("gross_cad"), F.col("o_orderdate").cast("timestamp").alias("traded_at_utc"))
+        F.col("l_quantity").alias("quantity"), price.alias("price_cad"),
+        (F.col("l_quantity") * price).alias("gross_cad"), F.col("o_orderdate").cast("timestamp").alias("traded_at_utc"))
 
 
 RUNS = """runs AS (SELECT 'C' || c_custkey AS run_name, 50000.0 AS starting_cash_cad, c_acctbal + 2000.0 AS cash_cad FROM customer)"""
 TRADES = """trades AS (
   SELECT 'C' || o_custkey AS run_name, 'P' || l_partkey AS ticker,
     CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS quantity,
-    l_extendedprice / l_quantity AS price_cad, l_extendedprice AS gross_cad, o_orderdate AS traded_at_utc
+    l_extendedprice / (l_quantity + 0.37) AS price_cad, l_quantity * (l_extendedprice / (l_quantity + 0.37)) AS gross_cad, o_orderdate AS traded_at_utc
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 POSITIONS = """positions AS (
   SELECT *, quantity * last_price_cad AS market_value_cad,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +47,11 @@ def zscore(value: Column, mean: Column, stddev: Column, zero_undefined: bool = F
     return F.coalesce(z, F.lit(0.0)) if zero_undefined else z
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates ``value`` once and hands it to ``body``, so a long formula is not repeated."""
+    return F.transform(F.array(value), body)[0]
+
+
 def round_exact(value: Column, digits: int) -> Column:
     """Rounds the binary value, exact halves to even.
 
@@ -54,15 +59,20 @@ def round_exact(value: Column, digits: int) -> Column:
     steps the difference shows, so the product with 10^digits is taken with its rounding error.
     """
     scale = float(10 ** digits)
-    scaled = value * scale
-    big = value * 134217729.0  # 2^27 + 1 splits a double in two exact halves
-    high = big - (big - value)
-    error = (high * scale - scaled) + (value - high) * scale
-    low = F.floor(scaled).cast("double")
-    up = F.when(error != 0, error > 0).otherwise(low % 2 != 0)
-    whole = (F.when(scaled - low > 0.5, low + 1).when(scaled - low < 0.5, low)
-             .when(up, low + 1).otherwise(low))
-    return whole / scale
+
+    def parts(v: Column) -> Column:
+        big = v * 134217729.0  # 2^27 + 1 splits a double in two exact halves
+        high = big - (big - v)
+        scaled = v * scale
+        return F.struct(scaled.alias("scaled"), F.floor(scaled).cast("double").alias("low"),
+                        ((high * scale - scaled) + (v - high) * scale).alias("error"))
+
+    def whole(p: Column) -> Column:
+        low, rest = p["low"], p["scaled"] - p["low"]
+        up = F.when(p["error"] != 0, p["error"] > 0).otherwise(low % 2 != 0)
+        return F.when((rest > 0.5) | ((rest == 0.5) & up), low + 1).otherwise(low) / scale
+
+    return let(value, lambda v: let(parts(v), whole))
 
 
 def age_hours(ts: Column, as_of: Column) -> Column:
@@ -85,14 +95,15 @@ def evaluation_status(as_of: Column, start: Column, horizon: Column) -> Column:
 
 def synthetic_price(ticker: Column, day: Column) -> Column:
     """Deterministic fallback close from the digest of 'ticker:date'."""
-    digest = F.sha2(F.concat_ws(":", ticker, day.cast("string")), 256)
+    def price(digest: Column) -> Column:
+        def hex_at(start: int, length: int) -> Column:
+            return F.conv(F.substring(digest, start, length), 16, 10).cast("bigint")
 
-    def hex_at(start: int, length: int) -> Column:
-        return F.conv(F.substring(digest, start, length), 16, 10).cast("bigint")
+        base = F.lit(40) + hex_at(1, 6) % 360
+        drift = (hex_at(7, 4) % 900 - 450) / F.lit(1000.0)
+        return F.greatest(F.lit(5.0), base * (1 + drift / 10))
 
-    base = F.lit(40) + hex_at(1, 6) % 360
-    drift = (hex_at(7, 4) % 900 - 450) / F.lit(1000.0)
-    return round_exact(F.greatest(F.lit(5.0), base * (1 + drift / 10)), 2)
+    return round_exact(let(F.sha2(F.concat_ws(":", ticker, day.cast("string")), 256), price), 2)
 
 
 def epoch_seconds(day: Column) -> Column:

@@ -51,7 +51,7 @@ def evaluate_insights(insights: DataFrame, quotes: DataFrame, as_of: date,
         direction_correct(F.col("signal_label"), raw_move).cast("int").alias("direction_correct"),
         (~F.array_contains(sources, "synthetic")).cast("int").alias("is_real_market_data"),
         evaluation_status(today, F.col("insight_date"), F.col("horizon_days")).alias("evaluation_status"),
-        F.array_join(F.array_sort(F.array_distinct(sources)), ",").alias("data_source"))
+        F.array_join(F.sort_array(F.array_distinct(sources)), ",").alias("data_source"))
 
 
 def _real(value: Column) -> Column:

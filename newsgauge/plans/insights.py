@@ -109,7 +109,7 @@ def category_mix(cells: DataFrame) -> DataFrame:
     """'category:count/total' by category. One entry per distinct category is collected."""
     per_category = cells.groupBy(*KEYS, "category").agg(F.sum("n").alias("n"))
     listed = per_category.groupBy(*KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("category", "n"))).alias("_mix"), F.sum("n").alias("_all"))
+        F.sort_array(F.collect_list(F.struct("category", "n"))).alias("_mix"), F.sum("n").alias("_all"))
     entry = F.transform("_mix", lambda e: F.concat(
         e["category"], F.lit(":"), e["n"].cast("string"), F.lit("/"), F.col("_all").cast("string")))
     return listed.select(*KEYS, F.array_join(entry, ", ").alias("category_mix"))
@@ -131,7 +131,7 @@ def _evidence(rows: DataFrame, expand, k: int) -> DataFrame:
     narrow = rows.select("ticker", "_slot", "published_at_utc", "content_hash")
     newest = first_rows(expand(first_rows(narrow, ["ticker", "_slot"], order, k)), KEYS, order, k, "_pos")
     listed = newest.groupBy(*KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "content_hash"))).alias("_list"))
+        F.sort_array(F.collect_list(F.struct("_pos", "content_hash"))).alias("_list"))
     return listed.select(*KEYS, F.transform("_list", lambda e: e["content_hash"]).alias("source_headline_hashes"))
 
 

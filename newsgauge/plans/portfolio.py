@@ -174,7 +174,7 @@ def portfolio_snapshot(runs: DataFrame, positions: DataFrame, day: date | Column
 
 def combined_sources(rows: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """Sorted distinct sources joined by ','; 'none' when there are none."""
-    text = F.array_join(F.array_sort(F.collect_set("data_source")), ",")
+    text = F.array_join(F.sort_array(F.collect_set("data_source")), ",")
     return rows.groupBy(*keys).agg(F.coalesce(F.nullif(text, F.lit("")), F.lit("none")).alias("data_source"))
 
 
@@ -185,7 +185,7 @@ def run_sources(runs: DataFrame, positions: DataFrame, latest: DataFrame, quotes
               .agg(F.collect_set("data_source").alias("_set")))
     own = (positions.select("run_name", "ticker").join(quotes, "ticker")
            .groupBy("run_name").agg(F.collect_set("data_source").alias("_own")))
-    both = runs.join(own, "run_name", "left").withColumn("_all", F.array_sort(F.array_union(
+    both = runs.join(own, "run_name", "left").withColumn("_all", F.sort_array(F.array_union(
         F.coalesce("_own", F.array().cast("array<string>")), shared.scalar())))
     text = F.nullif(F.array_join("_all", ","), F.lit(""))
     return both.withColumn("data_source", F.coalesce(text, F.lit("none"))).drop("_own", "_all")
