@@ -195,11 +195,13 @@ def rebalance(runs: DataFrame, positions: DataFrame, insights: DataFrame, quotes
               day: date, opts: PortfolioOptions = PortfolioOptions()) -> dict[str, DataFrame]:
     """One trading day for every run -> trades, positions, runs (new cash) and snapshots.
 
-    ``quotes`` has one row per ticker, synthetic ones included.
+    ``quotes`` has one row per ticker, synthetic ones included. What several outputs share is
+    written once to the shared folder instead of being computed again for each of them.
     """
     rate = opts.usd_to_cad_rate
-    latest = latest_insight_per_ticker(insights)
-    marked = mark_to_market(positions, quotes, rate)
+    latest = durable(latest_insight_per_ticker(insights))
+    quotes = durable(quotes)
+    marked = durable(mark_to_market(positions, quotes, rate))
     sells = sell_orders(marked, latest, quotes, rate)
     kept = marked.join(sells.select("run_name", "ticker"), ["run_name", "ticker"], "left_anti")
 
@@ -212,7 +214,7 @@ def rebalance(runs: DataFrame, positions: DataFrame, insights: DataFrame, quotes
     share = max(0.0, min(1.0, 1 - opts.cash_reserve_pct))
     funds = funds.select("run_name", "cash_cad", (
         (F.col("cash_cad") + F.coalesce("_value", zero)) * share).alias("investable_cad"))
-    buys = buy_orders(funds, target_allocation(latest, opts), kept, quotes, opts)
+    buys = durable(buy_orders(funds, target_allocation(latest, opts), kept, quotes, opts))
 
     spent = buys.groupBy("run_name").agg(F.sum("gross_cad").alias("_spent"))
     new_runs = (runs.drop("cash_cad").join(funds.select("run_name", "cash_cad"), "run_name")
@@ -221,7 +223,7 @@ def rebalance(runs: DataFrame, positions: DataFrame, insights: DataFrame, quotes
     new_positions = apply_orders(kept, buys)
     snapshots = portfolio_snapshot(run_sources(new_runs, positions, latest, quotes), new_positions, day)
     return {"trades": sells.unionByName(buys).select(*TRADE_COLUMNS), "positions": new_positions,
-            "runs": new_runs, "snapshots": snapshots}
+            "runs": new_runs, "snapshots": snapshots, "quotes": quotes}
 
 
 def backtest(runs: DataFrame, insights: DataFrame, quotes: DataFrame, days: Iterable[date],
@@ -234,10 +236,10 @@ def backtest(runs: DataFrame, insights: DataFrame, quotes: DataFrame, days: Iter
         f"{c} {'string' if c in ('run_name', 'ticker') else 'double'}" for c in POSITION_COLUMNS))
     trades, snapshots = [], []
     for day in days:
-        known = durable(latest_insight_per_ticker(insights.where(F.col("insight_date") <= F.lit(day))))
+        known = latest_insight_per_ticker(insights.where(F.col("insight_date") <= F.lit(day)))
         asked = (known.select("ticker").union(positions.select("ticker")).distinct()
                  .withColumn("as_of", F.lit(day)))
-        today = durable(resolve(asked, quotes).drop("as_of"))
+        today = resolve(asked, quotes).drop("as_of")
         step = rebalance(runs, positions, known, today, day, opts)
         trades.append(durable(step["trades"].withColumn("trade_date", F.lit(day))))
         new_positions, new_runs = durable(step["positions"]), durable(step["runs"])
