@@ -15,26 +15,37 @@ WORD_BREAK = r"[^\p{L}\p{N}_]+"
 _PLAIN_WORD = re.compile(r"\w+\Z")
 
 
-def term_score(text: Column, terms: dict[str, float]) -> Column:
-    """Weighted hits in folded text: words count each time, phrases once when contained.
+def _plain_words(terms: dict[str, float]) -> dict[str, float]:
+    return {t: w for t, w in terms.items() if " " not in t and _PLAIN_WORD.match(t)}
+
 
-    The text is split once, the tokens are cut to lexicon words by a hash-set test, and only
-    the few that remain are looked up. That is one pass however long the lexicon is.
+def word_hits(text: Column, *lexicons: dict[str, float]) -> Column:
+    """Tokens of folded text that are single words of any of the lexicons, in text order.
+
+    The text is split once and the tokens are cut to lexicon words by a hash-set test, so the
+    cost does not grow with the lexicon and only few tokens are looked up later.
     """
-    phrases = {t: w for t, w in terms.items() if " " in t}
-    words = {t: w for t, w in terms.items() if t not in phrases and _PLAIN_WORD.match(t)}
-    others = {t: w for t, w in terms.items() if t not in phrases and t not in words}
+    words = sorted({w for terms in lexicons for w in _plain_words(terms)})
+    return F.filter(F.split(text, WORD_BREAK), lambda token: token.isin(words))
+
 
+def term_score(text: Column, terms: dict[str, float], hits: Column | None = None) -> Column:
+    """Weighted hits in folded text: words count each time, phrases once when contained.
+
+    ``hits`` may be the tokens of several lexicons; words of the others weigh nothing here.
+    """
+    words = _plain_words(terms)
     score = F.lit(0.0)
     if words:
         weights = F.create_map(*[F.lit(v) for pair in words.items() for v in pair])
-        hits = F.filter(F.split(text, WORD_BREAK), lambda token: token.isin(list(words)))
-        score = score + F.aggregate(hits, F.lit(0.0), lambda acc, token: acc + weights[token])
-    for phrase, weight in phrases.items():
-        score = score + F.when(F.contains(text, F.lit(phrase)), F.lit(weight)).otherwise(F.lit(0.0))
-    for term, weight in others.items():  # terms with punctuation keep the boundary regex
-        pattern = rf"(?U)\b{re.escape(term)}\b"
-        score = score + F.regexp_count(text, F.lit(pattern)) * F.lit(weight)
+        found = hits if hits is not None else word_hits(text, terms)
+        score = score + F.aggregate(found, F.lit(0.0), lambda acc, token: acc + F.coalesce(
+            F.try_element_at(weights, token), F.lit(0.0)))
+    for term, weight in terms.items():
+        if " " in term:
+            score = score + F.when(F.contains(text, F.lit(term)), F.lit(weight)).otherwise(F.lit(0.0))
+        elif term not in words:  # terms with punctuation keep the boundary regex
+            score = score + F.regexp_count(text, F.lit(rf"(?U)\b{re.escape(term)}\b")) * F.lit(weight)
     return score
 
 
@@ -42,10 +53,10 @@ def with_lexicon_scores(df: DataFrame, text: Column,
                         positive: dict[str, float] = fixed.POSITIVE_TERMS,
                         negative: dict[str, float] = fixed.NEGATIVE_TERMS) -> DataFrame:
     """Adds label, three scores, compound and confidence. Blank texts are dropped."""
-    folded = collapse(casefold(text))
-    scored = (df.withColumn("_text", folded).where(F.col("_text") != "")
-              .withColumns({"_p": term_score(F.col("_text"), positive),
-                            "_n": term_score(F.col("_text"), negative)}))
+    scored = (df.where(text.rlike(r"(?U)\S")).withColumn("_text", collapse(casefold(text)))
+              .withColumn("_hits", word_hits(F.col("_text"), positive, negative))
+              .withColumns({"_p": term_score(F.col("_text"), positive, F.col("_hits")),
+                            "_n": term_score(F.col("_text"), negative, F.col("_hits"))}))
     raw = clamp((F.col("_p") - F.col("_n")) / (F.col("_p") + F.col("_n") + 1.0), -1, 1)
     scored = scored.withColumn("_c", raw)
     scored = scored.withColumns({
@@ -63,7 +74,7 @@ def with_lexicon_scores(df: DataFrame, text: Column,
         "negative_score": F.round("_np", 6),
         "compound_score": F.round(F.col("_pp") - F.col("_np"), 6),
         "confidence": F.round(F.greatest("_pp", "_up", "_np"), 6),
-    }).drop("_text", "_p", "_n", "_c", "_pp", "_up", "_np")
+    }).drop("_text", "_hits", "_p", "_n", "_c", "_pp", "_up", "_np")
 
 
 def first_best(positive: Column, neutral: Column, negative: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsgauge.functions import fixed_values as fixed
+from newsgauge.functions.numbers import let
 
 
 def collapse(value: Column) -> Column:
@@ -97,11 +98,9 @@ def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
 def policy_impact(text: Column,
                   supportive: Sequence[str] = fixed.SUPPORTIVE_POLICY_WORDS,
                   restrictive: Sequence[str] = fixed.RESTRICTIVE_POLICY_WORDS) -> Column:
-    folded = casefold(text)
-    plus, minus = keyword_hits(folded, supportive), keyword_hits(folded, restrictive)
-    return (F.when(plus > minus, F.lit("supportive"))
-            .when(minus > plus, F.lit("restrictive"))
-            .otherwise(F.lit("mixed_or_unclear")))
+    lead = let(casefold(text), lambda t: keyword_hits(t, supportive) - keyword_hits(t, restrictive))
+    return let(lead, lambda n: F.when(n > 0, F.lit("supportive")).when(n < 0, F.lit("restrictive"))
+               .otherwise(F.lit("mixed_or_unclear")))
 
 
 def policy_summary(title: Column, summary: Column, topic: Column, industry: Column) -> Column:

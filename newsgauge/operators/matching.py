@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsgauge.functions import fixed_values as fixed
+from newsgauge.functions.numbers import let
 from newsgauge.functions.text import casefold, policy_summary
 
 LITERAL_NAMES = 2_000     # company names tested as plan literals; more go through the gram join
@@ -65,18 +66,23 @@ def phrase_matches(items: DataFrame, names: DataFrame, item_keys: Sequence[str],
             return items.select(*item_keys, F.lit(None).cast("string").alias("ticker")).limit(0)
         table = F.array(*[F.struct(F.lit(r["ticker"]).alias("ticker"), F.lit(r["name"]).alias("name"))
                           for r in sample])
-        hits = F.transform(F.filter(table, lambda e: F.contains(F.col("_folded"), e["name"])),
-                           lambda e: e["ticker"])
-        return (items.withColumn("_folded", folded)
-                .select(*item_keys, F.explode(F.array_distinct(hits)).alias("ticker")).distinct())
-
-    def grams_at(size: int) -> Column:
-        # Sizes below the gram length serve names shorter than it.
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("_folded") - size + 1, F.lit(1))),
-                           lambda i: F.substr(F.col("_folded"), i, F.lit(size)))
-
-    keyed = items.withColumn("_folded", folded)
-    grams = F.array_distinct(F.concat(*[grams_at(s) for s in range(1, GRAM + 1)]))
+        # The folded text is bound once; each name is then one contains test on it.
+        hits = let(folded, lambda t: F.filter(table, lambda e: F.contains(t, e["name"])))
+        tickers = F.array_distinct(F.transform(hits, lambda e: e["ticker"]))
+        return items.select(*item_keys, F.explode(tickers).alias("ticker")).distinct()
+
+    def shifted(n: int) -> Column:
+        return F.slice("_chars", n + 1, 2_000_000_000)
+
+    # A name is looked up by its first GRAM letters; shorter names need the shorter grams as well.
+    size = F.least(F.length("name"), F.lit(GRAM))
+    sizes = {r["size"] for r in tidy.select(size.alias("size")).distinct().collect()}
+    keyed = (items.withColumn("_folded", folded).where(F.col("_folded") != "")
+             .withColumn("_chars", F.split("_folded", ""))
+             .withColumn("_two", F.zip_with("_chars", shifted(1), lambda a, b: F.concat(a, b)))
+             .withColumn("_three", F.zip_with("_two", shifted(2), lambda a, b: F.concat(a, b))))
+    parts = [name for n, name in ((1, "_chars"), (2, "_two"), (GRAM, "_three")) if n in sizes]
+    grams = F.array_compact(F.array_distinct(F.concat(*parts)))
     seen = keyed.select(*item_keys, "_folded", F.explode(grams).alias("_gram"))
     wanted = tidy.withColumn("_gram", F.substring("name", 1, GRAM))
     return (seen.join(wanted, "_gram").where(F.contains(F.col("_folded"), F.col("name")))
@@ -116,17 +122,12 @@ def topic_dimension(spark: SparkSession,
 def matching_topics(text: Column, topics: Iterable[tuple[str, str, Sequence[str]]] = fixed.POLICY_TOPICS,
                     industry_tickers: dict[str, list[str]] = fixed.INDUSTRY_TICKERS) -> Column:
     """array<struct<topic, industry, tickers>> of the topics with any keyword in the text."""
-    folded = casefold(text)
-    entries = []
-    for topic, industry, keywords in topics:
-        hit = F.lit(False)
-        for keyword in keywords:
-            hit = hit | F.contains(folded, F.lit(keyword.lower()))
-        tickers = industry_tickers.get(industry, [])
-        entry = F.struct(F.lit(topic).alias("topic"), F.lit(industry).alias("industry"),
-                         F.array(*[F.lit(t) for t in tickers]).cast("array<string>").alias("tickers"))
-        entries.append(F.when(hit, entry))
-    return F.filter(F.array(*entries), lambda e: e.isNotNull())
+    entries = [F.struct(
+        F.lit(topic).alias("topic"), F.lit(industry).alias("industry"),
+        F.array(*[F.lit(t) for t in industry_tickers.get(industry, [])]).cast("array<string>").alias("tickers"),
+        F.array(*[F.lit(k.lower()) for k in keywords]).alias("keywords")) for topic, industry, keywords in topics]
+    return let(casefold(text), lambda t: F.filter(
+        F.array(*entries), lambda e: F.exists(e["keywords"], lambda k: F.contains(t, k))))
 
 
 def fan_out_topics(items: DataFrame, selected: DataFrame, topics=fixed.POLICY_TOPICS,

@@ -160,8 +160,8 @@ class Tables:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return jvm.org.apache.hadoop.fs.Path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
-    def _versions(self, name: str) -> list[int]:
-        """Finished versions only: a folder counts once its job has committed."""
+    def _versions(self, name: str, finished: bool = True) -> list[int]:
+        """Version numbers; a version is finished once its job has committed."""
         if name not in self.allowed:
             raise ValueError(f"table {name!r} is not one of {sorted(self.allowed)}")
         path, files = self._files()
@@ -170,7 +170,7 @@ class Tables:
             return []
         found = [s.getPath().getName() for s in files.listStatus(folder)]
         return sorted(int(v[1:]) for v in found if v.startswith("v") and v[1:].isdigit()
-                      and files.exists(path(f"{self.root}/{name}/{v}/_SUCCESS")))
+                      and (not finished or files.exists(path(f"{self.root}/{name}/{v}/_SUCCESS"))))
 
     def path(self, name: str) -> str | None:
         versions = self._versions(name)
@@ -190,10 +190,10 @@ class Tables:
         return df.withColumn("published_day", F.col(stamp).cast("date")), ["published_day"]
 
     def replace(self, name: str, df: DataFrame) -> None:
-        versions = self._versions(name)
+        taken = self._versions(name, finished=False)
         rows, partitions = self._prepared(name, df)
-        target = f"{self.root}/{name}/v{versions[-1] + 1 if versions else 1}"
-        rows.write.mode("overwrite").partitionBy(*partitions).parquet(target)
+        target = f"{self.root}/{name}/v{taken[-1] + 1 if taken else 1}"
+        rows.write.mode("error").partitionBy(*partitions).parquet(target)
 
     def append(self, name: str, df: DataFrame) -> None:
         path = self.path(name)
