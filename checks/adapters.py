@@ -166,7 +166,7 @@ RAW_DOCS = r"""raw_docs AS (
   FROM documents)"""
 
 # White space as both engines are told to see it.
-_CLEAN = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x0b\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+_CLEAN = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
 
 
 def sql_clean(column: str) -> str:

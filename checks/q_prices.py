@@ -12,6 +12,7 @@ from checks.registry import register
 from newsgauge.functions import numbers
 from newsgauge.operators import asof
 from newsgauge.plans import evaluation, reports
+from newsgauge.session import durable
 
 PROVIDERS = ("polygon", "yahoo_chart")
 RESOLVE = partial(asof.resolve_quotes, provider_order=PROVIDERS, synthetic_only=("P7", "P11"))
@@ -188,7 +189,7 @@ SELECT 'overall' AS segment, {_SEGMENT}
 UNION ALL SELECT 'signal:' || signal_label, {_SEGMENT} GROUP BY signal_label
 UNION ALL SELECT 'recommendation:' || recommendation, {_SEGMENT} WHERE recommendation IS NOT NULL GROUP BY recommendation""", EVAL_CTES)
 def _(spark, d):
-    return evaluation.performance_summary(evaluations(spark, d))
+    return evaluation.performance_summary(durable(evaluations(spark, d)))
 
 
 @register("t10_first_segments_of_report", "segment evaluated_insights:i", f"""
@@ -197,7 +198,7 @@ SELECT * FROM (SELECT 0 AS g, 'overall' AS segment, {_SEGMENT}
   UNION ALL SELECT 2, 'recommendation:' || recommendation, {_SEGMENT} WHERE recommendation IS NOT NULL GROUP BY recommendation)
 ORDER BY g, segment LIMIT 6""", EVAL_CTES)
 def _(spark, d):
-    return reports.segment_table(evaluations(spark, d), 6)
+    return reports.segment_table(durable(evaluations(spark, d)), 6)
 
 
 @register("a09_evaluation_run_summary",

@@ -12,6 +12,7 @@ from checks.q_prices import EVAL_CTES, evaluations
 from checks.registry import register
 from newsgauge.options import LOCAL
 from newsgauge.plans import health, insights, marts, reports
+from newsgauge.session import durable
 from newsgauge.sources import tables
 
 LATEST = """latest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY published_at_utc DESC, content_hash) = 1)"""
@@ -150,7 +151,7 @@ LEFT JOIN (SELECT ticker, avg(direction_correct) * 100 AS win, avg(direction_cor
 def _(spark, d):
     listed = a.table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("ticker"))
     return reports.portfolio_tickers(listed, a.positions(spark, d), a.trades(spark, d), marts.daily_sentiment(a.scored(spark, d)),
-                                     evaluations(spark, d), _watch(spark, d))
+                                     durable(evaluations(spark, d)), _watch(spark, d))
 
 
 SNAPSHOTS = """snapshots AS (

@@ -1,9 +1,10 @@
 """Mean of the newer half minus mean of the older half of each group, in time order.
 
 A plain ``row_number`` would sort a whole group in one task. Here each group is first counted
-per minute, which bounds the window by the length of the period and not by the data. Only the
-minute that holds the midpoint is opened further: first by (timestamp, tie prefix), and then row
-by row inside the one small cell that the midpoint cuts. Nothing is sampled; the split is exact.
+per minute, which bounds the window by the length of the period and not by the data. Running
+totals find the one minute that holds the midpoint; everything before it is already summed. Only
+a minute that the midpoint cuts is opened: first by (timestamp, tie prefix), then row by row inside
+the one small cell that is cut. Nothing is sampled; the split is exact.
 """
 
 from __future__ import annotations
@@ -15,75 +16,76 @@ from pyspark.sql import functions as F
 
 Expand = Callable[[DataFrame], DataFrame]
 
+# What is known of a group once its midpoint is located: totals and the older part so far.
+KNOWN = ["n_all", "sum_all", "count_all", "older_sum", "older_count", "need"]
 
-def _split_cells(cells: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """cells(keys, order, n, total, need) -> adds n_before: rows ordered ahead of the cell."""
+
+def _midpoint(bins: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The one bin per group that holds the last older row.
+
+    bins: (keys, order, n, total, n_value, KNOWN). ``need`` becomes how many rows of the returned
+    bin are older; a bin taken whole is already added to the older part.
+    """
     ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return cells.withColumn("n_before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    before = {name: F.coalesce(F.sum(name).over(ahead), F.lit(0)) for name in ("n", "total", "n_value")}
+    placed = bins.withColumns({f"{name}_before": c for name, c in before.items()})
+    found = placed.where((F.col("n_before") < F.col("need")) & (F.col("need") <= F.col("n_before") + F.col("n")))
+    rest = F.col("need") - F.col("n_before")
+    found = found.withColumn("cut", rest < F.col("n"))
+    whole = F.when(F.col("cut"), F.lit(0)).otherwise(F.lit(1))
+    return found.withColumns({
+        "older_sum": F.col("older_sum") + F.col("total_before") + F.coalesce("total", F.lit(0.0)) * whole,
+        "older_count": F.col("older_count") + F.col("n_value_before") + F.col("n_value") * whole,
+        "need": rest})
 
 
 def half_split_momentum(rows: DataFrame, group: Sequence[str], ts: str, tie: str, value: str,
                         keys: Sequence[str] | None = None, expand: Expand | None = None) -> DataFrame:
     """-> (keys, momentum), clamped to [-1, 1]; groups of one row give 0.0.
 
-    ``group`` are the columns of ``rows`` to count by. ``expand`` may fan the counted cells out
-    to ``keys`` (sliding frames): cells are repeated then, never the rows themselves, except for
-    the rows of the minutes that hold a midpoint.
+    ``group`` are the columns of ``rows`` to count by. ``expand`` may fan the counted minutes out
+    to ``keys`` (sliding frames): counts are repeated then, never the rows themselves, except for
+    the rows of the minutes that a midpoint cuts.
     """
     keys = list(keys or group)
-    expand = expand or (lambda df: df)
     narrow = rows.select(
         *group, F.date_trunc("minute", ts).alias("_minute"), F.col(ts).alias("_ts"),
         F.coalesce(F.col(tie), F.lit("")).alias("_tie"), F.col(value).alias("_value"))
+    measures = [F.count(F.lit(1)).alias("n"), F.sum("_value").alias("total"), F.count("_value").alias("n_value")]
 
-    minutes = expand(narrow.groupBy(*group, "_minute")
-                     .agg(F.count(F.lit(1)).alias("n"), F.sum("_value").alias("total"),
-                          F.count("_value").alias("n_value")))
+    minutes = narrow.groupBy(*group, "_minute").agg(*measures)
+    if expand is not None:
+        minutes = expand(minutes)
     whole = Window.partitionBy(*keys)
-    minutes = minutes.withColumn("n_all", F.sum("n").over(whole))
+    minutes = minutes.withColumns({
+        "n_all": F.sum("n").over(whole), "sum_all": F.sum("total").over(whole),
+        "count_all": F.sum("n_value").over(whole), "older_sum": F.lit(0.0), "older_count": F.lit(0).cast("bigint")})
     minutes = minutes.withColumn("need", F.greatest(F.lit(1), F.floor(F.col("n_all") / 2)))
-    minutes = _split_cells(minutes, keys, ["_minute"])
-    taken = F.col("n_before") + F.col("n") <= F.col("need")
-    cut = (F.col("n_before") < F.col("need")) & ~taken
-
-    summary = minutes.groupBy(*keys).agg(
-        F.max("n_all").alias("n_all"), F.sum("total").alias("sum_all"),
-        F.sum("n_value").alias("count_all"),
-        F.sum(F.when(taken, F.col("total"))).alias("sum_1"),
-        F.sum(F.when(taken, F.col("n_value"))).alias("count_1"))
-
-    # Rows of the cut minutes, with how many of them still belong to the older half.
-    cut_minutes = minutes.where(cut).select(
-        *keys, *[g for g in group if g not in keys], "_minute",
-        (F.col("need") - F.col("n_before")).alias("need"))
-    opened = narrow.join(cut_minutes, [*group, "_minute"])
-    cells = (opened.withColumn("_cell", F.substring("_tie", 1, 4))
-             .groupBy(*keys, "_ts", "_cell")
-             .agg(F.count(F.lit(1)).alias("n"), F.sum("_value").alias("total"),
-                  F.count("_value").alias("n_value"), F.max("need").alias("need")))
-    cells = _split_cells(cells, keys, ["_ts", "_cell"])
-    older_cells = cells.where(taken).groupBy(*keys).agg(
-        F.sum("total").alias("sum_2"), F.sum("n_value").alias("count_2"))
-
-    cut_cells = cells.where(cut).select(
-        *keys, "_ts", "_cell", (F.col("need") - F.col("n_before")).alias("_rest"))
-    last = (opened.withColumn("_cell", F.substring("_tie", 1, 4))
-            .join(cut_cells, [*keys, "_ts", "_cell"]))
+    minute = _midpoint(minutes, keys, ["_minute"])
+
+    frame_group = [g for g in group if g not in keys]
+    cut_minutes = minute.where("cut").select(*keys, *frame_group, "_minute", *KNOWN)
+    opened = narrow.join(cut_minutes, [*group, "_minute"]).withColumn("_cell", F.substring("_tie", 1, 4))
+    cells = opened.groupBy(*keys, *frame_group, "_minute", "_ts", "_cell").agg(
+        *measures, *[F.max(name).alias(name) for name in KNOWN])
+    cell = _midpoint(cells, keys, ["_ts", "_cell"])
+
+    cut_cells = cell.where("cut").select(*keys, *frame_group, "_minute", "_ts", "_cell", *KNOWN)
     in_cell = Window.partitionBy(*keys, "_ts", "_cell").orderBy("_tie", "_value")
-    older_rows = (last.withColumn("_rank", F.row_number().over(in_cell))
-                  .where(F.col("_rank") <= F.col("_rest"))
-                  .groupBy(*keys).agg(F.sum("_value").alias("sum_3"), F.count("_value").alias("count_3")))
-
-    def zero(name: str):
-        return F.coalesce(F.col(name), F.lit(0))
-
-    joined = summary.join(older_cells, keys, "left").join(older_rows, keys, "left")
-    joined = joined.withColumns({
-        "_older_sum": zero("sum_1") + zero("sum_2") + zero("sum_3"),
-        "_older_n": zero("count_1") + zero("count_2") + zero("count_3")})
-    older = F.try_divide("_older_sum", F.nullif("_older_n", F.lit(0)))
-    newer = F.try_divide(F.col("sum_all") - F.col("_older_sum"),
-                         F.nullif(F.col("count_all") - F.col("_older_n"), F.lit(0)))
+    singles = (narrow.withColumn("_cell", F.substring("_tie", 1, 4))
+               .join(cut_cells, [*group, "_minute", "_ts", "_cell"])
+               .withColumn("_rank", F.row_number().over(in_cell)).where(F.col("_rank") <= F.col("need"))
+               .groupBy(*keys).agg(
+                   *[F.max(name).alias(name) for name in ("n_all", "sum_all", "count_all")],
+                   (F.max("older_sum") + F.coalesce(F.sum("_value"), F.lit(0.0))).alias("older_sum"),
+                   (F.max("older_count") + F.count("_value")).alias("older_count")))
+
+    final = [*keys, "n_all", "sum_all", "count_all", "older_sum", "older_count"]
+    done = (minute.where("NOT cut").select(*final).unionByName(cell.where("NOT cut").select(*final))
+            .unionByName(singles.select(*final)))
+    older = F.try_divide("older_sum", F.nullif("older_count", F.lit(0)))
+    newer = F.try_divide(F.col("sum_all") - F.col("older_sum"),
+                         F.nullif(F.col("count_all") - F.col("older_count"), F.lit(0)))
     move = F.greatest(F.least(F.coalesce(newer, older) - older, F.lit(1.0)), F.lit(-1.0))
-    momentum = F.when(F.col("n_all") < 2, F.lit(0.0)).otherwise(F.coalesce(move, F.lit(0.0)))
-    return joined.select(*keys, momentum.alias("momentum"))
+    return done.select(*keys, F.when(F.col("n_all") < 2, F.lit(0.0)).otherwise(
+        F.coalesce(move, F.lit(0.0))).alias("momentum"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsgauge.functions import fixed_values as fixed
 from newsgauge.functions.numbers import let
-from newsgauge.functions.text import casefold, policy_summary
+from newsgauge.functions.text import any_literal, casefold, policy_summary
 
 LITERAL_NAMES = 2_000     # company names tested as plan literals; more go through the gram join
 GRAM = 3
@@ -83,9 +83,12 @@ def phrase_matches(items: DataFrame, names: DataFrame, item_keys: Sequence[str],
              .withColumn("_three", F.zip_with("_two", shifted(2), lambda a, b: F.concat(a, b))))
     parts = [name for n, name in ((1, "_chars"), (2, "_two"), (GRAM, "_three")) if n in sizes]
     grams = F.array_compact(F.array_distinct(F.concat(*parts)))
-    seen = keyed.select(*item_keys, "_folded", F.explode(grams).alias("_gram"))
+    # Only keys travel with the grams; the texts come back for the few candidates.
+    seen = keyed.select(*item_keys, F.explode(grams).alias("_gram"))
     wanted = tidy.withColumn("_gram", F.substring("name", 1, GRAM))
-    return (seen.join(wanted, "_gram").where(F.contains(F.col("_folded"), F.col("name")))
+    candidates = seen.join(wanted, "_gram").drop("_gram")
+    texts = items.select(*item_keys, folded.alias("_folded"))
+    return (texts.join(candidates, list(item_keys)).where(F.contains(F.col("_folded"), F.col("name")))
             .select(*item_keys, "ticker").distinct())
 
 
@@ -122,12 +125,16 @@ def topic_dimension(spark: SparkSession,
 def matching_topics(text: Column, topics: Iterable[tuple[str, str, Sequence[str]]] = fixed.POLICY_TOPICS,
                     industry_tickers: dict[str, list[str]] = fixed.INDUSTRY_TICKERS) -> Column:
     """array<struct<topic, industry, tickers>> of the topics with any keyword in the text."""
+    topics = list(topics)
     entries = [F.struct(
         F.lit(topic).alias("topic"), F.lit(industry).alias("industry"),
         F.array(*[F.lit(t) for t in industry_tickers.get(industry, [])]).cast("array<string>").alias("tickers"),
         F.array(*[F.lit(k.lower()) for k in keywords]).alias("keywords")) for topic, industry, keywords in topics]
-    return let(casefold(text), lambda t: F.filter(
-        F.array(*entries), lambda e: F.exists(e["keywords"], lambda k: F.contains(t, k))))
+    anything = any_literal([k.lower() for _, _, keywords in topics for k in keywords])
+    table = F.array(*entries)
+    # One scan of the text tells whether any keyword occurs; only then each topic is tried.
+    return let(casefold(text), lambda t: F.filter(F.when(F.rlike(t, F.lit(anything)), table), lambda e: F.exists(
+        e["keywords"], lambda k: F.contains(t, k))))
 
 
 def fan_out_topics(items: DataFrame, selected: DataFrame, topics=fixed.POLICY_TOPICS,
