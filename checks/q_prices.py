@@ -42,7 +42,8 @@ ANSWERS = f"""provider_best AS (
   SELECT k.ticker, k.as_of, q.quote_date, q.close_price_usd, q.data_source,
     row_number() OVER (PARTITION BY k.ticker, k.as_of ORDER BY CASE q.data_source WHEN 'polygon' THEN 1 ELSE 2 END, q.quote_date DESC) AS place
   FROM (SELECT DISTINCT ticker, as_of FROM lookups) k
-  JOIN provider_quotes q ON q.ticker = k.ticker AND q.quote_date <= k.as_of AND q.data_source IN ('polygon', 'yahoo_chart')),
+  JOIN provider_quotes q ON q.ticker = k.ticker AND q.quote_date <= k.as_of AND q.quote_date >= k.as_of - 45
+    AND q.data_source IN ('polygon', 'yahoo_chart')),
 answers AS (
   SELECT k.ticker, k.as_of, coalesce(b.quote_date, k.as_of) AS quote_date,
     coalesce(b.close_price_usd, {synthetic_sql('k.ticker', 'k.as_of')}) AS close_price_usd,
@@ -183,7 +184,7 @@ FROM evaluations"""
 
 @register("a08_u03_performance_summary",
           "segment evaluated_insights:i real_market_evaluations:i synthetic_evaluations:i win_rate_pct:f real_win_rate_pct:f "
-          "avg_forward_return_pct:f real_avg_forward_return_pct:f median_forward_return_pct:f best_forward_return_pct:f "
+          "avg_forward_return_pct:a real_avg_forward_return_pct:a median_forward_return_pct:a best_forward_return_pct:f "
           "worst_forward_return_pct:f matured_count:i", f"""
 SELECT 'overall' AS segment, {_SEGMENT}
 UNION ALL SELECT 'signal:' || signal_label, {_SEGMENT} GROUP BY signal_label
@@ -203,7 +204,7 @@ def _(spark, d):
 
 @register("a09_evaluation_run_summary",
           "evaluations_saved:i real_market_evaluations:i synthetic_evaluations:i directionally_correct:i win_rate_pct:f "
-          "real_win_rate_pct:f average_forward_return_pct:f real_average_forward_return_pct:f", """
+          "real_win_rate_pct:f average_forward_return_pct:a real_average_forward_return_pct:a", """
 SELECT count(*) AS evaluations_saved, count(*) FILTER (is_real_market_data = 1) AS real_market_evaluations,
   count(*) FILTER (is_real_market_data = 0) AS synthetic_evaluations, sum(direction_correct) AS directionally_correct,
   round(avg(direction_correct) * 100, 4) AS win_rate_pct,
@@ -215,7 +216,7 @@ def _(spark, d):
 
 
 @register("a10_evaluation_by_ticker",
-          "ticker evaluated:f real_evaluated:f win_rate_pct:f real_win_rate_pct:f avg_forward_return_pct:f", """
+          "ticker evaluated:f real_evaluated:f win_rate_pct:f real_win_rate_pct:f avg_forward_return_pct:a", """
 SELECT ticker, count(*) AS evaluated, sum(is_real_market_data) AS real_evaluated, avg(direction_correct) * 100 AS win_rate_pct,
   coalesce(avg(direction_correct) FILTER (is_real_market_data = 1) * 100, 0.0) AS real_win_rate_pct,
   avg(forward_return_pct) AS avg_forward_return_pct FROM evaluations GROUP BY 1""", EVAL_CTES)

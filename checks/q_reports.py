@@ -136,7 +136,7 @@ def _(spark, d):
 
 @register("j17_t07_portfolio_per_ticker",
           "ticker company headlines:i positive_pct:f quantity_owned:m avg_buy_price_cad:m last_price_cad:m market_value_cad:m "
-          "open_return_pct:f model_win_rate_pct:f avg_market_move_pct:f", """
+          "open_return_pct:f model_win_rate_pct:f avg_market_move_pct:a", """
 SELECT k.ticker, k.ticker AS company, coalesce(b.headline_count, 0) AS headlines, coalesce(b.positive_pct, 0) AS positive_pct,
   coalesce(t.current_quantity, 0) AS quantity_owned, coalesce(t.avg_buy_price_cad, 0) AS avg_buy_price_cad,
   CASE WHEN coalesce(t.current_quantity, 0) <> 0 THEN t.last_price_cad ELSE coalesce(w.close_price_usd * 1.37, 0) END AS last_price_cad,
@@ -182,7 +182,7 @@ WEEK = (dt.date(2000, 5, 1), dt.date(2000, 5, 7))
 
 @register("a14_weekly_metrics",
           "period_start:d period_end:d insights_generated:i evaluations_saved:i real_market_evaluations:i synthetic_evaluations:i "
-          "real_win_rate_pct:f real_avg_forward_return_pct:f portfolio_total_equity_cad:m portfolio_return_pct:f trades_executed:i "
+          "real_win_rate_pct:f real_avg_forward_return_pct:a portfolio_total_equity_cad:m portfolio_return_pct:f trades_executed:i "
           "pipeline_runs:i health_alerts:i", f"""
 SELECT DATE '{WEEK[0]}' AS period_start, DATE '{WEEK[1]}' AS period_end, e.*, s.total_equity_cad AS portfolio_total_equity_cad,
   s.cumulative_return_pct AS portfolio_return_pct,

@@ -2,7 +2,9 @@
 
 ``spec`` names the output columns once for both engines: ``name`` for text, ``name:i`` bigint,
 ``name:f`` double rounded to 6 digits, ``name:m`` to 3, ``name:d`` date, ``name:t`` timestamp,
-``name:b`` boolean. Dates, timestamps and booleans are compared in a neutral form.
+``name:b`` boolean, ``name:a`` an average of values that are themselves rounded: it can be an
+exact half of the last digit, which the engines round differently, so both sides are moved by the
+same amount far below that digit first. Dates, timestamps and booleans are compared in a neutral form.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ def _spark_column(name: str, kind: str) -> Column:
     return {
         "s": lambda: c.cast("string"), "i": lambda: c.cast("bigint"),
         "f": lambda: F.round(c.cast("double"), 6) + 0.0, "m": lambda: F.round(c.cast("double"), 3) + 0.0,
+        "a": lambda: F.round(c.cast("double") + 3.337e-8, 6) + 0.0,
         "d": lambda: F.date_format(c, "yyyy-MM-dd"),
         "t": lambda: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "b": lambda: c.cast("bigint"),
     }[kind]().alias(name)
@@ -36,6 +39,7 @@ def _sql_column(name: str, kind: str) -> str:
     form = {
         "s": "CAST({0} AS VARCHAR)", "i": "CAST({0} AS BIGINT)",
         "f": "round(CAST({0} AS DOUBLE), 6) + 0.0", "m": "round(CAST({0} AS DOUBLE), 3) + 0.0",
+        "a": "round(CAST({0} AS DOUBLE) + 3.337e-8, 6) + 0.0",
         "d": "strftime({0}, '%Y-%m-%d')", "t": "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')",
         "b": "CAST({0} AS BIGINT)",
     }[kind]

@@ -193,6 +193,8 @@ SECTORS = {
 SYMBOL_OVERRIDES = {"BRK.B": "BRK-B", "CNR": "CNI", "CP": "CP", "FI": "FISV"}
 SYNTHETIC_ONLY_TICKERS = ["ATD", "IFC"]
 PROVIDER_ORDER = ["polygon", "alpha_vantage", "yahoo_chart", "stooq"]
+# Days a provider is asked to look back; None when it returns its whole recent series.
+PROVIDER_MAX_AGE = {"polygon": 45, "alpha_vantage": None, "yahoo_chart": 45, "stooq": 10}
 
 # Alert types a refresh resolves before new ones are raised.
 MONITORED_ALERTS = [

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,10 +49,13 @@ def asof_quotes(lookups: DataFrame, quotes: DataFrame, max_age_days: int | None
 def resolve_quotes(lookups: DataFrame, provider_quotes: DataFrame,
                    provider_order: Sequence[str] = tuple(fixed.PROVIDER_ORDER),
                    cached_quotes: DataFrame | None = None, max_age_days: int = 14,
-                   synthetic_only: Sequence[str] = tuple(fixed.SYNTHETIC_ONLY_TICKERS)) -> DataFrame:
-    """Priority fallback: the first provider with a quote on or before the date, then a recent
+                   synthetic_only: Sequence[str] = tuple(fixed.SYNTHETIC_ONLY_TICKERS),
+                   provider_max_age: Mapping[str, int | None] | None = None) -> DataFrame:
+    """Priority fallback: the first provider with a quote in its look-back span, then a recent
     stored quote, else the synthetic close. Always one row per distinct (ticker, as_of).
 
+    ``provider_quotes`` is unique per (ticker, quote_date, data_source).
+
     All providers are carried forward in the same pass: one window, one array slot each.
     """
     asks = lookups.select("ticker", "as_of").distinct()
@@ -73,14 +76,17 @@ def resolve_quotes(lookups: DataFrame, provider_quotes: DataFrame,
     carried = rows.withColumns({
         f"_q{i}": F.last(F.when(F.col("_slot") == slot, F.col("_quote")), ignorenulls=True).over(back)
         for i, slot in enumerate(slots)}).where(F.col("_kind") == 1)
-    cached = f"_q{len(slots) - 1}"
-    fresh = F.col(f"{cached}.quote_date") >= F.date_sub("as_of", max_age_days)
+    ages = {**(fixed.PROVIDER_MAX_AGE if provider_max_age is None else provider_max_age), "_cached": max_age_days}
+
+    def usable(i: int) -> Column:
+        quote, age = F.col(f"_q{i}"), ages.get(slots[i])
+        return quote if age is None else F.when(quote["quote_date"] >= F.date_sub("as_of", age), quote)
+
     fallback = F.struct(
         F.col("as_of").alias("quote_date"),
         synthetic_price(F.col("ticker"), F.col("as_of")).alias("close_price_usd"),
         F.lit("synthetic").alias("data_source"))
-    best = F.coalesce(*[F.col(f"_q{i}") for i in range(len(provider_order))],
-                      F.when(fresh, F.col(cached)), fallback)
+    best = F.coalesce(*[usable(i) for i in range(len(slots))], fallback)
     if synthetic_only:
         best = F.when(F.upper("ticker").isin(list(synthetic_only)), fallback).otherwise(best)
     chosen = carried.withColumn("_best", best)

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "bigint": T.LongType(),
+          "date": T.DateType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def _schema(text: str) -> T.StructType:
+    """'name type, ...' to a StructType; works before there is a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in text.split(", "))])
 
 
 RAW_HEADLINE = _schema(

@@ -148,6 +148,8 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
 
 # ---------------------------------------------------------------- files
 
+DAY = "published_day"  # partition column of the day-partitioned tables
+
 
 class Tables:
     """Parquet tables under one root folder, limited to the declared names."""
@@ -176,18 +178,28 @@ class Tables:
         versions = self._versions(name)
         return f"{self.root}/{name}/v{versions[-1]}" if versions else None
 
-    def read(self, name: str) -> DataFrame:
-        path = self.path(name)
-        schema = self.allowed[name]
+    def schema(self, name: str) -> T.StructType:
+        fields = list(self.allowed[name].fields)
+        if name in schemas.DAY_PARTITIONED:
+            fields.append(T.StructField(DAY, T.DateType()))
+        return T.StructType(fields)
+
+    def read(self, name: str, every_column: bool = False) -> DataFrame:
+        """The newest version, by its declared schema: no file is opened to plan the scan, and
+        columns that older files lack are NULL. ``every_column`` adds undeclared columns, at the
+        price of reading all file footers."""
+        path, declared = self.path(name), self.schema(name)
         if path is None:
-            return self.spark.createDataFrame([], schema)
-        return conform(self.spark.read.option("mergeSchema", "true").parquet(path), schema)
+            return self.spark.createDataFrame([], declared)
+        if every_column:
+            return conform(self.spark.read.option("mergeSchema", "true").parquet(path), declared)
+        return self.spark.read.schema(declared).parquet(path)
 
     def _prepared(self, name: str, df: DataFrame) -> tuple[DataFrame, list[str]]:
         stamp = schemas.DAY_PARTITIONED.get(name)
         if stamp is None:
             return df, []
-        return df.withColumn("published_day", F.col(stamp).cast("date")), ["published_day"]
+        return df.withColumn(DAY, F.col(stamp).cast("date")), [DAY]
 
     def replace(self, name: str, df: DataFrame) -> None:
         taken = self._versions(name, finished=False)
@@ -210,12 +222,12 @@ class Tables:
         target = self.read(name)
         if stamp is not None and self.path(name) is not None:
             span = batch.agg(F.min(F.col(stamp).cast("date")).alias("a"), F.max(F.col(stamp).cast("date")).alias("b")).first()
-            target = target.where(F.col("published_day").between(F.lit(span["a"]), F.lit(span["b"])))
+            target = target.where(F.col(DAY).between(F.lit(span["a"]), F.lit(span["b"])))
         self.append(name, absent_rows(target, batch, keys, order))
 
     def upsert(self, name: str, updates: DataFrame, update_columns: Sequence[str] | None = None,
                batch_order: str | None = None) -> None:
-        self.replace(name, upsert(self.read(name), updates, schemas.NATURAL_KEYS[name], update_columns, batch_order))
+        self.replace(name, upsert(self.read(name, every_column=True), updates, schemas.NATURAL_KEYS[name], update_columns, batch_order))
 
     def empty(self, names: Iterable[str]) -> dict[str, int]:
         """Empties tables and reports how many rows each had."""
