@@ -12,15 +12,13 @@ from newsgauge.functions import fixed_values as fixed
 from newsgauge.functions.numbers import let
 
 
-# White space other than the blank.
-_SPACES = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# Runs that are not one plain blank already; the usual text has few of them to replace.
-_RUNS = rf" *[{_SPACES}][ {_SPACES}]*| {{2,}}"
+# White space as Unicode sees it, and the four separators that only some libraries count.
+_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
 def collapse(value: Column) -> Column:
     """Whitespace runs (Unicode ones too) become one blank; NULL becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), _RUNS, " "))
+    return F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), _SPACE_RUN, " "))
 
 
 def collapse_or_null(value: Column) -> Column:
@@ -79,16 +77,6 @@ def _any_of(values: Sequence[str]) -> str:
     return "|".join(re.escape(v) for v in values)
 
 
-def any_literal(values: Sequence[str]) -> str:
-    """Pattern that finds any of the literals. They are grouped by first letter, so most text
-    positions are dismissed by one test."""
-    by_letter: dict[str, list[str]] = {}
-    for value in values:
-        by_letter.setdefault(value[:1], []).append(value[1:])
-    return "|".join(f"{re.escape(letter)}(?:{_any_of(sorted(set(rest)))})"
-                    for letter, rest in sorted(by_letter.items()) if letter)
-
-
 def source_tier(source: Column, whole_word: bool = False) -> Column:
     """Tier 1 list first, then tier 2, else 3. Matching is by substring unless ``whole_word``."""
     text = F.lower(F.trim(F.coalesce(source, F.lit(""))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsgauge.functions import fixed_values as fixed
 from newsgauge.functions.numbers import let
-from newsgauge.functions.text import any_literal, casefold, policy_summary
+from newsgauge.functions.text import casefold, policy_summary
 
 LITERAL_NAMES = 2_000     # company names tested as plan literals; more go through the gram join
 GRAM = 3
@@ -21,22 +21,13 @@ def search_text(title: str = "title", summary: str = "summary") -> Column:
                     F.coalesce(F.col(summary), F.lit("")))
 
 
-def symbol_matches(items: DataFrame, tickers: DataFrame, item_keys: Sequence[str], text: str) -> DataFrame:
+def symbol_matches(items: DataFrame, tickers: DataFrame, item_keys: Sequence[str], text: str,
+                   literal_limit: int = LITERAL_NAMES) -> DataFrame:
     """(item_keys, ticker) pairs where the symbol itself is mentioned.
 
     Symbols over two characters match as a blank-delimited token or after '$'; shorter ones only
     after '$'. Candidates come from the text's own tokens, so this is an equi join.
     """
-    folded = F.lower(F.col(text))
-    tokens = F.transform(F.split(folded, " "), lambda t: F.concat(F.lit("w:"), t))
-    # "$abc" matches when the text after some '$' starts with the symbol, whatever follows, so
-    # every length up to the longest symbol is a candidate.
-    tails = F.filter(F.slice(F.split(folded, r"\$"), 2, 1_000_000_000), lambda t: t != "")
-    dollars = F.flatten(F.transform(tails, lambda tail: F.transform(
-        F.sequence(F.lit(1), F.least(F.length(tail), F.lit(SYMBOL_WIDTH))),
-        lambda n: F.concat(F.lit("$:"), F.substr(tail, F.lit(1), n)))))
-    seen = items.select(*item_keys, F.explode(F.array_distinct(F.concat(tokens, dollars))).alias("_mark"))
-
     compact = F.replace(F.lower("ticker"), F.lit("."), F.lit(""))
     wanted = (tickers.select("ticker").distinct()
               .select("ticker", F.explode(F.when(
@@ -44,6 +35,28 @@ def symbol_matches(items: DataFrame, tickers: DataFrame, item_keys: Sequence[str
                   F.array(F.concat(F.lit("w:"), compact), F.concat(F.lit("w:"), F.lower("ticker")),
                           F.concat(F.lit("$:"), compact)))
                   .otherwise(F.array(F.concat(F.lit("$:"), compact)))).alias("_mark")).distinct())
+
+    # "$abc" matches when the text after some '$' starts with the symbol, whatever follows, so
+    # every length up to the longest symbol is a candidate.
+    def after_dollar(folded: Column) -> Column:
+        tails = F.filter(F.slice(F.split(folded, r"\$"), 2, 2_000_000_000), lambda t: t != "")
+        return F.flatten(F.transform(tails, lambda tail: F.transform(
+            F.sequence(F.lit(1), F.least(F.length(tail), F.lit(SYMBOL_WIDTH))),
+            lambda n: F.concat(F.lit("$:"), F.substr(tail, F.lit(1), n)))))
+
+    def marks(folded: Column) -> Column:
+        tokens = F.transform(F.split(folded, " "), lambda t: F.concat(F.lit("w:"), t))
+        none = F.array().cast("array<string>")
+        return F.concat(tokens, F.when(F.contains(folded, F.lit("$")), after_dollar(folded)).otherwise(none))
+
+    found = let(F.lower(F.col(text)), marks)
+    # A symbol list of known small size cuts the marks in place, so few are ever exploded; a
+    # larger one leaves that to the join below.
+    sample = wanted.select("_mark").distinct().limit(literal_limit + 1).collect()
+    if len(sample) <= literal_limit:
+        known = [r["_mark"] for r in sample]
+        found = F.filter(found, lambda m: m.isin(known))
+    seen = items.select(*item_keys, F.explode(F.array_distinct(found)).alias("_mark"))
     short = seen.join(wanted, "_mark").select(*item_keys, "ticker")
     long = tickers.where(F.length(compact) > SYMBOL_WIDTH).select(
         "ticker", F.concat(F.lit("$"), compact).alias("name"))
@@ -130,11 +143,9 @@ def matching_topics(text: Column, topics: Iterable[tuple[str, str, Sequence[str]
         F.lit(topic).alias("topic"), F.lit(industry).alias("industry"),
         F.array(*[F.lit(t) for t in industry_tickers.get(industry, [])]).cast("array<string>").alias("tickers"),
         F.array(*[F.lit(k.lower()) for k in keywords]).alias("keywords")) for topic, industry, keywords in topics]
-    anything = any_literal([k.lower() for _, _, keywords in topics for k in keywords])
     table = F.array(*entries)
-    # One scan of the text tells whether any keyword occurs; only then each topic is tried.
-    return let(casefold(text), lambda t: F.filter(F.when(F.rlike(t, F.lit(anything)), table), lambda e: F.exists(
-        e["keywords"], lambda k: F.contains(t, k))))
+    return let(casefold(text), lambda t: F.filter(
+        table, lambda e: F.exists(e["keywords"], lambda k: F.contains(t, k))))
 
 
 def fan_out_topics(items: DataFrame, selected: DataFrame, topics=fixed.POLICY_TOPICS,

@@ -119,6 +119,9 @@ def test_ticker_matching_rules(spark):
     names = spark.createDataFrame([("NVDA", "Nvidia")], "ticker string, name string")
     got = {(r["item_id"], r["ticker"]) for r in matching.match_tickers(items, tickers, ["item_id"], names).collect()}
     assert got == {(1, "NVDA"), (3, "A"), (3, "BRK.B"), (4, "BRK.B"), (5, "NVDA"), (6, "NVDA")}
+    searched = items.withColumn("body", matching.search_text())
+    pairs = [set(map(tuple, matching.symbol_matches(searched, tickers, ["item_id"], "body", limit).collect())) for limit in (2_000, 0)]
+    assert pairs[0] == pairs[1] and pairs[0] < got
     legacy = {(r["item_id"], r["ticker"]) for r in matching.match_tickers(
         items, tickers, ["item_id"], names, legacy_match=True).collect()}
     assert (2, "ON") in legacy and (2, "A") in legacy and got < legacy
