@@ -36,27 +36,31 @@ def symbol_matches(items: DataFrame, tickers: DataFrame, item_keys: Sequence[str
                           F.concat(F.lit("$:"), compact)))
                   .otherwise(F.array(F.concat(F.lit("$:"), compact)))).alias("_mark")).distinct())
 
+    # A symbol list of known small size cuts the candidates in place, so few are ever exploded; a
+    # larger one leaves that to the join below.
+    sample = [r["_mark"] for r in wanted.select("_mark").distinct().limit(literal_limit + 1).collect()]
+
+    def marked(values: Column, prefix: str) -> Column:
+        if len(sample) <= literal_limit:
+            known = [m[2:] for m in sample if m.startswith(prefix)]
+            values = F.filter(values, lambda v: v.isin(known))
+        return F.transform(values, lambda v: F.concat(F.lit(prefix), v))
+
     # "$abc" matches when the text after some '$' starts with the symbol, whatever follows, so
     # every length up to the longest symbol is a candidate.
     def after_dollar(folded: Column) -> Column:
         tails = F.filter(F.slice(F.split(folded, r"\$"), 2, 2_000_000_000), lambda t: t != "")
         return F.flatten(F.transform(tails, lambda tail: F.transform(
             F.sequence(F.lit(1), F.least(F.length(tail), F.lit(SYMBOL_WIDTH))),
-            lambda n: F.concat(F.lit("$:"), F.substr(tail, F.lit(1), n)))))
+            lambda n: F.substr(tail, F.lit(1), n))))
 
     def marks(folded: Column) -> Column:
-        tokens = F.transform(F.split(folded, " "), lambda t: F.concat(F.lit("w:"), t))
         none = F.array().cast("array<string>")
-        return F.concat(tokens, F.when(F.contains(folded, F.lit("$")), after_dollar(folded)).otherwise(none))
+        dollars = F.when(F.contains(folded, F.lit("$")), after_dollar(folded)).otherwise(none)
+        return F.concat(marked(F.split(folded, " "), "w:"), marked(dollars, "$:"))
 
-    found = let(F.lower(F.col(text)), marks)
-    # A symbol list of known small size cuts the marks in place, so few are ever exploded; a
-    # larger one leaves that to the join below.
-    sample = wanted.select("_mark").distinct().limit(literal_limit + 1).collect()
-    if len(sample) <= literal_limit:
-        known = [r["_mark"] for r in sample]
-        found = F.filter(found, lambda m: m.isin(known))
-    seen = items.select(*item_keys, F.explode(F.array_distinct(found)).alias("_mark"))
+    found = F.array_distinct(let(F.lower(F.col(text)), marks))
+    seen = items.select(*item_keys, F.explode(found).alias("_mark"))
     short = seen.join(wanted, "_mark").select(*item_keys, "ticker")
     long = tickers.where(F.length(compact) > SYMBOL_WIDTH).select(
         "ticker", F.concat(F.lit("$"), compact).alias("name"))
