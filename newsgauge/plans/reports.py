@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -266,7 +266,3 @@ def newest_runs(runs: DataFrame) -> DataFrame:
 
 def first_tickers(tickers: DataFrame, n: int, position: str = "position") -> DataFrame:
     return tickers.orderBy(position).limit(n)
-
-
-def collected_columns(frame: DataFrame, names: Sequence[str]) -> DataFrame:
-    return keep_existing(frame, names)

@@ -16,7 +16,6 @@ from newsgauge.functions.lexicon import model_output_scores, with_lexicon_scores
 from newsgauge.functions.numbers import age_hours
 from newsgauge.functions.text import (collapse, collapse_or_null, content_hash, headline_text,
                                       parse_timestamp, source_tier)
-from newsgauge.operators.frames import with_defaults
 from newsgauge.operators.keyed import first_rows
 
 logger = logging.getLogger(__name__)
@@ -32,7 +31,7 @@ def normalize_headlines(raw: DataFrame) -> DataFrame:
     if not isinstance(raw.schema["published_at_utc"].dataType, T.TimestampType):
         ts = (ts.cast("timestamp") if isinstance(raw.schema["published_at_utc"].dataType, T.TimestampNTZType)
               else parse_timestamp(ts))
-    rows = with_defaults(raw, {})
+    rows = raw
     for name in ("summary", "category", "topic", "industry"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
