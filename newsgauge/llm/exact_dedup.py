@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsgauge.llm.shared import WHITE, identified
+from newsgauge.llm.shared import WHITE
 
 #: So many groups, the largest ones, are salted; the list of them is what is broadcast (40 bytes a group).
 SPREAD = 256
@@ -25,15 +25,12 @@ def normal_text(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after each run of white space became one space; null counts as empty. The smallest
-    id of a group stays; null ids come last, so keep_id is null only where a group has no id. Of repeated rows with
-    the id that stays, one is kept. Other columns are ignored. An empty table gives an empty result.
-    """
-    keyed = (identified(docs, id_col, text_col).withColumn("normal", normal_text(F.col("text")))
-             .select("doc_id", "text", F.unhex(F.sha2("normal", 256)).alias("sha"), F.substring("normal", 1, LEAD).alias("lead")))
+def _neighbours(docs: DataFrame, id_col: str, text_col: str, payload: list[str]) -> DataFrame:
+    """row (the payload), doc_id, keep_id, group_size, kept, sha."""
+    text = docs[text_col].cast("string")
+    keyed = (docs.select(F.struct(text.alias("text"), *[docs[c].alias(f"c{k}") for k, c in enumerate(payload)]).alias("row"),
+                         docs[id_col].cast("bigint").alias("doc_id"), normal_text(text).alias("normal"))
+             .select("doc_id", "row", F.unhex(F.sha2("normal", 256)).alias("sha"), F.substring("normal", 1, LEAD).alias("lead")))
     large = (keyed.groupBy("sha").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("smallest"))
              .filter(F.col("size") > ROWS_PER_SALT).orderBy(F.desc("size"), "sha").limit(SPREAD))
     salts = F.ceil(F.col("size") / ROWS_PER_SALT)
@@ -43,12 +40,28 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     same = Window.partitionBy("lead", "sha", "salt", "normal")
     ordered = same.orderBy(F.col("doc_id").asc_nulls_last())
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    near = (ranged.withColumn("normal", normal_text(F.col("text")))
-            .select("doc_id", "sha", "size", "smallest", F.row_number().over(ordered).alias("place"),
+    near = (ranged.withColumn("normal", normal_text(F.col("row.text")))
+            .select("doc_id", "row", "sha", "size", "smallest", F.row_number().over(ordered).alias("place"),
                     F.first("doc_id").over(whole).alias("head"), F.count(F.lit(1)).over(whole).alias("near")))
     in_large = F.col("size").isNotNull()
     keep = F.when(in_large, F.col("smallest")).otherwise(F.col("head"))
     return near.select(
-        "doc_id", keep.alias("keep_id"), F.when(in_large, F.col("size")).otherwise(F.col("near")).alias("group_size"),
-        ((F.col("place") == 1) & F.col("doc_id").eqNullSafe(keep)).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"))
+        "row", "doc_id", keep.alias("keep_id"), F.when(in_large, F.col("size")).otherwise(F.col("near")).alias("group_size"),
+        ((F.col("place") == 1) & F.col("doc_id").eqNullSafe(keep)).alias("kept"), "sha")
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after each run of white space became one space; null counts as empty. The smallest
+    id of a group stays; null ids come last, so keep_id is null only where a group has no id. Of repeated rows with
+    the id that stays, one is kept. Other columns are ignored. An empty table gives an empty result.
+    """
+    return _neighbours(docs, id_col, text_col, []).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, unchanged; they travel with the sort, once."""
+    kept = _neighbours(docs, id_col, text_col, docs.columns).filter("kept")
+    return kept.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgauge.llm import exact_dedup, line_dedup, warc
+from newsgauge.llm import (exact_dedup, language_id, line_dedup, lm_scoring, minhash, packing, pq_dedup, substring_dedup,
+                           trie_bpe, warc)
 from newsgauge.llm.shared import shared_folder
 
 
@@ -13,6 +15,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary(), capacity=1024)
+
+
+def op3_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"), _vocabulary(), held_out_of=3)
+
+
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "archives")
     warc.write_archives(_table(spark, sf_dir, "pages"), folder, min_bytes=0)
@@ -25,14 +48,34 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = trie_bpe.encode_and_decode(_table(spark, sf_dir, "documents"), _vocabulary())
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids_sha256", "decoded_sha256")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"), held_out_of=10)
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_pq_near_dedup": op3_pq_near_dedup,
+    "op4_language_id": op4_language_id,
     "op5_warc_revisits": op5_warc_revisits,
     "op6_line_dedup": op6_line_dedup,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 #: The alphabet of base 32, by five bits from three hex digits.
@@ -43,6 +86,29 @@ _BASE32_SQL = """array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
     >> CAST(7 - (i * 5) % 4 AS INT)) & 31 AS INT), 1) FOR i IN range(32)], '')"""
 
 ORACLES = {
+    "op1_substring_dedup": r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 34)) AS i, ws FROM w WHERE len(ws) >= 35),
+h AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS run FROM s),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY run) AS c FROM h) WHERE c > 1),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS i FROM r),
+k AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
+o AS (SELECT doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN k USING (doc_id)),
+e AS (SELECT doc_id, unnest(generate_series(1, len(ws))) AS i, unnest(ws) AS x FROM w),
+t AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY e.i) AS kept FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.i = g.i
+      WHERE g.i IS NULL GROUP BY e.doc_id)
+SELECT o.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256 FROM o LEFT JOIN t USING (doc_id)""",
+    "op3_pq_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND list_count(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+c(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.id WHERE c.root < l.b),
+m AS (SELECT id, min(root) AS root FROM c GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, root AS component_id, vec_id = root AS kept
+FROM embeddings e JOIN m ON m.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
     "op5_warc_revisits": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 h AS (SELECT page_id, strlen(body) AS n, sha1(body) AS sha, min(page_id) OVER (PARTITION BY body) AS first_id FROM p)
