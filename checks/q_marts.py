@@ -162,8 +162,7 @@ def _(spark, d):
           "SELECT ticker, sentiment_date, headline_count FROM daily", WH[:2])
 def _(spark, d):
     marts.publish_views({f"newsgauge_{k}": v for k, v in marts.build_marts(a.scored(spark, d)).items()})
-    return spark.sql("""SELECT ticker, sentiment_date, headline_count FROM newsgauge_daily
-                        ORDER BY sentiment_date DESC, ticker""")
+    return marts.in_read_order("daily", spark.table("newsgauge_daily")).select("ticker", "sentiment_date", "headline_count")
 
 
 @register("s28_all_marts_row_counts", "mart n:i", """

@@ -11,7 +11,6 @@ from checks.q_prices import ANSWERS, RESOLVE
 from checks.registry import register
 from newsgauge.options import PortfolioOptions
 from newsgauge.plans import insights, portfolio
-from newsgauge.session import durable
 
 DAY = dt.date.fromisoformat(a.TRADE_DAY)
 OPTS = PortfolioOptions(max_positions=40)
@@ -73,9 +72,9 @@ HOLDING = "run_name ticker quantity:m avg_cost_cad:m last_price_cad:m market_val
 
 
 def state(spark, d):
-    """Runs, holdings, latest insights and quotes of the day, written once like the stored tables they stand for."""
-    known = durable(insights.latest_insight_per_ticker(a.part_insights(spark, d).where(F.col("insight_date") <= F.lit(DAY))))
-    held = durable(a.positions(spark, d))
+    """Runs, holdings, latest insights and quotes of the day."""
+    known = insights.latest_insight_per_ticker(a.part_insights(spark, d).where(F.col("insight_date") <= F.lit(DAY)))
+    held = a.positions(spark, d)
     asked = known.select("ticker").union(held.select("ticker")).distinct().withColumn("as_of", F.lit(DAY))
     return a.runs(spark, d), held, known, RESOLVE(asked, a.provider_quotes(spark, d)).drop("as_of")
 

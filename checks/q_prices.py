@@ -12,7 +12,6 @@ from checks.registry import register
 from newsgauge.functions import numbers
 from newsgauge.operators import asof
 from newsgauge.plans import evaluation, reports
-from newsgauge.session import durable
 
 PROVIDERS = ("polygon", "yahoo_chart")
 RESOLVE = partial(asof.resolve_quotes, provider_order=PROVIDERS, synthetic_only=("P7", "P11"))
@@ -44,7 +43,7 @@ ANSWERS = f"""provider_best AS (
   FROM (SELECT DISTINCT ticker, as_of FROM lookups) k
   JOIN provider_quotes q ON q.ticker = k.ticker AND q.quote_date <= k.as_of AND q.quote_date >= k.as_of - 45
     AND q.data_source IN ('polygon', 'yahoo_chart')),
-answers AS (
+answers AS MATERIALIZED (
   SELECT k.ticker, k.as_of, coalesce(b.quote_date, k.as_of) AS quote_date,
     coalesce(b.close_price_usd, {synthetic_sql('k.ticker', 'k.as_of')}) AS close_price_usd,
     coalesce(b.data_source, 'synthetic') AS data_source
@@ -74,7 +73,8 @@ def _(spark, d):
 @register("j12_provider_fallback_chain", "ticker as_of:d quote_date:d close_price_usd:f data_source",
           "SELECT * FROM answers", (a.QUOTES, ORDER_LOOKUPS, ANSWERS))
 def _(spark, d):
-    return RESOLVE(order_lookups(spark, d), a.provider_quotes(spark, d))
+    asked = order_lookups(spark, d).withColumn("ticker", F.when(F.dayofmonth("as_of") % 2 == 0, F.lower("ticker")).otherwise(F.col("ticker")))
+    return RESOLVE(asked, a.provider_quotes(spark, d)).withColumn("ticker", F.upper("ticker"))
 
 
 @register("j12_cached_quotes_before_synthetic", "ticker as_of:d quote_date:d close_price_usd:f data_source", f"""
@@ -190,7 +190,7 @@ SELECT 'overall' AS segment, {_SEGMENT}
 UNION ALL SELECT 'signal:' || signal_label, {_SEGMENT} GROUP BY signal_label
 UNION ALL SELECT 'recommendation:' || recommendation, {_SEGMENT} WHERE recommendation IS NOT NULL GROUP BY recommendation""", EVAL_CTES)
 def _(spark, d):
-    return evaluation.performance_summary(durable(evaluations(spark, d)))
+    return evaluation.performance_summary(evaluations(spark, d))
 
 
 @register("t10_first_segments_of_report", "segment evaluated_insights:i", f"""
@@ -199,7 +199,7 @@ SELECT * FROM (SELECT 0 AS g, 'overall' AS segment, {_SEGMENT}
   UNION ALL SELECT 2, 'recommendation:' || recommendation, {_SEGMENT} WHERE recommendation IS NOT NULL GROUP BY recommendation)
 ORDER BY g, segment LIMIT 6""", EVAL_CTES)
 def _(spark, d):
-    return reports.segment_table(durable(evaluations(spark, d)), 6)
+    return reports.segment_table(evaluations(spark, d), 6)
 
 
 @register("a09_evaluation_run_summary",

@@ -354,6 +354,20 @@ def _(spark, d):
     return tables.insert_if_absent(target, batch.unionByName(batch), ["content_hash"], [F.col("event_id")])
 
 
+@register("s02_s15_stored_table_filled_twice", "ticker source published_at_utc:t content_hash", """
+SELECT ticker, source, published_at_utc, content_hash FROM scored
+UNION ALL SELECT ticker, source, NULL, content_hash || '-undated' FROM scored WHERE event_id % 10 = 0""", (a.SCORED,))
+def _(spark, d):
+    store = tables.Tables(spark, _fresh(spark, "stored"))
+    rows = a.scored(spark, d)
+    undated = rows.where("event_id % 10 = 0").withColumns({
+        "content_hash": F.concat("content_hash", F.lit("-undated")), "published_at_utc": F.lit(None).cast("timestamp")})
+    every = rows.unionByName(undated).drop("event_id")
+    for batch in (every.where("published_at_utc < '2024-01-15' OR ticker LIKE '%1'"), every, every):
+        store.insert_if_absent("scored_headlines", batch)
+    return store.read("scored_headlines")
+
+
 @register("s16_staged_merge_newest_per_key", "ticker source event_id:i origin", """
 SELECT ticker, source, event_id, origin FROM (SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY ticker, source ORDER BY published_at_utc) = 1)
 UNION ALL SELECT ticker, source, event_id, origin FROM (SELECT * FROM batch QUALIFY row_number() OVER (PARTITION BY ticker, source ORDER BY published_at_utc DESC) = 1) b

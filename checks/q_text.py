@@ -203,15 +203,18 @@ def _(spark, d):
                     text.parse_feed_date(F.col("props")).alias("bad"))
 
 
-@register("c06_parse_timestamps", "event_id:i digits:t zulu:t offset:t naive:t bad:t", """
-SELECT event_id, date_trunc('second', ts) AS digits, date_trunc('second', ts) AS zulu,
+@register("c06_parse_timestamps", "event_id:i digits:t number:t fraction:t huge:t zulu:t offset:t naive:t bad:t", """
+SELECT event_id, date_trunc('second', ts) AS digits, date_trunc('second', ts) AS number,
+  date_trunc('second', ts) + INTERVAL 500 MILLISECOND AS fraction, CAST(NULL AS TIMESTAMP) AS huge, date_trunc('second', ts) AS zulu,
   date_trunc('second', ts) - INTERVAL 2 HOUR AS "offset", ts AS naive, CAST(NULL AS TIMESTAMP) AS bad FROM events""")
 def _(spark, d):
     e = a.table(spark, d, "events")
     ts = F.col("ts").cast("timestamp")
     iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     parse = text.parse_timestamp
-    return e.select("event_id", parse(F.unix_seconds(ts).cast("string")).alias("digits"),
+    seconds = F.unix_seconds(ts)
+    return e.select("event_id", parse(seconds.cast("string")).alias("digits"), parse(seconds.cast("double")).alias("number"),
+                    parse(seconds + F.lit(0.5)).alias("fraction"), parse(F.concat(seconds.cast("string"), F.lit("000000"))).alias("huge"),
                     parse(F.concat(iso, F.lit("Z"))).alias("zulu"), parse(F.concat(iso, F.lit("+02:00"))).alias("offset"),
                     parse(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("naive"), parse(F.col("props")).alias("bad"))
 

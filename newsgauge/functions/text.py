@@ -54,10 +54,22 @@ def content_hash(ts: str = "published_at_utc") -> Column:
     return F.sha2(F.concat_ws("||", *parts), 256)
 
 
+#: Seconds from year 1 to year 9999; times outside cannot be stored.
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
+
+
+def epoch_timestamp(seconds: Column, fractions: bool = False) -> Column:
+    """Seconds since 1970, with ``fractions`` to the nearest microsecond; NULL outside the years 1 to 9999."""
+    fitting = F.when((seconds >= FIRST_SECOND) & (seconds <= LAST_SECOND), seconds)
+    return F.timestamp_micros(F.round(fitting * 1_000_000).cast("bigint")) if fractions else F.timestamp_seconds(fitting)
+
+
 def parse_timestamp(value: Column) -> Column:
-    """Epoch digits, or ISO text with Z, an offset, or no zone (read as UTC); otherwise NULL."""
+    """Epoch seconds as digits or as a number, or ISO text with Z, an offset, or no zone (read as UTC); otherwise NULL."""
     text = F.trim(value.cast("string"))
-    return (F.when(text.rlike(r"^\d+$"), F.timestamp_seconds(text.try_cast("bigint")))
+    fraction = F.typeof(value).rlike("^(float|double|decimal)")
+    return (F.when(fraction, epoch_timestamp(text.try_cast("double"), fractions=True))
+            .when(text.rlike(r"^\d+$"), epoch_timestamp(text.try_cast("bigint")))
             .when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(text)))
 
 

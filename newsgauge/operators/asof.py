@@ -14,28 +14,22 @@ from newsgauge.operators.keyed import first_rows
 QUOTE_FIELDS = ["quote_date", "close_price_usd", "data_source"]
 
 
-def one_quote_per_day(quotes: DataFrame, keys: Sequence[str] = ("ticker",),
-                      tie: Sequence[Column] = ()) -> DataFrame:
-    return first_rows(quotes, [*keys, "quote_date"],
-                      [*tie, F.col("data_source"), F.col("close_price_usd").desc()])
-
-
 def asof_quotes(lookups: DataFrame, quotes: DataFrame, max_age_days: int | None = 14,
                 real_only: bool = True) -> DataFrame:
     """(ticker, as_of) keys -> the latest quote dated as_of - max_age .. as_of, or NULLs.
 
     Keys and quotes are cut to one row per ticker and day, put in one stream per ticker and
     carried forward. So a ticker costs at most two rows per calendar day, however many rows ask.
-    ``quotes`` must be unique per (ticker, quote_date).
+    ``quotes`` must be unique per (ticker, quote_date); tickers match whatever their case.
     """
     real = quotes.where(F.col("data_source") != "synthetic") if real_only else quotes
     marks = real.select(
-        "ticker", F.col("quote_date").alias("as_of"), F.lit(0).alias("_kind"),
+        F.upper("ticker").alias("_key"), F.lit(None).cast("string").alias("ticker"), F.col("quote_date").alias("as_of"), F.lit(0).alias("_kind"),
         F.struct(*QUOTE_FIELDS).alias("_quote"))
     asks = lookups.select("ticker", "as_of").distinct().select(
-        "ticker", "as_of", F.lit(1).alias("_kind"),
+        F.upper("ticker").alias("_key"), "ticker", "as_of", F.lit(1).alias("_kind"),
         F.lit(None).cast(marks.schema["_quote"].dataType).alias("_quote"))
-    back = (Window.partitionBy("ticker").orderBy("as_of", "_kind")
+    back = (Window.partitionBy("_key").orderBy("as_of", "_kind")
             .rowsBetween(Window.unboundedPreceding, 0))
     found = (marks.unionByName(asks)
              .withColumn("_quote", F.last("_quote", ignorenulls=True).over(back))
@@ -54,23 +48,23 @@ def resolve_quotes(lookups: DataFrame, provider_quotes: DataFrame,
     """Priority fallback: the first provider with a quote in its look-back span, then a recent
     stored quote, else the synthetic close. Always one row per distinct (ticker, as_of).
 
-    ``provider_quotes`` is unique per (ticker, quote_date, data_source).
+    ``provider_quotes`` is unique per (ticker, quote_date, data_source); tickers match whatever their case.
 
     All providers are carried forward in the same pass: one window, one array slot each.
     """
     asks = lookups.select("ticker", "as_of").distinct()
     marks = provider_quotes.where(F.col("data_source").isin(list(provider_order))).select(
-        "ticker", F.col("quote_date").alias("as_of"), F.lit(0).alias("_kind"),
+        F.upper("ticker").alias("_key"), F.lit(None).cast("string").alias("ticker"), F.col("quote_date").alias("as_of"), F.lit(0).alias("_kind"),
         F.col("data_source").alias("_slot"), F.struct(*QUOTE_FIELDS).alias("_quote"))
     if cached_quotes is not None:
         marks = marks.unionByName(
             cached_quotes.where(F.col("data_source") != "synthetic").select(
-                "ticker", F.col("quote_date").alias("as_of"), F.lit(0).alias("_kind"),
+                F.upper("ticker").alias("_key"), F.lit(None).cast("string").alias("ticker"), F.col("quote_date").alias("as_of"), F.lit(0).alias("_kind"),
                 F.lit("_cached").alias("_slot"), F.struct(*QUOTE_FIELDS).alias("_quote")))
     rows = marks.unionByName(asks.select(
-        "ticker", "as_of", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_slot"),
+        F.upper("ticker").alias("_key"), "ticker", "as_of", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_slot"),
         F.lit(None).cast(marks.schema["_quote"].dataType).alias("_quote")))
-    back = (Window.partitionBy("ticker").orderBy("as_of", "_kind")
+    back = (Window.partitionBy("_key").orderBy("as_of", "_kind")
             .rowsBetween(Window.unboundedPreceding, 0))
     slots = [*provider_order, "_cached"]
     carried = rows.withColumns({
@@ -84,7 +78,7 @@ def resolve_quotes(lookups: DataFrame, provider_quotes: DataFrame,
 
     fallback = F.struct(
         F.col("as_of").alias("quote_date"),
-        synthetic_price(F.col("ticker"), F.col("as_of")).alias("close_price_usd"),
+        synthetic_price(F.upper("ticker"), F.col("as_of")).alias("close_price_usd"),
         F.lit("synthetic").alias("data_source"))
     best = F.coalesce(*[usable(i) for i in range(len(slots))], fallback)
     if synthetic_only:

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Partition column of stored tables by the timestamp it comes from.
+DAY_OF = {"published_at_utc": "published_day"}
+
+
 def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     """Absent columns are added and NULLs filled with the given value."""
     return df.withColumns({
@@ -42,11 +46,37 @@ def between_dates(df: DataFrame, column: str, start: date, end: date) -> DataFra
     return df.withColumn(column, day).where(F.col(column).between(F.lit(start), F.lit(end)))
 
 
+def within_days(df: DataFrame, column: str, low: Column | None, high: Column | None) -> DataFrame:
+    """Limits the day partitions of a stored table to those of [low, high); other tables stay as they are."""
+    day = DAY_OF.get(column)
+    if day is None or day not in df.columns:
+        return df
+    if low is not None:
+        df = df.where(F.col(day) >= low.cast("date"))
+    return df if high is None else df.where(F.col(day) <= high.cast("date"))
+
+
 def between_days_of(df: DataFrame, column: str, start: date, end: date) -> DataFrame:
-    """Inclusive range on the UTC day of a timestamp, written half-open so file stats prune."""
+    """Inclusive range on the UTC day of a timestamp, written half-open so that file statistics and
+    day partitions prune."""
     low = F.lit(start).cast("timestamp")
     high = F.lit(end + timedelta(days=1)).cast("timestamp")
-    return df.where((F.col(column) >= low) & (F.col(column) < high))
+    return within_days(df, column, low, high).where((F.col(column) >= low) & (F.col(column) < high))
+
+
+def as_one(df: DataFrame) -> DataFrame:
+    """The same rows, carried as one value: every reader then asks for all columns, so their plans below are equal
+    and Spark computes them once (pruned to different columns, each reader would read the source again)."""
+    packed = df.select(F.array(F.struct(*df.columns)).alias("_row"))
+    return packed.select(*[F.element_at("_row", 1)[name].alias(name) for name in df.columns])
+
+
+def shared_exchange(df: DataFrame, spread: Iterable[str]) -> DataFrame:
+    """Rows dealt out by ``spread`` in an exchange that all readers share. Readers must not filter on its columns
+    directly: the filter would move below the exchange and make it another one."""
+    names = df.columns
+    packed = df.select(*spread, F.array(F.struct(*names)).alias("_row")).repartition(*spread)
+    return packed.select(*[F.element_at("_row", 1)[name].alias(name) for name in names])
 
 
 def at_latest(df: DataFrame, column: str) -> DataFrame:

@@ -5,87 +5,115 @@ per minute, which bounds the window by the length of the period and not by the d
 totals find the one minute that holds the midpoint; everything before it is already summed. Only
 a minute that the midpoint cuts is opened: first by (timestamp, tie prefix), then row by row inside
 the one small cell that is cut. Nothing is sampled; the split is exact.
+
+The rows are read twice: once for the counts and once for the opened minutes, which both steps of
+the cut share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsgauge.operators.frames import shared_exchange
+
 Expand = Callable[[DataFrame], DataFrame]
 
 # What is known of a group once its midpoint is located: totals and the older part so far.
 KNOWN = ["n_all", "sum_all", "count_all", "older_sum", "older_count", "need"]
+#: Letters of the tie that a cut timestamp is divided by. Ties are hashes; rows without one get the hash of the row.
+CELL = 4
+
+
+def minute_measures(value: str) -> list[Column]:
+    """What is counted per minute."""
+    return [F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.count(value).alias("n_value")]
+
 
+def tie_of(df: DataFrame, tie: str) -> Column:
+    """The tie column, or the hash of the whole row where it is absent or empty."""
+    whole = F.sha2(F.to_json(F.struct("*")), 256)
+    return F.coalesce(F.nullif(F.col(tie), F.lit("")), whole) if tie in df.columns else whole
 
-def _midpoint(bins: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The one bin per group that holds the last older row.
 
-    bins: (keys, order, n, total, n_value, KNOWN). ``need`` becomes how many rows of the returned
+def _located(bins: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Marks the one bin per group that holds the last older row (place 1, or 2 where it is cut).
+
+    bins: (keys, order, n, total, n_value, KNOWN). ``need`` becomes how many rows of the marked
     bin are older; a bin taken whole is already added to the older part.
     """
     ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = {name: F.coalesce(F.sum(name).over(ahead), F.lit(0)) for name in ("n", "total", "n_value")}
     placed = bins.withColumns({f"{name}_before": c for name, c in before.items()})
-    found = placed.where((F.col("n_before") < F.col("need")) & (F.col("need") <= F.col("n_before") + F.col("n")))
     rest = F.col("need") - F.col("n_before")
-    found = found.withColumn("cut", rest < F.col("n"))
-    whole = F.when(F.col("cut"), F.lit(0)).otherwise(F.lit(1))
-    return found.withColumns({
+    holds = (rest > 0) & (rest <= F.col("n"))
+    placed = placed.withColumn("place", F.when(holds & (rest < F.col("n")), 2).when(holds, 1).otherwise(0))
+    whole = (F.col("place") == 1).cast("int")
+    return placed.withColumns({
         "older_sum": F.col("older_sum") + F.col("total_before") + F.coalesce("total", F.lit(0.0)) * whole,
         "older_count": F.col("older_count") + F.col("n_value_before") + F.col("n_value") * whole,
         "need": rest})
 
 
-def half_split_momentum(rows: DataFrame, group: Sequence[str], ts: str, tie: str, value: str,
-                        keys: Sequence[str] | None = None, expand: Expand | None = None) -> DataFrame:
-    """-> (keys, momentum), clamped to [-1, 1]; groups of one row give 0.0.
-
-    ``group`` are the columns of ``rows`` to count by. ``expand`` may fan the counted minutes out
-    to ``keys`` (sliding frames): counts are repeated then, never the rows themselves, except for
-    the rows of the minutes that a midpoint cuts.
-    """
-    keys = list(keys or group)
-    narrow = rows.select(
-        *group, F.date_trunc("minute", ts).alias("_minute"), F.col(ts).alias("_ts"),
-        F.coalesce(F.col(tie), F.lit("")).alias("_tie"), F.col(value).alias("_value"))
-    measures = [F.count(F.lit(1)).alias("n"), F.sum("_value").alias("total"), F.count("_value").alias("n_value")]
-
-    minutes = narrow.groupBy(*group, "_minute").agg(*measures)
-    if expand is not None:
-        minutes = expand(minutes)
+def locate_midpoints(minutes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _minute, n, total, n_value, ...) -> with KNOWN, n_before and place: 1 in the minute that holds
+    the last older row, 2 in it where the midpoint cuts it, else 0."""
     whole = Window.partitionBy(*keys)
     minutes = minutes.withColumns({
         "n_all": F.sum("n").over(whole), "sum_all": F.sum("total").over(whole),
         "count_all": F.sum("n_value").over(whole), "older_sum": F.lit(0.0), "older_count": F.lit(0).cast("bigint")})
     minutes = minutes.withColumn("need", F.greatest(F.lit(1), F.floor(F.col("n_all") / 2)))
-    minute = _midpoint(minutes, keys, ["_minute"])
+    return _located(minutes, keys, ["_minute"])
+
+
+def finish_split(opened: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """-> (keys, momentum). ``opened``: (keys, _minute, place, _ts, _tie, _value, KNOWN), the rows of at least the
+    minutes with a place. Rows of other minutes are masked, not filtered, so that all readers share one exchange."""
+    keys = list(keys)
+    final = ["n_all", "sum_all", "count_all", "older_sum", "older_count"]
 
-    frame_group = [g for g in group if g not in keys]
-    cut_minutes = minute.where("cut").select(*keys, *frame_group, "_minute", *KNOWN)
-    opened = narrow.join(cut_minutes, [*group, "_minute"]).withColumn("_cell", F.substring("_tie", 1, 4))
-    cells = opened.groupBy(*keys, *frame_group, "_minute", "_ts", "_cell").agg(
-        *measures, *[F.max(name).alias(name) for name in KNOWN])
-    cell = _midpoint(cells, keys, ["_ts", "_cell"])
+    def known(place: int, names: Sequence[str]) -> list[Column]:
+        return [F.max(F.when(F.col("place") == place, F.col(name))).alias(name) for name in names]
 
-    cut_cells = cell.where("cut").select(*keys, *frame_group, "_minute", "_ts", "_cell", *KNOWN)
+    opened = opened.withColumn("_cell", F.substring("_tie", 1, CELL))
+    in_cut = F.when(F.col("place") == 2, F.col("_value"))
+    cells = opened.groupBy(*keys, "_ts", "_cell").agg(
+        F.count_if(F.col("place") == 2).alias("n"), F.sum(in_cut).alias("total"), F.count(in_cut).alias("n_value"), *known(2, KNOWN))
+    cell = _located(cells, keys, ["_ts", "_cell"])
+    cut_cells = cell.where("place = 2").select(*keys, "_ts", "_cell", *KNOWN)
     in_cell = Window.partitionBy(*keys, "_ts", "_cell").orderBy("_tie", "_value")
-    singles = (narrow.withColumn("_cell", F.substring("_tie", 1, 4))
-               .join(cut_cells, [*group, "_minute", "_ts", "_cell"])
+    singles = (opened.drop(*KNOWN, "place").join(cut_cells, [*keys, "_ts", "_cell"])
                .withColumn("_rank", F.row_number().over(in_cell)).where(F.col("_rank") <= F.col("need"))
                .groupBy(*keys).agg(
                    *[F.max(name).alias(name) for name in ("n_all", "sum_all", "count_all")],
                    (F.max("older_sum") + F.coalesce(F.sum("_value"), F.lit(0.0))).alias("older_sum"),
                    (F.max("older_count") + F.count("_value")).alias("older_count")))
-
-    final = [*keys, "n_all", "sum_all", "count_all", "older_sum", "older_count"]
-    done = (minute.where("NOT cut").select(*final).unionByName(cell.where("NOT cut").select(*final))
-            .unionByName(singles.select(*final)))
+    uncut = opened.groupBy(*keys).agg(*known(1, final)).where("n_all IS NOT NULL")
+    done = (uncut.unionByName(cell.where("place = 1").select(*keys, *final))
+            .unionByName(singles.select(*keys, *final)))
     older = F.try_divide("older_sum", F.nullif("older_count", F.lit(0)))
     newer = F.try_divide(F.col("sum_all") - F.col("older_sum"),
                          F.nullif(F.col("count_all") - F.col("older_count"), F.lit(0)))
     move = F.greatest(F.least(F.coalesce(newer, older) - older, F.lit(1.0)), F.lit(-1.0))
     return done.select(*keys, F.when(F.col("n_all") < 2, F.lit(0.0)).otherwise(
         F.coalesce(move, F.lit(0.0))).alias("momentum"))
+
+
+def half_split_momentum(rows: DataFrame, group: Sequence[str], ts: str, tie: str, value: str,
+                        keys: Sequence[str] | None = None, expand: Expand | None = None) -> DataFrame:
+    """-> (keys, momentum), clamped to [-1, 1]; groups of one row give 0.0.
+
+    ``group`` are the columns of ``rows`` to count by. ``expand`` may fan the counted minutes out
+    to ``keys`` (sliding frames): counts are repeated then, never the rows themselves, except for
+    the rows of the minutes that a midpoint cuts.
+    """
+    keys = list(keys or group)
+    narrow = rows.select(
+        *group, F.date_trunc("minute", ts).alias("_minute"), F.col(ts).alias("_ts"),
+        tie_of(rows, tie).alias("_tie"), F.col(value).alias("_value"))
+    minutes = narrow.groupBy(*group, "_minute").agg(*minute_measures("_value"))
+    located = locate_midpoints(expand(minutes) if expand else minutes, keys)
+    cut = located.where("place > 0").select(*dict.fromkeys([*group, *keys]), "_minute", "place", *KNOWN)
+    return finish_split(shared_exchange(narrow.join(cut, [*group, "_minute"]), [*keys, "_ts", "_tie"]), keys)

@@ -1,8 +1,10 @@
 """One recommendation per ticker from a window of scored headlines.
 
-Everything that adds up is reduced first to (ticker, slot, category, source), in one hash
-aggregation over the headlines. A slot is the day for sliding windows and a constant for a single
-window. Sliding windows then repeat these small cells, not the headlines.
+The headlines are read twice. Everything that adds up is reduced first to (ticker, slot, minute,
+category, source), in one hash aggregation. A slot is the day for sliding windows and a constant for
+a single window; sliding windows repeat these counts, not the headlines. The counts also tell which
+minutes hold the strongest headline, the newest ones and the midpoint in time; only the headlines
+of these minutes are read again.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 from newsgauge.functions.numbers import clamp, label_by_threshold, ratio, tier_weight
 from newsgauge.functions.text import title_case
-from newsgauge.operators.frames import filter_tickers, with_defaults
-from newsgauge.operators.halfsplit import half_split_momentum
+from newsgauge.operators.frames import as_one, filter_tickers, shared_exchange, with_defaults, within_days
+from newsgauge.operators.halfsplit import KNOWN, finish_split, locate_midpoints, tie_of
 from newsgauge.operators.keyed import first_rows
 from newsgauge.options import LOCAL, InsightOptions
 
@@ -33,17 +35,22 @@ def row_weight() -> Column:
 
 
 def recent_headlines(scored: DataFrame, since: datetime | Column, tickers=None) -> DataFrame:
-    """Published on or after ``since``, optionally for some tickers, newest first."""
+    """Published on or after ``since``, optionally for some tickers; day partitions before it are not read."""
     low = since if isinstance(since, Column) else F.lit(since)
-    return filter_tickers(scored.where(F.col("published_at_utc") >= low), tickers).orderBy(
-        F.col("published_at_utc").desc())
+    rows = within_days(scored, "published_at_utc", low, None).where(F.col("published_at_utc") >= low)
+    return filter_tickers(rows, tickers)
+
+
+def newest_first(headlines: DataFrame) -> DataFrame:
+    """The order of the reader; inside a plan nothing needs it."""
+    return headlines.orderBy(F.col("published_at_utc").desc())
 
 
 def insights_for_window(scored: DataFrame, insight_date: date, opts: InsightOptions = InsightOptions(),
                         external: DataFrame | None = None, sectors: DataFrame | None = None) -> DataFrame:
     """Every row of ``scored`` belongs to the one window; filter it beforehand."""
     day = F.lit(insight_date)
-    return _insights(scored, day, lambda cells: cells.withColumn("insight_date", F.col("_slot")),
+    return _insights(scored, day, lambda cells, _: cells.withColumn("insight_date", F.col("_slot")),
                      opts, external, sectors)
 
 
@@ -54,29 +61,39 @@ def insights_for_days(scored: DataFrame, opts: InsightOptions = InsightOptions()
     """Insights of every active day d over headlines of [d - lookback, d + 1), all days in one job."""
     rows = filter_tickers(scored.withColumn("ticker", F.upper("ticker")), tickers)
     ts = F.col("published_at_utc")
-    if start is not None:
-        rows = rows.where(ts >= F.lit(start).cast("timestamp"))
-    if end is not None:
-        rows = rows.where(ts < F.lit(end + timedelta(days=1)).cast("timestamp"))
-    active = rows.select(ts.cast("date").alias("insight_date")).distinct()
-
-    def slide(cells: DataFrame) -> DataFrame:
+    low = F.lit(start).cast("timestamp") if start is not None else None
+    high = F.lit(end + timedelta(days=1)).cast("timestamp") if end is not None else None
+    rows = within_days(rows, "published_at_utc", low, high)
+    if low is not None:
+        rows = rows.where(ts >= low)
+    if high is not None:
+        rows = rows.where(ts < high)
+
+    def slide(cells: DataFrame, slots: DataFrame) -> DataFrame:
+        active = slots.select(F.col("_slot").alias("insight_date")).distinct()
         frames = F.sequence(F.col("_slot"), F.date_add("_slot", opts.lookback_days))
         return cells.withColumn("insight_date", F.explode(frames)).join(active, "insight_date", "left_semi")
 
     return _insights(rows, ts.cast("date"), slide, opts, external, sectors)
 
 
-def _insights(scored: DataFrame, slot: Column, expand: Callable[[DataFrame], DataFrame],
+def _insights(scored: DataFrame, slot: Column, slide: Callable[[DataFrame, DataFrame], DataFrame],
               opts: InsightOptions, external: DataFrame | None, sectors: DataFrame | None) -> DataFrame:
-    rows = (with_defaults(scored, DEFAULTS).where(F.col("ticker").isNotNull())
-            .withColumns({"_slot": slot, "_w": row_weight()}))
-    c = F.col("compound_score")
-    cells = expand(rows.groupBy("ticker", "_slot", "category", "source").agg(
+    rows = with_defaults(scored.withColumn("_tie", tie_of(scored, "content_hash")), DEFAULTS)
+    ts, c = F.col("published_at_utc"), F.col("compound_score")
+    rows = (rows.where(F.col("ticker").isNotNull())
+            .withColumns({"_slot": slot, "_w": row_weight(), "_minute": F.date_trunc("minute", ts)}))
+    fine = as_one(rows.groupBy("ticker", "_slot", "_minute", "category", "source").agg(
         F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"),
         F.sum(c * F.col("_w")).alias("cw"), F.sum(F.col("confidence") * F.col("_w")).alias("fw"),
-        F.count_if(c >= 0).alias("n_up"), F.count_if(c <= 0).alias("n_down"),
-        F.count_if(c < -0.2).alias("n_bad")))
+        F.count_if(c >= 0).alias("n_up"), F.count_if(c <= 0).alias("n_down"), F.count_if(c < -0.2).alias("n_bad"),
+        F.sum(c).alias("total"), F.count(c).alias("n_value"), F.max(F.abs(c)).alias("most")))
+
+    def expand(cells: DataFrame) -> DataFrame:
+        return slide(cells, fine)
+
+    cells = expand(fine.groupBy("ticker", "_slot", "category", "source").agg(
+        *[F.sum(name).alias(name) for name in ("n", "w", "cw", "fw", "n_up", "n_down", "n_bad")]))
     political = F.col("category") == "political"
     sums = cells.groupBy(*KEYS).agg(
         F.sum("n").alias("headline_count"), F.sum("w").alias("w"), F.sum("cw").alias("cw"),
@@ -86,11 +103,13 @@ def _insights(scored: DataFrame, slot: Column, expand: Callable[[DataFrame], Dat
         F.coalesce(F.sum(F.when(F.col("category") == "financial", F.col("n"))), F.lit(0))
         .alias("financial_headline_count"))
 
-    momentum = half_split_momentum(rows, ["ticker", "_slot"], "published_at_utc", "content_hash",
-                                   "compound_score", KEYS, expand)
-    joined = (sums.join(momentum, KEYS, "left").join(category_mix(cells), KEYS, "left")
-              .join(_catalysts(rows, expand), KEYS, "left")
-              .join(_evidence(rows, expand, opts.evidence_rows), KEYS, "left"))
+    minutes = _marked_minutes(expand(fine.groupBy("ticker", "_slot", "_minute").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("n_value").alias("n_value"), F.max("most").alias("most"))),
+        opts.evidence_rows)
+    opened = _opened(rows, minutes)
+    cut = opened.select(*KEYS, "place", ts.alias("_ts"), "_tie", c.alias("_value"), *KNOWN)
+    joined = (sums.join(finish_split(cut, KEYS), KEYS, "left").join(category_mix(cells), KEYS, "left")
+              .join(_catalysts(opened), KEYS, "left").join(_evidence(opened, opts.evidence_rows), KEYS, "left"))
     if external is not None:
         scores = (external.where(F.col("score").isNotNull())
                   .groupBy(F.upper("ticker").alias("_upper")).agg(F.max("score").alias("external_score")))
@@ -115,21 +134,37 @@ def category_mix(cells: DataFrame) -> DataFrame:
     return listed.select(*KEYS, F.array_join(entry, ", ").alias("category_mix"))
 
 
-def _catalysts(rows: DataFrame, expand) -> DataFrame:
-    """Strongest headline: largest |compound|, then newest, then hash. Best per slot, then per frame."""
-    order = [F.col("_abs").desc_nulls_last(), F.col("published_at_utc").desc(), F.col("content_hash")]
-    narrow = rows.select("ticker", "_slot", "published_at_utc", "content_hash", "headline", "topic",
-                         F.abs("compound_score").alias("_abs"))
-    per_slot = first_rows(narrow, ["ticker", "_slot"], order)
-    best = first_rows(expand(per_slot), KEYS, order)
-    return best.select(*KEYS, F.col("headline").alias("top_headline"), F.col("topic").alias("top_topic"))
+def _marked_minutes(minutes: DataFrame, k: int) -> DataFrame:
+    """Minutes of every key with the midpoint's place, and whether they hold the strongest headline or the newest k."""
+    whole = Window.partitionBy(*KEYS)
+    located = locate_midpoints(minutes, KEYS).withColumn("_best", F.max("most").over(whole))
+    strongest = F.when(F.col("most").eqNullSafe(F.col("_best")), F.col("_minute"))
+    return located.withColumns({
+        "_strong": F.coalesce(F.max(strongest).over(whole).eqNullSafe(F.col("_minute")), F.lit(False)),
+        "_new": F.col("n_all") - F.col("n_before") - F.col("n") < k})
+
+
+def _opened(rows: DataFrame, minutes: DataFrame) -> DataFrame:
+    """The headlines of the marked minutes, read once for everything that needs single headlines. Other minutes hold
+    neither the strongest headline nor one of the newest, so readers rank all rows there are."""
+    wanted = minutes.where("place > 0 OR _strong OR _new").select(*KEYS, "_slot", "_minute", "place", *KNOWN)
+    wanted = wanted.withColumnsRenamed({x: f"{x}_" for x in ("ticker", "_slot", "_minute")})
+    narrow = rows.select("ticker", "_slot", "_minute", "published_at_utc", "content_hash", "_tie", "headline", "topic", "compound_score")
+    same = ((F.col("ticker") == F.col("ticker_")) & F.col("_slot").eqNullSafe(F.col("_slot_"))
+            & F.col("_minute").eqNullSafe(F.col("_minute_")))
+    # dealt out by headline: a burst in one minute is not one task
+    return shared_exchange(narrow.join(wanted, same).drop("ticker_", "_slot_", "_minute_"), [*KEYS, "_tie"])
+
+
+def _catalysts(opened: DataFrame) -> DataFrame:
+    """Strongest headline: largest |compound|, then newest, then hash."""
+    order = [F.abs("compound_score").desc_nulls_last(), F.col("published_at_utc").desc(), F.col("content_hash"), F.col("_tie")]
+    return first_rows(opened, KEYS, order).select(*KEYS, F.col("headline").alias("top_headline"), F.col("topic").alias("top_topic"))
 
 
-def _evidence(rows: DataFrame, expand, k: int) -> DataFrame:
-    """Hashes of the newest k headlines, newest first. k per slot, then k per frame."""
-    order = [F.col("published_at_utc").desc(), F.col("content_hash")]
-    narrow = rows.select("ticker", "_slot", "published_at_utc", "content_hash")
-    newest = first_rows(expand(first_rows(narrow, ["ticker", "_slot"], order, k)), KEYS, order, k, "_pos")
+def _evidence(opened: DataFrame, k: int) -> DataFrame:
+    """Hashes of the newest k headlines, newest first."""
+    newest = first_rows(opened, KEYS, [F.col("published_at_utc").desc(), F.col("content_hash"), F.col("_tie")], k, "_pos")
     listed = newest.groupBy(*KEYS).agg(
         F.sort_array(F.collect_list(F.struct("_pos", "content_hash"))).alias("_list"))
     return listed.select(*KEYS, F.transform("_list", lambda e: e["content_hash"]).alias("source_headline_hashes"))

@@ -197,25 +197,32 @@ def active_signals(signals: DataFrame) -> DataFrame:
 
 def build_marts(scored: DataFrame, opts: MartOptions = WAREHOUSE,
                 insights: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All marts of one flavour, lazily, ordered the way they are read."""
+    """All marts of one flavour, lazily and unordered; ``in_read_order`` sorts what a reader takes."""
     daily = daily_sentiment(scored, opts)
     rolling = rolling_sentiment(daily, opts)
-    newest_first = [F.col("sentiment_date").desc(), F.col("ticker")]
     return {
-        "latest": latest_headlines(scored).orderBy(F.col("published_at_utc").desc()),
-        "daily": daily.orderBy(*newest_first),
-        "rolling": rolling.orderBy(*newest_first),
-        "signals": sentiment_signals(rolling, opts, insights).orderBy(*newest_first),
-        "market": market_index(daily, opts).orderBy(F.col("sentiment_date").desc()),
+        "latest": latest_headlines(scored),
+        "daily": daily,
+        "rolling": rolling,
+        "signals": sentiment_signals(rolling, opts, insights),
+        "market": market_index(daily, opts),
         "audit": coverage_audit(scored, opts),
     }
 
 
+def in_read_order(name: str, mart: DataFrame) -> DataFrame:
+    """Newest first, then by ticker; the audit is one row."""
+    stamp = {"latest": "published_at_utc", "audit": None}.get(name, "sentiment_date")
+    if stamp is None:
+        return mart
+    return mart.orderBy(F.col(stamp).desc(), *(["ticker"] if "ticker" in mart.columns else []))
+
+
 def publish_views(marts: dict[str, DataFrame]) -> None:
     for name, frame in marts.items():
         frame.createOrReplaceTempView(name)
 
 
 __all__ = ["LOCAL", "WAREHOUSE", "active_signals", "build_marts", "coverage_audit",
-           "daily_sentiment", "latest_headlines", "market_index", "publish_views",
+           "daily_sentiment", "in_read_order", "latest_headlines", "market_index", "publish_views",
            "rolling_sentiment", "sentiment_signals"]

@@ -13,7 +13,6 @@ from newsgauge.operators.asof import resolve_quotes
 from newsgauge.operators.keyed import first_rows
 from newsgauge.options import PortfolioOptions
 from newsgauge.plans.insights import latest_insight_per_ticker
-from newsgauge.session import durable
 
 POSITION_COLUMNS = ["run_name", "ticker", "quantity", "avg_cost_cad", "last_price_cad",
                     "market_value_cad", "unrealized_pnl_cad"]
@@ -195,13 +194,11 @@ def rebalance(runs: DataFrame, positions: DataFrame, insights: DataFrame, quotes
               day: date, opts: PortfolioOptions = PortfolioOptions()) -> dict[str, DataFrame]:
     """One trading day for every run -> trades, positions, runs (new cash) and snapshots.
 
-    ``quotes`` has one row per ticker, synthetic ones included. What several outputs share is
-    written once to the shared folder instead of being computed again for each of them.
+    ``quotes`` has one row per ticker, synthetic ones included. Nothing runs before an output is read.
     """
     rate = opts.usd_to_cad_rate
-    latest = durable(latest_insight_per_ticker(insights))
-    quotes = durable(quotes)
-    marked = durable(mark_to_market(positions, quotes, rate))
+    latest = latest_insight_per_ticker(insights)
+    marked = mark_to_market(positions, quotes, rate)
     sells = sell_orders(marked, latest, quotes, rate)
     kept = marked.join(sells.select("run_name", "ticker"), ["run_name", "ticker"], "left_anti")
 
@@ -214,7 +211,7 @@ def rebalance(runs: DataFrame, positions: DataFrame, insights: DataFrame, quotes
     share = max(0.0, min(1.0, 1 - opts.cash_reserve_pct))
     funds = funds.select("run_name", "cash_cad", (
         (F.col("cash_cad") + F.coalesce("_value", zero)) * share).alias("investable_cad"))
-    buys = durable(buy_orders(funds, target_allocation(latest, opts), kept, quotes, opts))
+    buys = buy_orders(funds, target_allocation(latest, opts), kept, quotes, opts)
 
     spent = buys.groupBy("run_name").agg(F.sum("gross_cad").alias("_spent"))
     new_runs = (runs.drop("cash_cad").join(funds.select("run_name", "cash_cad"), "run_name")
@@ -224,32 +221,3 @@ def rebalance(runs: DataFrame, positions: DataFrame, insights: DataFrame, quotes
     snapshots = portfolio_snapshot(run_sources(new_runs, positions, latest, quotes), new_positions, day)
     return {"trades": sells.unionByName(buys).select(*TRADE_COLUMNS), "positions": new_positions,
             "runs": new_runs, "snapshots": snapshots, "quotes": quotes}
-
-
-def backtest(runs: DataFrame, insights: DataFrame, quotes: DataFrame, days: Iterable[date],
-             opts: PortfolioOptions = PortfolioOptions(), resolve=resolve_quotes) -> dict[str, DataFrame]:
-    """Trades the given days in order. Cash and holdings carry over, so days are sequential;
-    all runs of a day go together. Each day's state is cut from its lineage in the shared folder.
-    """
-    spark = runs.sparkSession
-    positions = spark.createDataFrame([], ", ".join(
-        f"{c} {'string' if c in ('run_name', 'ticker') else 'double'}" for c in POSITION_COLUMNS))
-    trades, snapshots = [], []
-    for day in days:
-        known = latest_insight_per_ticker(insights.where(F.col("insight_date") <= F.lit(day)))
-        asked = (known.select("ticker").union(positions.select("ticker")).distinct()
-                 .withColumn("as_of", F.lit(day)))
-        today = resolve(asked, quotes).drop("as_of")
-        step = rebalance(runs, positions, known, today, day, opts)
-        trades.append(durable(step["trades"].withColumn("trade_date", F.lit(day))))
-        new_positions, new_runs = durable(step["positions"]), durable(step["runs"])
-        snapshots.append(durable(step["snapshots"]))
-        positions, runs = new_positions, new_runs
-
-    def stacked(frames: list[DataFrame]) -> DataFrame | None:
-        result = None
-        for frame in frames:
-            result = frame if result is None else result.unionByName(frame)
-        return result
-
-    return {"runs": runs, "positions": positions, "trades": stacked(trades), "snapshots": stacked(snapshots)}

@@ -262,7 +262,3 @@ def segment_table(evaluations: DataFrame, limit: int = 20) -> DataFrame:
 
 def newest_runs(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.col("started_at_utc").desc(), "run_id")
-
-
-def first_tickers(tickers: DataFrame, n: int, position: str = "position") -> DataFrame:
-    return tickers.orderBy(position).limit(n)

@@ -84,6 +84,7 @@ TABLES: dict[str, T.StructType] = {
     "portfolio_snapshots": SNAPSHOT,
     "health_alerts": HEALTH_ALERT,
     "report_runs": REPORT_RUN,
+    "rejected_messages": _schema("value string"),
 }
 
 NATURAL_KEYS: dict[str, list[str]] = {
@@ -98,6 +99,7 @@ NATURAL_KEYS: dict[str, list[str]] = {
     "portfolio_snapshots": ["run_name", "snapshot_date"],
     "health_alerts": ["alert_key"],
     "report_runs": ["report_name", "period_start", "period_end"],
+    "rejected_messages": ["value"],
 }
 
 # child table, child column, parent table, parent column

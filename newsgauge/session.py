@@ -36,12 +36,6 @@ def shuffle_partitions_for(input_bytes: int, cores: int, target_bytes: int = 128
     return max(cores, math.ceil(input_bytes / target_bytes))
 
 
-def size_shuffle(spark: SparkSession, input_bytes: int) -> int:
-    parts = shuffle_partitions_for(input_bytes, spark.sparkContext.defaultParallelism)
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    return parts
-
-
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names, a temp one only in local mode."""
     context = spark.sparkContext
@@ -53,12 +47,3 @@ def shared_root(spark: SparkSession) -> str:
     root = tempfile.mkdtemp(prefix="newsgauge-")
     context.setCheckpointDir(root)
     return root
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder, so a lost executor costs nothing."""
-    spark = df.sparkSession
-    root = shared_root(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)

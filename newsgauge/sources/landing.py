@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsgauge.functions.numbers import clamp
-from newsgauge.functions.text import collapse_or_null, parse_feed_date, parse_timestamp
+from newsgauge.functions.text import collapse_or_null, epoch_timestamp, parse_feed_date, parse_timestamp
 from newsgauge.operators.frames import split_list
 from newsgauge.operators.keyed import first_rows
 
@@ -114,7 +114,7 @@ def bar_closes(payloads: DataFrame, as_of: Column, keys: Sequence[str] = ("ticke
     """Aggregate-bars JSON: results[] of {t: epoch ms, c: close}."""
     bars = F.from_json("payload", "results array<struct<t:bigint,c:double>>")["results"]
     rows = payloads.select(*keys, F.posexplode(bars).alias("_at", "_b")).select(
-        *keys, "_at", F.to_date(F.timestamp_millis(F.col("_b.t"))).alias("quote_date"),
+        *keys, "_at", F.to_date(epoch_timestamp(F.col("_b.t") / 1000, fractions=True)).alias("quote_date"),
         F.col("_b.c").alias("close"))
     return _latest_close(rows, list(keys), "polygon", as_of)
 
@@ -140,7 +140,7 @@ def chart_closes(payloads: DataFrame, as_of: Column, keys: Sequence[str] = ("tic
     closes = F.try_element_at(result["indicators"]["quote"], F.lit(1))["close"]
     pairs = F.arrays_zip(stamps.alias("t"), closes.alias("c"))
     rows = payloads.select(*keys, F.posexplode(pairs).alias("_at", "_p")).select(
-        *keys, "_at", F.to_date(F.timestamp_seconds(F.col("_p.t"))).alias("quote_date"),
+        *keys, "_at", F.to_date(epoch_timestamp(F.col("_p.t"))).alias("quote_date"),
         F.col("_p.c").alias("close"))
     return _latest_close(rows, list(keys), "yahoo_chart", as_of)
 
@@ -209,28 +209,29 @@ def split_heavy_windows(daily_counts: DataFrame, windows: DataFrame, threshold:
 
     ``daily_counts`` is (ticker, day, n); ``windows`` is (ticker, start_date, end_date), disjoint
     per ticker. A window of N days can only break along one fixed halving tree, and a part is
-    reached exactly when its parent is heavy. So every day is added to the at most log2(N) + 1 parts that hold it, and
-    all splits are decided in one aggregation instead of a request loop.
+    reached exactly when its parent is heavy. So every day is added to the at most log2(N) + 1 parts
+    that hold it, whose bounds follow from its offset, and all splits are decided in one aggregation
+    instead of a request loop.
     """
-    spans = windows.withColumn("days", F.datediff("end_date", "start_date") + 1)
-    # One tree per distinct window length; the lengths are calendar spans, not data.
-    lengths = [r["days"] for r in spans.select("days").distinct().orderBy("days").collect()]
-    nodes = [(n, *node) for n in lengths for node in _halving_tree(n)]
-    spark = daily_counts.sparkSession
-    tree = spark.createDataFrame(nodes, "days int, lo int, hi int, parent_lo int, parent_hi int")
-
-    per_day = (daily_counts.withColumnRenamed("day", "_day").join(spans, "ticker")
-               .where(F.col("_day").between(F.col("start_date"), F.col("end_date")))
-               .withColumn("at", F.datediff("_day", "start_date")))
-    holders = tree.withColumn("at", F.explode(F.sequence("lo", "hi"))).select("days", "at", "lo", "hi")
     key = ["ticker", "start_date", "days"]
-    counted = (per_day.join(holders, ["days", "at"]).groupBy(*key, "lo", "hi")
-               .agg(F.sum("n").alias("n")))
-    heavy = counted.where((F.col("n") >= threshold) & (F.col("hi") > F.col("lo"))).select(
-        *key, F.col("lo").alias("parent_lo"), F.col("hi").alias("parent_hi"))
+    spans = windows.withColumn("days", F.datediff("end_date", "start_date") + 1)
+    # Windows and days of a ticker in one order: the last window begun is the only one that can hold a day.
+    begun = spans.select("ticker", F.col("start_date").alias("_day"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("n"),
+                         F.struct("start_date", "days").alias("_w"))
+    days = daily_counts.select("ticker", F.col("day").alias("_day"), F.lit(1).alias("_kind"), F.col("n").cast("bigint").alias("n"),
+                               F.lit(None).cast(begun.schema["_w"].dataType).alias("_w"))
+    back = Window.partitionBy("ticker").orderBy("_day", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    per_day = (begun.unionByName(days).withColumn("_w", F.last("_w", ignorenulls=True).over(back)).where("_kind = 1")
+               .select("ticker", "_w.start_date", "_w.days", "n", F.datediff("_day", "_w.start_date").alias("at"))
+               .where(F.col("at") < F.col("days")))
+    counted = (per_day.select(*key, "n", F.explode(_halves_of(F.col("at"), F.col("days"))).alias("_p"))
+               .select(*key, "n", "_p.lo", "_p.hi").groupBy(*key, "lo", "hi").agg(F.sum("n").alias("n")))
+    middle = F.col("lo") + F.expr("(hi - lo + 1) div 2").cast("int")
+    heavy = counted.where((F.col("n") >= threshold) & (F.col("hi") > F.col("lo")))
     # The whole window is always reached; a part is reached through its heavy parent.
+    parts = heavy.select(*key, F.explode(F.array(
+        F.struct(F.col("lo"), (middle - 1).alias("hi")), F.struct(middle.alias("lo"), F.col("hi")))).alias("_p")).select(*key, "_p.lo", "_p.hi")
     roots = spans.select(*key, F.lit(0).alias("lo"), (F.col("days") - 1).alias("hi"))
-    parts = heavy.join(tree.where("parent_lo is not null"), ["days", "parent_lo", "parent_hi"]).select(*key, "lo", "hi")
     reached = roots.unionByName(parts).join(counted, [*key, "lo", "hi"], "left")
     rows = F.coalesce("n", F.lit(0))
     final = reached.where((rows < threshold) | (F.col("hi") == F.col("lo")))
@@ -238,13 +239,16 @@ def split_heavy_windows(daily_counts: DataFrame, windows: DataFrame, threshold:
                         F.date_add("start_date", F.col("hi")).alias("end_date"), rows.alias("n"))
 
 
-def _halving_tree(days: int):
-    """(lo, hi, parent_lo, parent_hi) day offsets; the left part gets days // 2."""
-    open_parts = [(0, days - 1, None, None)]
-    while open_parts:
-        lo, hi, plo, phi = open_parts.pop()
-        yield lo, hi, plo, phi
-        size = hi - lo + 1
-        if size > 1:
-            mid = lo + size // 2 - 1
-            open_parts += [(lo, mid, lo, hi), (mid + 1, hi, lo, hi)]
+def _halves_of(at: Column, days: Column) -> Column:
+    """array<struct<lo, hi>>: the parts of the halving tree that hold offset ``at``; the left part gets days // 2."""
+    def part(lo: Column, hi: Column) -> Column:
+        return F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    def deeper(parts: Column, _level: Column) -> Column:
+        lo, hi = (F.element_at(parts, -1)[x] for x in ("lo", "hi"))
+        middle = lo + F.floor((hi - lo + 1) / 2)
+        half = F.when(at < middle, part(lo, middle - 1)).otherwise(part(middle, hi))
+        return F.when(lo == hi, parts).otherwise(F.concat(parts, F.array(half)))
+
+    levels = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(days.cast("double"))), F.lit(1)).cast("int"))
+    return F.aggregate(levels, F.array(part(F.lit(0), days - 1)), deeper)

@@ -19,10 +19,16 @@ from newsgauge.operators.keyed import first_rows
 # ---------------------------------------------------------------- set logic
 
 
+def _by_values(df: DataFrame) -> list[Column]:
+    """An order by everything in a row, so that a choice among copies never depends on how they arrive."""
+    return [F.xxhash64(*df.columns), F.to_json(F.struct(*df.columns))]
+
+
 def absent_rows(target: DataFrame, batch: DataFrame, keys: Sequence[str],
                 order: Sequence[Column] = ()) -> DataFrame:
-    """Rows of the batch whose key the target lacks, one per key (first by ``order``)."""
-    one_each = first_rows(batch, keys, order) if order else batch.dropDuplicates(list(keys))
+    """Rows of the batch whose key the target lacks, one per key: the first by ``order``, and of rows that are
+    equal there the first by all their values."""
+    one_each = first_rows(batch, keys, [*order, *_by_values(batch)])
     return one_each.join(target.select(*keys), list(keys), "left_anti")
 
 
@@ -41,14 +47,15 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str],
            update_columns: Sequence[str] | None = None, batch_order: str | None = None) -> DataFrame:
     """Merged table: listed columns take the update, the rest keep their first value.
 
-    Of several updates for one key the last by ``batch_order`` wins. Columns that only one side
+    Of several updates for one key the last by ``batch_order`` wins; without it there must be one, and of
+    several that differ the choice is by their values. Columns that only one side
     has are kept, so the table grows additively.
     """
     keys = list(keys)
     if batch_order:
         updates = first_rows(updates, keys, [F.col(batch_order).desc()]).drop(batch_order)
     else:
-        updates = updates.dropDuplicates(keys)
+        updates = first_rows(updates, keys, _by_values(updates))
     changing = [c for c in (update_columns if update_columns is not None else updates.columns) if c not in keys]
     columns = [*target.columns, *[c for c in updates.columns if c not in target.columns]]
     old = target.select(*keys, F.struct(*[c for c in target.columns if c not in keys] or [F.lit(1).alias("_")]).alias("_old"))
@@ -149,6 +156,7 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
 # ---------------------------------------------------------------- files
 
 DAY = "published_day"  # partition column of the day-partitioned tables
+KEPT_VERSIONS = 2  # versions of a table that a rewrite leaves, the new one included
 
 
 class Tables:
@@ -196,16 +204,20 @@ class Tables:
         return self.spark.read.schema(declared).parquet(path)
 
     def _prepared(self, name: str, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """Rows brought together by day, large days split by size: a few files a day, not one per task and day."""
         stamp = schemas.DAY_PARTITIONED.get(name)
         if stamp is None:
-            return df, []
-        return df.withColumn(DAY, F.col(stamp).cast("date")), [DAY]
+            return df.hint("rebalance"), []
+        return df.withColumn(DAY, F.col(stamp).cast("date")).hint("rebalance", DAY), [DAY]
 
     def replace(self, name: str, df: DataFrame) -> None:
         taken = self._versions(name, finished=False)
         rows, partitions = self._prepared(name, df)
         target = f"{self.root}/{name}/v{taken[-1] + 1 if taken else 1}"
         rows.write.mode("error").partitionBy(*partitions).parquet(target)
+        path, files = self._files()
+        for old in self._versions(name)[:-KEPT_VERSIONS]:
+            files.delete(path(f"{self.root}/{name}/v{old}"), True)
 
     def append(self, name: str, df: DataFrame) -> None:
         path = self.path(name)
@@ -216,13 +228,15 @@ class Tables:
 
     def insert_if_absent(self, name: str, batch: DataFrame, order: Sequence[Column] = ()) -> None:
         """Appends the rows whose key is new. On day-partitioned tables only the days of the batch
-        are read: the key contains the timestamp, so a copy can only be on the same day."""
+        are read (its set of days, not the span): the key contains the timestamp, so a copy can only be
+        on the same day, or among the rows without a day."""
         keys = schemas.NATURAL_KEYS[name]
         stamp = schemas.DAY_PARTITIONED.get(name)
         target = self.read(name)
         if stamp is not None and self.path(name) is not None:
-            span = batch.agg(F.min(F.col(stamp).cast("date")).alias("a"), F.max(F.col(stamp).cast("date")).alias("b")).first()
-            target = target.where(F.col(DAY).between(F.lit(span["a"]), F.lit(span["b"])))
+            days = [r[0] for r in batch.select(F.col(stamp).cast("date")).distinct().collect()]  # calendar days
+            same = F.col(DAY).isin([x for x in days if x is not None])
+            target = target.where(same | F.col(DAY).isNull() if None in days else same)
         self.append(name, absent_rows(target, batch, keys, order))
 
     def upsert(self, name: str, updates: DataFrame, update_columns: Sequence[str] | None = None,

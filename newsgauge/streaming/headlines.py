@@ -44,8 +44,9 @@ def publish_to_kafka(messages: DataFrame, servers: str, topic: str, checkpoint:
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def subscribe_kafka(spark: SparkSession, servers: str, topic: str, max_per_trigger: int | None = 1000) -> DataFrame:
-    """From the earliest offset on first start; afterwards the checkpoint is the position."""
+def subscribe_kafka(spark: SparkSession, servers: str, topic: str, max_per_trigger: int | None = None) -> DataFrame:
+    """From the earliest offset on first start; afterwards the checkpoint is the position. A batch takes what is
+    there unless the caller limits it."""
     reader = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
               .option("subscribe", topic).option("startingOffsets", "earliest"))
     if max_per_trigger:
@@ -85,12 +86,22 @@ def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
 
 
 def score_into(tables: Tables, as_of: Column | datetime, **scoring) -> Callable[[DataFrame, int], None]:
-    """Batch handler: parse, score and insert by content hash; replays change nothing."""
+    """Batch handler: parse, score and insert by content hash; messages that cannot be read go to their own
+    table. Replays change neither."""
 
     def handle(batch: DataFrame, _batch_id: int) -> None:
-        headlines, _ = parse_messages(batch)
-        scored = with_content_hash(score_headlines(headlines, as_of, **scoring))
-        tables.insert_if_absent("scored_headlines", scored, [F.col("published_at_utc").desc()])
+        held = batch.persist()
+        try:
+            headlines, rejects = parse_messages(held)
+            scored = with_content_hash(score_headlines(headlines, as_of, **scoring)).persist()
+            try:
+                tables.insert_if_absent("scored_headlines", scored, [F.col("published_at_utc").desc()])
+            finally:
+                scored.unpersist()
+            if not rejects.isEmpty():
+                tables.insert_if_absent("rejected_messages", rejects.where("value IS NOT NULL"))
+        finally:
+            held.unpersist()
 
     return handle
 

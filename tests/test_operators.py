@@ -154,3 +154,16 @@ def test_tolerant_frames(spark):
     assert frames.filter_tickers(df, []).count() == 2 and frames.filter_tickers(df, ["A"]).count() == 1
     assert frames.between_dates(df, "day", dt.date(2024, 1, 1), dt.date(2024, 1, 3)).count() == 1
     assert math.isclose(df.select(F.col("n").try_cast("double")).collect()[1][0], 3.5)
+
+
+def test_asof_ignores_case_and_answers_as_asked(spark):
+    quotes = spark.createDataFrame([("AAPL", dt.date(2024, 1, 3), 5.0, "polygon")], "ticker string, quote_date date, close_price_usd double, data_source string")
+    asks = spark.createDataFrame([("aapl", dt.date(2024, 1, 4)), ("AAPL", dt.date(2024, 1, 5))], "ticker string, as_of date")
+    for found in (asof.asof_quotes(asks, quotes), asof.resolve_quotes(asks, quotes)):
+        assert {(r["ticker"], r["close_price_usd"]) for r in found.collect()} == {("aapl", 5.0), ("AAPL", 5.0)}
+
+
+def test_momentum_without_ties_splits_a_burst(spark):
+    rows = [("a", dt.datetime(2024, 1, 1), float(v)) for v in (0.1, 0.2, 0.3, 0.4)]
+    got = half_split_momentum(spark.createDataFrame(rows, "k string, ts timestamp, v double"), ["k"], "ts", "content_hash", "v").first()
+    assert -1 <= got["momentum"] <= 1

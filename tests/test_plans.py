@@ -155,75 +155,25 @@ def test_performance_summary_splits_real_and_synthetic(spark):
     assert evaluation.run_summary(rows.limit(0)).first()["win_rate_pct"] == 0.0
 
 
-class Exchange:
-    """One run traded day by day in plain Python."""
-
-    def __init__(self, cash, opts):
-        self.cash, self.held, self.opts = cash, {}, opts
-
-    def day(self, views, quotes):
-        rate = self.opts.usd_to_cad_rate
-        price = {t: p * rate for t, (p, s) in quotes.items() if s != "synthetic"}
-        for t, h in self.held.items():
-            h["last"] = price.get(t, h["last"])
-        for t in [t for t in self.held if views.get(t, {}).get("label") == "negative" and t in price]:
-            self.cash += self.held.pop(t)["qty"] * price[t]
-        good = sorted([(t, v) for t, v in views.items() if v["label"] == "positive" and v["risk"] <= 0.65 and v["rec"] in ("strong_buy", "buy", "watch")],
-                      key=lambda x: (-x[1]["opp"], -x[1]["score"], -x[1]["conf"], x[0]))[:self.opts.max_positions]
-        raw = {t: max(v["opp"] * v["conf"] * {"strong_buy": 1.35, "buy": 1.0, "watch": 0.45}[v["rec"]], 0.01) for t, v in good}
-        equity = self.cash + sum(h["qty"] * h["last"] for h in self.held.values())
-        invest = equity * (1 - self.opts.cash_reserve_pct)
-        before = {t: h["qty"] * h["last"] for t, h in self.held.items()}
-        for t, _ in good:
-            if t not in price:
-                continue
-            amount = min(max(invest * raw[t] / sum(raw.values()) - before.get(t, 0.0), 0.0), self.cash)
-            if amount < 25:
-                continue
-            old = self.held.get(t, {"qty": 0.0, "cost": 0.0})
-            qty = old["qty"] + amount / price[t]
-            self.held[t] = {"qty": qty, "cost": (old["qty"] * old["cost"] + amount) / qty, "last": price[t]}
-            self.cash -= amount
-        return self.cash, sum(h["qty"] * h["last"] for h in self.held.values())
-
-
-def test_backtest_carries_cash_and_holdings_over_days(spark):
-    rng = random.Random(5)
-    opts = PortfolioOptions(max_positions=3)
-    days = [dt.date(2024, 1, 2) + dt.timedelta(days=i) for i in range(3)]
-    tickers = ["A", "B", "C", "D", "E"]
-    views, prices = {}, {}
-    for day in days:
-        for t in tickers:
-            if rng.random() < 0.8:
-                score = rng.uniform(-1, 1)
-                label = "positive" if score >= 0.12 else "negative" if score <= -0.12 else "neutral"
-                views[day, t] = dict(label=label, score=score, opp=rng.random(), conf=rng.uniform(0.3, 1), risk=rng.uniform(0, 0.8),
-                                     rec=rng.choice(["strong_buy", "buy", "watch"]))
-            prices[day, t] = (rng.uniform(5, 50), "synthetic" if t == "E" else "polygon")
-    insight_rows = [(hash((str(d), t)) % 10**9, t, d, v["label"], v["score"], v["opp"], v["conf"], v["risk"], v["rec"]) for (d, t), v in views.items()]
-    insights_df = spark.createDataFrame(insight_rows, "insight_id bigint, ticker string, insight_date date, signal_label string, signal_score double, "
-                                                      "opportunity_score double, confidence double, risk_score double, recommendation string")
-    quotes_df = spark.createDataFrame([(t, d, p, s) for (d, t), (p, s) in prices.items()], QUOTES)
-    runs = spark.createDataFrame([("big", 5000.0, 5000.0), ("small", 60.0, 60.0)], "run_name string, starting_cash_cad double, cash_cad double")
-
-    def exact(asks, quotes):
-        return asks.join(quotes.withColumnRenamed("quote_date", "as_of"), ["ticker", "as_of"]).withColumn("quote_date", F.col("as_of"))
-
-    result = portfolio.backtest(runs, insights_df, quotes_df, days, opts, resolve=exact)
-    got = {(r["run_name"], r["snapshot_date"]): r for r in result["snapshots"].collect()}
-    for name, cash in (("big", 5000.0), ("small", 60.0)):
-        exchange, known = Exchange(cash, opts), {}
-        for day in days:
-            known.update({t: v for (d, t), v in views.items() if d == day})
-            left, value = exchange.day(known, {t: prices[day, t] for t in tickers})
-            row = got[name, day]
-            assert row["cash_cad"] == pytest.approx(left) and row["positions_value_cad"] == pytest.approx(value)
-            assert row["data_source"] == ",".join(sorted({prices[day, t][1] for t in set(known) | set(exchange.held)}))
-        final = {r["ticker"]: r for r in result["positions"].where(F.col("run_name") == name).collect()}
-        assert final.keys() == exchange.held.keys()
-        for t, h in exchange.held.items():
-            assert final[t]["quantity"] == pytest.approx(h["qty"]) and final[t]["avg_cost_cad"] == pytest.approx(h["cost"])
+def _executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+
+
+def test_insights_read_the_headlines_twice(spark, tmp_path):
+    rows = [(k % 7, k) for k in range(200)]
+    path = str(tmp_path / "scored")
+    base = spark.createDataFrame(rows, "t int, k int").select(
+        F.concat(F.lit("T"), F.col("t").cast("string")).alias("ticker"), F.lit("h").alias("headline"), F.lit("src").alias("source"),
+        (F.timestamp_seconds(F.lit(1_704_067_200) + F.col("k") * 5_000)).alias("published_at_utc"), F.lit(0.3).alias("compound_score"),
+        F.lit(0.9).alias("confidence"), F.lit(2).alias("source_tier"), F.lit("financial").alias("category"), F.lit("").alias("topic"),
+        F.sha2(F.col("k").cast("string"), 256).alias("content_hash"))
+    base.write.parquet(path)
+    stored = spark.read.parquet(path)
+    one = _executed(insights.insights_for_window(stored, dt.date(2024, 1, 12)))
+    days = _executed(insights.insights_for_days(stored))
+    assert one.count("FileScan") <= 3 and days.count("FileScan") <= 4
+    assert "rangepartitioning" not in one + days
 
 
 def test_hot_tickers_use_the_zero_of_a_missing_insight(spark):

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from newsgauge import schemas
 from newsgauge.options import WAREHOUSE
 from newsgauge.plans import marts
+from newsgauge.operators import frames
+from newsgauge.plans import insights
 from newsgauge.session import shared_root, shuffle_partitions_for
 from newsgauge.sources import landing, tables
 from newsgauge.streaming import headlines as stream
@@ -142,3 +144,49 @@ def test_stream_replay_adds_nothing(spark, fresh, utc):
 def test_session_helpers(spark):
     assert shuffle_partitions_for(100 << 40, 4000) == 819200 and shuffle_partitions_for(1, 8) == 8
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def _headlines(spark, n, days):
+    return spark.range(n).select(
+        F.concat(F.lit("T"), (F.col("id") % 5).cast("string")).alias("ticker"), F.lit("h").alias("headline"), F.lit("s").alias("source"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("id") % days) * 86_400).alias("published_at_utc"),
+        F.sha2(F.col("id").cast("string"), 256).alias("content_hash"))
+
+
+def test_stored_days_are_few_files_and_pruned(spark, fresh):
+    store = tables.Tables(spark, fresh("pruned"))
+    store.insert_if_absent("scored_headlines", _headlines(spark, 2_000, 9).repartition(8))
+    read = store.read("scored_headlines")
+    assert len(read.inputFiles()) <= 9
+    for narrow in (insights.recent_headlines(read, dt.datetime(2024, 1, 8, tzinfo=dt.timezone.utc)),
+                   frames.between_days_of(read, "published_at_utc", dt.date(2024, 1, 2), dt.date(2024, 1, 3))):
+        plan = narrow._jdf.queryExecution().executedPlan().toString()
+        assert "published_day" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_rows_without_a_day_are_inserted_once(spark, fresh):
+    store = tables.Tables(spark, fresh("undated"))
+    batch = _headlines(spark, 4, 2).withColumn("published_at_utc", F.when(F.col("ticker") != "T1", F.col("published_at_utc")))
+    for _ in range(3):
+        store.insert_if_absent("scored_headlines", batch)
+    assert store.read("scored_headlines").count() == 4
+
+
+def test_old_versions_go(spark, fresh):
+    store = tables.Tables(spark, fresh("versions"))
+    quotes = spark.createDataFrame([("A", dt.date(2024, 1, 1), 1.0, "x")], "ticker string, quote_date date, close_price_usd double, data_source string")
+    for price in (1.0, 2.0, 3.0, 4.0):
+        store.upsert("price_quotes", quotes.withColumn("close_price_usd", F.lit(price)))
+    assert store.read("price_quotes").first()["close_price_usd"] == 4.0 and len(store._versions("price_quotes")) == tables.KEPT_VERSIONS
+
+
+def test_unreadable_messages_are_kept(spark, fresh, utc):
+    folder = fresh("messages")
+    good = '{"ticker":"A","headline":"h","source":"s","url":"u","published_at_utc":"1704067200"}'
+    bad = ["not json", good.replace("1704067200", "99999999999999999999"), good.replace("1704067200", "1704067200000000")]
+    spark.createDataFrame([(x,) for x in [good, *bad]], "value string").coalesce(1).write.text(folder)
+    store = tables.Tables(spark, fresh("store"))
+    for run in range(2):
+        stream.drain(stream.subscribe_files(spark, folder), stream.score_into(store, utc(2024, 1, 3)), fresh(f"at{run}")).awaitTermination()
+    assert store.read("scored_headlines").count() == 1
+    assert sorted(r["value"] for r in store.read("rejected_messages").collect()) == sorted(bad)

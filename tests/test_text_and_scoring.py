@@ -158,3 +158,10 @@ def test_collect_public_news_from_four_feeds(spark, utc):
     rows = ingest.collect_public_news(tickers, F.lit(now), 3, company, market, topic, policy, names).collect()
     assert {(r["ticker"], r["topic"]) for r in rows} == {
         ("NVDA", "market_news"), ("AAPL", "company_news"), ("PANW", "cybersecurity_policy"), ("UNH", "managed_care_medicare_policy")}
+
+
+def test_numeric_epochs(spark, utc):
+    df = spark.createDataFrame([(1_700_000_000.5, 1_700_000_000, "1700000000000000"), (float("nan"), None, "-1"), (1e300, 10**15, "1" * 40)],
+                               "f double, i bigint, s string")
+    got = [tuple(r) for r in df.select(*[text.parse_timestamp(F.col(c)).cast("double") for c in "fis"]).collect()]
+    assert got == [(1_700_000_000.5, 1_700_000_000.0, None), (None, None, None), (None, None, None)]
