@@ -200,7 +200,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_col:
         return pa.table({"id": pa.array(np.concatenate([q[linked], a])), "links": pa.array(np.concatenate([links[linked], np.zeros(len(a), dtype=np.int64)])),
                          "other": pa.concat_arrays([pa.nulls(len(linked), pa.int64()), pa.array(other)])})
 
-    found = staged(base.unionByName(queries).groupBy(*cell, "b", "q").applyInArrow(compare, "id long, links long, other long"), "found")
+    # dealt out by block pair: the joins above have the rows of a cell together, which a hot cell must not stay
+    dealt = base.unionByName(queries).repartition(*cell, "b", "q")
+    found = staged(dealt.groupBy(*cell, "b", "q").applyInArrow(compare, "id long, links long, other long"), "found")
     links = found.filter("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     linked = components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     told = (classes.join(links, F.col("rep") == links["id"], "left").drop("id").join(linked, F.col("rep") == linked["id"], "left")
