@@ -264,7 +264,20 @@ def _(spark, d):
 def _(spark, d):
     _, names = _match_frames(spark)
     items = doc_items(spark, d).withColumn("_search", matching.search_text())
-    return matching.phrase_matches(items, names, ["doc_id"], "_search", literal_limit=0)
+    return matching.phrase_matches(items, names, ["doc_id"], "_search")
+
+
+@register("j07_match_thousands_of_names", "doc_id:i ticker", """
+SELECT DISTINCT d.doc_id, 'N' || n.doc_id AS ticker
+FROM (SELECT doc_id, lower(string_split(text, chr(10))[1] || ' ' || text) AS body FROM documents) d
+JOIN (SELECT doc_id, lower(string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3]) AS name FROM documents
+  WHERE len(string_split(text, ' ')) > 3) n ON contains(d.body, n.name)""")
+def _(spark, d):
+    words = F.split("text", " ")
+    names = a.table(spark, d, "documents").where(F.size(words) > 3).select(
+        F.concat(F.lit("N"), _s("doc_id")).alias("ticker"), F.concat_ws(" ", words[1], words[2]).alias("name"))
+    items = doc_items(spark, d).withColumn("_search", matching.search_text())
+    return matching.phrase_matches(items, names, ["doc_id"], "_search")
 
 
 @register("j07_legacy_raw_symbol_match", "doc_id:i ticker", """

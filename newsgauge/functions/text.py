@@ -119,14 +119,22 @@ def policy_impact(text: Column,
                .otherwise(F.lit("mixed_or_unclear")))
 
 
-def policy_summary(title: Column, summary: Column, topic: Column, industry: Column) -> Column:
+def policy_impact_of(title: Column, summary: Column) -> Column:
+    """The impact of an item's whole text; it does not depend on the topic."""
+    return policy_impact(F.concat_ws(" ", title, F.coalesce(summary, F.lit(""))))
+
+
+def policy_sentence(summary: Column, impact: Column, topic: Column, industry: Column) -> Column:
     """Summary (when there is one) followed by the catalyst sentence."""
-    impact = policy_impact(F.concat_ws(" ", title, F.coalesce(summary, F.lit(""))))
     sentence = F.concat(F.lit("Policy catalyst: "), topic, F.lit(" for "), industry,
                         F.lit("; estimated policy impact is "), impact, F.lit("."))
     return F.concat_ws(" ", F.nullif(summary, F.lit("")), sentence)
 
 
+def policy_summary(title: Column, summary: Column, topic: Column, industry: Column) -> Column:
+    return policy_sentence(summary, policy_impact_of(title, summary), topic, industry)
+
+
 def provider_symbol(ticker: Column, style: str) -> Column:
     """The ticker as one quote provider spells it: 'dotted', 'dashed' or 'us_suffix'."""
     if style == "us_suffix":

@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from newsgauge.functions import fixed_values as fixed
 from newsgauge.functions.numbers import let
-from newsgauge.functions.text import casefold, policy_summary
+from newsgauge.functions.text import casefold, policy_impact_of, policy_sentence
 
-LITERAL_NAMES = 2_000     # company names tested as plan literals; more go through the gram join
-GRAM = 3
-SYMBOL_WIDTH = 16         # width of the stored ticker column; longer symbols take the phrase path
+GRAM = 3  # letters of the parts by which names are looked up
 
 
 def search_text(title: str = "title", summary: str = "summary") -> Column:
@@ -21,8 +19,7 @@ def search_text(title: str = "title", summary: str = "summary") -> Column:
                     F.coalesce(F.col(summary), F.lit("")))
 
 
-def symbol_matches(items: DataFrame, tickers: DataFrame, item_keys: Sequence[str], text: str,
-                   literal_limit: int = LITERAL_NAMES) -> DataFrame:
+def symbol_matches(items: DataFrame, tickers: DataFrame, item_keys: Sequence[str], text: str) -> DataFrame:
     """(item_keys, ticker) pairs where the symbol itself is mentioned.
 
     Symbols over two characters match as a blank-delimited token or after '$'; shorter ones only
@@ -35,76 +32,68 @@ def symbol_matches(items: DataFrame, tickers: DataFrame, item_keys: Sequence[str
                   F.array(F.concat(F.lit("w:"), compact), F.concat(F.lit("w:"), F.lower("ticker")),
                           F.concat(F.lit("$:"), compact)))
                   .otherwise(F.array(F.concat(F.lit("$:"), compact)))).alias("_mark")).distinct())
-
-    # A symbol list of known small size cuts the candidates in place, so few are ever exploded; a
-    # larger one leaves that to the join below.
-    sample = [r["_mark"] for r in wanted.select("_mark").distinct().limit(literal_limit + 1).collect()]
+    # "$abc" matches when the text after some '$' starts with the symbol, whatever follows, so the start of each
+    # length that symbols have is a candidate.
+    lengths = tickers.select(F.length(compact).alias("n")).distinct().agg(F.collect_set("n")).scalar()
 
     def marked(values: Column, prefix: str) -> Column:
-        if len(sample) <= literal_limit:
-            known = [m[2:] for m in sample if m.startswith(prefix)]
-            values = F.filter(values, lambda v: v.isin(known))
         return F.transform(values, lambda v: F.concat(F.lit(prefix), v))
 
-    # "$abc" matches when the text after some '$' starts with the symbol, whatever follows, so
-    # every length up to the longest symbol is a candidate.
     def after_dollar(folded: Column) -> Column:
         tails = F.filter(F.slice(F.split(folded, r"\$"), 2, 2_000_000_000), lambda t: t != "")
-        return F.flatten(F.transform(tails, lambda tail: F.transform(
-            F.sequence(F.lit(1), F.least(F.length(tail), F.lit(SYMBOL_WIDTH))),
-            lambda n: F.substr(tail, F.lit(1), n))))
+        starts = F.flatten(F.transform(tails, lambda tail: F.transform(
+            F.col("_lengths"), lambda n: F.when(n <= F.length(tail), F.substr(tail, F.lit(1), n)))))
+        return F.array_compact(starts)
 
     def marks(folded: Column) -> Column:
-        none = F.array().cast("array<string>")
-        dollars = F.when(F.contains(folded, F.lit("$")), after_dollar(folded)).otherwise(none)
+        dollars = F.when(F.contains(folded, F.lit("$")), after_dollar(folded)).otherwise(F.array().cast("array<string>"))
         return F.concat(marked(F.split(folded, " "), "w:"), marked(dollars, "$:"))
 
     found = F.array_distinct(let(F.lower(F.col(text)), marks))
-    seen = items.select(*item_keys, F.explode(found).alias("_mark"))
-    short = seen.join(wanted, "_mark").select(*item_keys, "ticker")
-    long = tickers.where(F.length(compact) > SYMBOL_WIDTH).select(
-        "ticker", F.concat(F.lit("$"), compact).alias("name"))
-    return short.unionByName(phrase_matches(items, long, item_keys, text)).distinct()
+    seen = items.withColumn("_lengths", lengths).select(*item_keys, F.explode(found).alias("_mark"))
+    return seen.join(wanted, "_mark").select(*item_keys, "ticker").distinct()
 
 
-def phrase_matches(items: DataFrame, names: DataFrame, item_keys: Sequence[str], text: str,
-                   literal_limit: int = LITERAL_NAMES) -> DataFrame:
-    """(item_keys, ticker) pairs where lower(name) is contained in lower(text).
+def phrase_candidates(items: DataFrame, names: DataFrame, item_keys: Sequence[str], text: str) -> DataFrame:
+    """(item_keys, ticker, name): texts that hold the part of the name that the fewest texts hold.
 
-    A name list within ``literal_limit`` is tested in place, one narrow pass. A longer one is
-    joined on its first three letters against the distinct three-letter grams of the text and
-    then verified, so neither side is repeated for the whole of the other.
+    A name's parts are its runs of GRAM letters (the whole name if it is shorter). Only keys travel with
+    the parts, and only with parts that some name has; a name with a part that no text holds is out.
     """
-    tidy = names.select("ticker", F.lower("name").alias("name")).where(F.col("name") != "").distinct()
-    sample = tidy.limit(literal_limit + 1).collect()
-    folded = F.lower(F.col(text))
-    if len(sample) <= literal_limit:
-        if not sample:
-            return items.select(*item_keys, F.lit(None).cast("string").alias("ticker")).limit(0)
-        table = F.array(*[F.struct(F.lit(r["ticker"]).alias("ticker"), F.lit(r["name"]).alias("name"))
-                          for r in sample])
-        # The folded text is bound once; each name is then one contains test on it.
-        hits = let(folded, lambda t: F.filter(table, lambda e: F.contains(t, e["name"])))
-        tickers = F.array_distinct(F.transform(hits, lambda e: e["ticker"]))
-        return items.select(*item_keys, F.explode(tickers).alias("ticker")).distinct()
+    size = F.least(F.length("name"), F.lit(GRAM))
+    parts = names.withColumn("_part", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("name") - size + 1), lambda at: F.substr(F.col("name"), at, size)))))
+    sizes = names.select(size.alias("n")).distinct().agg(F.collect_set("n")).scalar()
 
     def shifted(n: int) -> Column:
-        return F.slice("_chars", n + 1, 2_000_000_000)
+        return F.slice("_one", n + 1, 2_000_000_000)
 
-    # A name is looked up by its first GRAM letters; shorter names need the shorter grams as well.
-    size = F.least(F.length("name"), F.lit(GRAM))
-    sizes = {r["size"] for r in tidy.select(size.alias("size")).distinct().collect()}
-    keyed = (items.withColumn("_folded", folded).where(F.col("_folded") != "")
-             .withColumn("_chars", F.split("_folded", ""))
-             .withColumn("_two", F.zip_with("_chars", shifted(1), lambda a, b: F.concat(a, b)))
+    def if_wanted(n: int, values: Column) -> Column:
+        return F.when(F.array_contains("_sizes", n), values).otherwise(F.array().cast("array<string>"))
+
+    keyed = (items.select(*item_keys, F.lower(F.col(text)).alias("_folded")).where(F.col("_folded") != "").withColumn("_sizes", sizes)
+             .withColumn("_one", F.split("_folded", ""))
+             .withColumn("_two", F.zip_with("_one", shifted(1), lambda a, b: F.concat(a, b)))
              .withColumn("_three", F.zip_with("_two", shifted(2), lambda a, b: F.concat(a, b))))
-    parts = [name for n, name in ((1, "_chars"), (2, "_two"), (GRAM, "_three")) if n in sizes]
-    grams = F.array_compact(F.array_distinct(F.concat(*parts)))
-    # Only keys travel with the grams; the texts come back for the few candidates.
-    seen = keyed.select(*item_keys, F.explode(grams).alias("_gram"))
-    wanted = tidy.withColumn("_gram", F.substring("name", 1, GRAM))
-    candidates = seen.join(wanted, "_gram").drop("_gram")
-    texts = items.select(*item_keys, folded.alias("_folded"))
+    grams = F.array_compact(F.array_distinct(F.concat(
+        *[if_wanted(n, F.col(name)) for n, name in ((1, "_one"), (2, "_two"), (GRAM, "_three"))])))
+    seen = (keyed.select(*item_keys, F.explode(grams).alias("_part"))
+            .join(parts.select("_part").distinct(), "_part", "left_semi"))
+    held = seen.groupBy("_part").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = (parts.join(held, "_part", "left").groupBy("ticker", "name")
+              .agg(F.min_by("_part", F.struct("texts", "_part")).alias("_part"), F.min(F.coalesce("texts", F.lit(0))).alias("texts"))
+              .where("texts > 0").drop("texts"))
+    return seen.join(rarest, "_part").drop("_part")
+
+
+def phrase_matches(items: DataFrame, names: DataFrame, item_keys: Sequence[str], text: str) -> DataFrame:
+    """(item_keys, ticker) pairs where lower(name) is contained in lower(text): one plan for lists of any length.
+
+    The texts come back only for the few candidates.
+    """
+    tidy = names.select("ticker", F.lower("name").alias("name")).where(F.col("name") != "").distinct()
+    candidates = phrase_candidates(items, tidy, item_keys, text)
+    texts = items.select(*item_keys, F.lower(F.col(text)).alias("_folded"))
     return (texts.join(candidates, list(item_keys)).where(F.contains(F.col("_folded"), F.col("name")))
             .select(*item_keys, "ticker").distinct())
 
@@ -155,9 +144,9 @@ def matching_topics(text: Column, topics: Iterable[tuple[str, str, Sequence[str]
 def fan_out_topics(items: DataFrame, selected: DataFrame, topics=fixed.POLICY_TOPICS,
                    industry_tickers=fixed.INDUSTRY_TICKERS) -> DataFrame:
     """Feed item x matched policy topic x selected ticker of the topic -> political headlines."""
-    matched = (items.withColumn("_topic", F.explode(
-        matching_topics(search_text(), topics, industry_tickers)))
-        .withColumn("ticker", F.explode("_topic.tickers")))
+    hits = items.withColumn("_topics", matching_topics(search_text(), topics, industry_tickers)).where(F.size("_topics") > 0)
+    matched = (hits.withColumn("_impact", policy_impact_of(F.col("title"), F.col("summary")))
+               .withColumn("_topic", F.explode("_topics")).withColumn("ticker", F.explode("_topic.tickers")))
     return _political_rows(_selected(matched, selected), F.col("_topic.topic"), F.col("_topic.industry"))
 
 
@@ -166,7 +155,8 @@ def fan_out_topic_queries(results: DataFrame, selected: DataFrame, topics: DataF
 
     Same target as above, but the topic is already known per row (column ``topic``).
     """
-    matched = (results.join(topics.select("topic", "industry", "tickers"), "topic")
+    judged = results.withColumn("_impact", policy_impact_of(F.col("title"), F.col("summary")))
+    matched = (judged.join(topics.select("topic", "industry", "tickers"), "topic")
                .withColumn("ticker", F.explode("tickers")))
     return _political_rows(_selected(matched, selected), F.col("topic"), F.col("industry"))
 
@@ -180,7 +170,7 @@ def _political_rows(rows: DataFrame, topic: Column, industry: Column) -> DataFra
     return rows.select(
         "ticker", F.col("title").alias("headline"), "source", F.col("link").alias("url"),
         "published_at_utc",
-        policy_summary(F.col("title"), F.col("summary"), topic, industry).alias("summary"),
+        policy_sentence(F.col("summary"), F.col("_impact"), topic, industry).alias("summary"),
         F.lit("political").alias("category"), topic.alias("topic"), industry.alias("industry"))
 
 
