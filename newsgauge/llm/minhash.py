@@ -4,11 +4,9 @@ A shingle is five words; its weight is how often it is in the text times the mea
 words, scaled to 1 .. 2 so that edits don't outweigh what two copies share. Each of BANDS x ROWS samples is equal in
 two texts with the probability of their weighted Jaccard similarity. Texts with an equal band are candidates:
 
-1. each against the smallest id of its bucket;
-2. what is then in different clusters of a bucket: each text against the smallest id of each other cluster;
-3. what still is: the rest, pair by pair.
-
-So a bucket of copies costs one comparison a member, and no candidate pair of texts in different classes is left out.
+1. each against the smallest id of its bucket, so that a bucket of copies costs one comparison a member;
+2. where that leaves a bucket in several clusters, its texts are paired by an exact filter over all their shingles
+   (``prefix_pairs``), which drops no pair that is similar enough.
 """
 
 from __future__ import annotations
@@ -17,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsgauge.llm.graph import components
@@ -31,6 +29,8 @@ BANDS, ROWS = 12, 3
 RARE = 500
 POOL_BITS = 14
 SLICE = 3 << 20
+#: Weights travel as 32-bit floats, so bounds leave this much room.
+SLACK = 1e-4
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +154,43 @@ def verified(pairs: DataFrame, docs: DataFrame, frequencies, threshold: float) -
     return staged(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "links")
 
 
+def prefix_pairs(docs: DataFrame, texts: DataFrame, frequencies, threshold: float) -> DataFrame:
+    """(a, b), a < b: pairs of ``texts`` (id, cluster) in different clusters that can be similar enough.
+
+    Take each text's shingles from the rarest to the most frequent, all in one order. Of two texts with a similarity of
+    t, both have their first common shingle within the first 1 - t of their weight, and what is left from it on must
+    make up t / (1 + t) of both weights together. So a passage that many texts share makes no pairs of texts that also
+    have much of their own. In a list of texts with a shingle, members of its largest cluster are not paired with
+    each other.
+    """
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=SLICE):
+            owner, shingle, weight, _ = weighted_shingles(batch.column("text"), frequencies.value)
+            yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id").take(pa.array(owner)), "shingle": pa.array(shingle.view(np.int64)),
+                                              "weight": pa.array(weight.astype(np.float32))})
+
+    chosen = docs.join(texts.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    rows = chosen.select("doc_id", "text").mapInArrow(unfold, "id long, shingle long, weight float")
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"))
+    one = Window.partitionBy("id")
+    before = one.orderBy("texts", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    lists = (rows.join(shared, "shingle")
+             .withColumns({"before": F.coalesce(F.sum("weight").over(before), F.lit(0.0)), "total": F.sum("weight").over(one)})
+             .filter((F.col("texts") > 1) & (F.col("before") <= (1 - threshold) * F.col("total") * (1 + SLACK)))
+             .select("shingle", "id", "total", (F.col("total") - F.col("before")).alias("rest")).join(texts, "id"))
+    lists = staged(lists, "lists")
+    sizes = lists.groupBy("shingle", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("shingle").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"), F.count(F.lit(1)).alias("clusters")).filter("clusters > 1")
+    inside = lists.join(largest.select("shingle", "main"), "shingle")
+    left = inside.filter("cluster <> main").select("shingle", *[F.col(x).alias(f"left_{x}") for x in ("id", "cluster", "total", "rest")])
+    needed = threshold / (1 + threshold) * (1 - SLACK)
+    both = left.join(inside, "shingle").filter(
+        (F.col("left_cluster") != F.col("cluster")) & ((F.col("cluster") == F.col("main")) | (F.col("left_id") < F.col("id")))
+        & (F.least("left_rest", "rest") >= needed * (F.col("left_total") + F.col("total"))))
+    return both.select(F.least("left_id", "id").alias("a"), F.greatest("left_id", "id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size, kept.
 
@@ -173,24 +210,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     tested = staged(members.filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
     links = verified(tested, own, frequencies, threshold)
     found = components(links)
-    for one_by_one in (False, True):
-        inside = (members.join(found.withColumnRenamed("id", "own"), F.col("id") == F.col("own"), "left")
-                  .select("bucket", "id", F.coalesce("component", "id").alias("cluster")))
-        heads = inside.groupBy("bucket", "cluster").agg(F.min("id").alias("head"))
-        mixed_buckets = heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-        inside = staged(inside.join(mixed_buckets, "bucket", "left_semi"), "inside")
-        others = inside.select("bucket", F.col("id").alias("head"), "cluster") if one_by_one else inside.groupBy(
-            "bucket", "cluster").agg(F.min("id").alias("head"))
-        others = others.select("bucket", F.col("cluster").alias("other"), "head")
-        more = (inside.join(others, "bucket").filter("cluster <> other")
-                .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-                .join(tested, ["a", "b"], "left_anti"))
-        more = staged(more, "pairs")
-        if more.isEmpty():
-            break
-        tested = tested.unionByName(more)
-        links = links.unionByName(verified(more, own, frequencies, threshold))
-        found = components(links)
+    inside = (members.join(found.withColumnRenamed("id", "own"), F.col("id") == F.col("own"), "left")
+              .select("bucket", "id", F.coalesce("component", "id").alias("cluster")))
+    apart = inside.groupBy("bucket").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low <> high").select("bucket")
+    open_texts = staged(inside.join(apart, "bucket", "left_semi").select("id", "cluster").distinct(), "open")
+    if not open_texts.isEmpty():
+        more = staged(prefix_pairs(own, open_texts, frequencies, threshold).join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = components(links.unionByName(verified(more, own, frequencies, threshold)))
     classes = (signed.select("doc_id", "s1", "s2").join(texts.select("s1", "s2", "id"), ["s1", "s2"], "left")
                .join(found, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id", "doc_id")).alias("class_id")))
     sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
