@@ -146,13 +146,17 @@ def _removed(own: DataFrame, window: int) -> DataFrame:
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
             owner, _, _, anchor = segments(words_of(*_spaced(batch.column("text").to_pylist())), window)
-            rows = batch.column("row").to_numpy(zero_copy_only=False)[owner]
-            yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "anchor": pa.array(anchor.view(np.int64))})
-
-    anchors = own.select("row", "text").mapInArrow(anchor_rows, "row long, anchor long")
-    repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+            order = np.lexsort((anchor, owner))  # one row for each anchor of a text: a text may repeat a word pair for long
+            owner, anchor = owner[order], anchor[order]
+            head = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1]))[:len(owner)])
+            rows = batch.column("row").to_numpy(zero_copy_only=False)[owner[head]]
+            yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "anchor": pa.array(anchor[head].view(np.int64)),
+                                              "n": pa.array(np.diff(np.append(head, len(owner))).astype(np.int32))})
+
+    anchors = own.select("row", "text").mapInArrow(anchor_rows, "row long, anchor long, n int")
+    repeated = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select(
         "anchor", (F.col("n") > GROUP).alias("often"))
-    lists = anchors.join(repeated, "anchor").groupBy("row").agg(F.collect_set(F.struct("anchor", "often")).alias("anchors"))
+    lists = anchors.drop("n").join(repeated, "anchor").groupBy("row").agg(F.collect_set(F.struct("anchor", "often")).alias("anchors"))
     dealt = own.join(lists, "row")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
