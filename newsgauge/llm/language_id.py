@@ -115,8 +115,13 @@ class Pieces:
 
 def fit(labelled: DataFrame, spec: str) -> tuple[list[str], np.ndarray]:
     """(languages, piece probabilities) from at most FIT_TEXTS texts a language of (doc_id, text, lang)."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(first))
+    hashed = F.xxhash64("doc_id")
+    first = Window.partitionBy("lang").orderBy(hashed, "doc_id")
+    # Of a language with many texts only those below a cut are ranked, about four times as many as are taken.
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
+    cut = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(4.0 * FIT_TEXTS / n)) for lang, n in sizes.items()], F.lit(1.0))
+    below = hashed.cast("double") / 2.0**64 + 0.5 <= cut
+    chosen = (labelled.select("doc_id", "lang").filter(below).withColumn("place", F.row_number().over(first))
               .filter(F.col("place") <= FIT_TEXTS).select("doc_id", "lang").distinct())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
