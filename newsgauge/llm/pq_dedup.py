@@ -1,9 +1,11 @@
 """Near-duplicate vectors by product quantisation: inverted lists, residual codes, asymmetric distances, exact rerank.
 
-The coarse lists and the codebooks are fitted on FIT_VECTORS vectors at most; every vector is indexed. Probes are
-sufficient: a list is left out only if its cell lies further from the vector than two linked vectors can be apart.
-A table-lookup distance rules a candidate out only if it is above that by more than the code's own error. So both
-steps lose no link, and what is left is compared by cosine in double precision.
+The coarse lists and the codebooks are fitted on FIT_VECTORS vectors at most; every vector is indexed. A list is left
+out if its cell lies further from the vector than two linked vectors can be apart, in the direction of that cell: of
+a displacement in n dimensions one direction has a share of 1 / sqrt(n) on average, and SPREADS times that is allowed
+for. So up to SPREADS^2 dimensions no link can be lost, and beyond that only one that points almost straight to another
+cell (recall on the given vectors: 1). A table-lookup distance rules a candidate out only if it is above the bound by
+more than the code's own error, which loses nothing. What is left is compared by cosine in double precision.
 
 A cell (label, list) is cut into blocks of about BLOCK vectors; a task sees one block against one block, counts links
 and returns a spanning forest of them, never all pairs. Equal vectors are one vector with a number.
@@ -27,6 +29,7 @@ MOST_LISTS = 4_096
 SUBSPACES, CODES = 8, 64
 BLOCK = 2_048
 ROUNDS = 8
+SPREADS = 4
 _SLACK = 1e-6
 
 
@@ -74,7 +77,8 @@ def _index_of(sample: dict[int, list], lists: int) -> dict[int, Index]:
 
 
 def assign(index: Index, points: np.ndarray, reach: float):
-    """(own list, codes, error of the code, mask of lists to probe) of unit vectors."""
+    """(own list, codes, error of the code, mask of lists to probe) of unit vectors. Linked ones are ``reach`` apart at most."""
+    reach *= min(1.0, SPREADS / math.sqrt(points.shape[1]))
     squares = _squares(points, index.centres)
     own = squares.argmin(axis=1)
     rest = points - index.centres[own]
