@@ -1,33 +1,40 @@
 """Log-probabilities of texts by a weighted backoff automaton over words.
 
-The root state has an arc for every word, weighted by its smoothed unigram probability. Words that make up one in
-``HISTORY_SHARE`` tokens or more are states of their own (so there are HISTORY_SHARE at most), with an arc for each
-pair that makes up one in ``ARC_SHARE`` tokens, and a failure arc to the root that carries the probability left. A
-text goes through once from left to right; the state after a token is that token's, or the root.
-
-Counts cover every training text. The arcs that tasks carry are bounded by these shares; the root's arcs to all other
-words stay a table, and the rare words of the texts are joined with it.
+The root state has an arc for every word, weighted by its smoothed unigram probability. Every word of the training
+texts is a state of its own, with an arc for each pair that is seen twice or more, and a failure arc to the root that
+carries the probability left. A text goes through once from left to right; the state after a token is that token's.
+
+Nothing of the model depends on the size of the input: all pairs are counted, and the words and arcs are one staged
+table. A token adds what its word has in the table (log10 of the root's arc to it and of its own failure arc), and what
+its pair has (log10 of how much the arc raises the failure path). Tasks carry only a cache of the table's most frequent
+rows; all other words and pairs of the texts are joined with it. Words are told apart by 63-bit hashes, and so are
+pairs with a word that is not in the cache.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsgauge.llm.shared import crc_of_id, identified, slices, staged
+from newsgauge.llm import shingles
+from newsgauge.llm.shared import crc_of_id, identified, slices, staged, text_bytes
 
-END = "\n"  # no word has white space
-HISTORY_SHARE = 1 << 12
-ARC_SHARE = 1 << 20
-#: Words that make up this share of the tokens or more are looked up in the task.
+START, END = 0, 1  # ids; those of cached words follow, all others are negative hashes
+#: Shares of the tokens below which words have no state and pairs no arc: none.
+HISTORY_SHARE = math.inf
+ARC_SHARE = math.inf
+#: Words and arcs that make up these shares of the tokens or more are looked up in the task.
 COMMON_SHARE = 1 << 17
-FLUSH = 400_000
+CACHE_SHARE = 1 << 22
+FLUSH = 4_000_000
+_TOP = np.uint64(1 << 63)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -35,56 +42,75 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def tokens_of(column: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, place of each START) of the texts of a column; ``known`` are the sorted hashes of the cached words."""
+    data, edges = text_bytes(column)
+    words = shingles.words_of(_LOWER[data], edges)
+    hashes = (words.hashes | _TOP).view(np.int64)
+    starts = words.first[:-1] + 2 * np.arange(len(column))
+    ids = np.full(len(hashes) + 2 * len(column), END, dtype=np.int64)
+    ids[starts] = START
+    ids[np.arange(len(hashes)) + 2 * np.repeat(np.arange(len(column)), words.counts) + 1] = cached(hashes, known)
+    return ids, starts
+
+
+def cached(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Ids of cached words, hashes of others."""
+    at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+    return np.where(known[at] == hashes, at + END + 1, hashes) if len(known) else hashes
+
+
+def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Not negative; exact where both ids are cached words'."""
+    both = shingles.mixed(shingles.mixed(history.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64))
+    return np.where((history >= 0) & (word >= 0), history << 31 | word, (both & ~_TOP).view(np.int64))
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """(word, count) over all training texts, END included; counted in the task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"word": pa.array([x.decode() for x in held], pa.string()),
-                                              "n": pa.array(held.values(), pa.int64())})
+            ids, n = np.unique(np.concatenate([*held, np.zeros(0, dtype=np.int64)]), return_counts=True)
             held.clear()
-            return out
+            return pa.RecordBatch.from_pydict({"word": pa.array(ids), "n": pa.array(n.astype(np.int64))})
 
         for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                held.update(words_of(text))
-                held[END.encode()] += 1
-            if len(held) > FLUSH:
+            ids, _ = tokens_of(batch.column("text"), np.zeros(0, dtype=np.int64))
+            held.append(ids[ids != START])
+            if sum(map(len, held)) > FLUSH:
                 yield flush()
         yield flush()
 
-    return training.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("count"))
+    return training.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("count"))
 
 
-def pair_counts(training: DataFrame, history: dict[bytes, int]) -> DataFrame:
-    """(pair, count) of neighbouring history words; START is the last code, END the one before it."""
-    size = len(history) + 2
-    shared = training.sparkSession.sparkContext.broadcast(history)
+def pair_counts(training: DataFrame, known: np.ndarray) -> DataFrame:
+    """(history, word, count) of all neighbouring tokens of the training texts; counted in the task before the shuffle."""
+    shared = training.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, held, start, end = shared.value.get, [], size - 1, size - 2
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            codes, n = np.unique(np.concatenate([*held, np.zeros(0, dtype=np.int64)]), return_counts=True)
+            words, codes = np.unique(np.concatenate([*held, np.zeros(0, dtype=np.int64)]), return_inverse=True)
             held.clear()
-            return pa.RecordBatch.from_pydict({"pair": pa.array(codes), "n": pa.array(n.astype(np.int64))})
+            size = max(len(words), 1)
+            pairs = codes[:-1] * size + codes[1:]
+            pairs, n = np.unique(pairs[words[codes[1:]] != START] if len(codes) else pairs, return_counts=True)
+            return pa.RecordBatch.from_pydict({"history": pa.array(words[pairs // size]), "word": pa.array(words[pairs % size]),
+                                               "n": pa.array(n.astype(np.int64))})
 
         for batch in slices(batches):
-            flat: list[int] = []
-            for text in batch.column("text").to_pylist():
-                flat.append(start)
-                flat.extend(map(find, words_of(text), repeat(-1)))
-                flat.append(end)
-            ids = np.array(flat, dtype=np.int64)
-            both = (ids[:-1] >= 0) & (ids[1:] >= 0) & (ids[:-1] != end)
-            held.append(ids[:-1][both] * size + ids[1:][both])
-            if sum(map(len, held)) > 4_000_000:
+            held.append(tokens_of(batch.column("text"), shared.value)[0])
+            if sum(map(len, held)) > FLUSH:
                 yield flush()
         yield flush()
 
-    return training.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("count"))
+    return (training.select("text").mapInArrow(count, "history long, word long, n long")
+            .groupBy("history", "word").agg(F.sum("n").alias("count")))
 
 
 def discount(ones: int | None, twos: int | None) -> float:
@@ -102,83 +128,109 @@ def score_texts(docs: DataFrame, held_out_of: int = 10, id_col: str = "doc_id",
     """
     own = identified(docs, id_col, text_col).withColumn("held_out", crc_of_id(F.col("doc_id")) % held_out_of == 0)
     training = own.filter(~F.col("held_out"))
+    context = own.sparkSession.sparkContext
     counts = staged(word_counts(training), "words")
     told = counts.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("count") == 1).alias("ones"),
                       F.count_if(F.col("count") == 2).alias("twos")).first()
     n, v, less = told["n"] or 0, told["v"], discount(told["ones"], told["twos"])
-    base_total = n + 0.1 * (v + 1)
-    least = n / COMMON_SHARE
-    common = {r["word"]: r["count"] for r in counts.filter((F.col("count") >= least) | (F.col("word") == END)).toLocalIterator()}
-    end_count = common.pop(END, 0)
-    names = sorted(common)
-    history = {x.encode(): k for k, x in enumerate(y for y in names if common[y] >= n / HISTORY_SHARE)}
-    size = len(history) + 2
-    pairs = staged(pair_counts(training, history), "pairs")
-    seen = pairs.agg(F.count_if(F.col("count") == 1).alias("ones"), F.count_if(F.col("count") == 2).alias("twos")).first()
-    off = discount(seen["ones"], seen["twos"])
-    arcs = pairs.filter((F.col("count") >= n / ARC_SHARE) & (F.col("count") > 1)).toPandas().sort_values("pair")
-    keys, arc_counts = arcs["pair"].to_numpy(dtype=np.int64), arcs["count"].to_numpy(dtype=np.float64)
-    # local codes: history words, END, START, then the other common words; counts by code
-    places = history | {x.encode(): size + k for k, x in enumerate(y for y in names if y.encode() not in history)}
-    by_code = np.zeros(len(common) + 2)
-    for word, k in places.items():
-        by_code[k] = common[word.decode()]
-    by_code[size - 2] = end_count
-    total = max(n, 1)
+    base_total, total, least = n + 0.1 * (v + 1), max(n, 1), n / COMMON_SHARE
+    common = counts.filter((F.col("count") >= least) | (F.col("word") == END)).toPandas().sort_values("word")
+    end_count = int(common.loc[common["word"] == END, "count"].sum())
+    common = common[common["word"] != END]
+    known = common["word"].to_numpy(dtype=np.int64)
+    by_id = np.concatenate([[end_count, end_count], common["count"].to_numpy(dtype=np.float64)])  # every training text starts once
+    rare_words = counts.filter((F.col("count") < least) & (F.col("word") != END))
+
+    pairs, n_pairs = pair_counts(training, known), n
+    if HISTORY_SHARE < math.inf:
+        ids = np.flatnonzero(by_id >= n / HISTORY_SHARE).tolist()
+        states = (rare_words.filter(F.col("count") >= n / HISTORY_SHARE).select("word")
+                  .unionByName(own.sparkSession.createDataFrame([(k,) for k in {START, END, *ids}], "word long")))
+        pairs = staged(pairs.join(states, "word", "left_semi").join(states.withColumnRenamed("word", "history"), "history", "left_semi"), "pairs")
+        n_pairs = pairs.agg(F.sum("count")).first()[0] or 0
+    arcs = staged(pairs.select("history", "word", "count").filter("count > 1"), "arcs")
+    seen = arcs.agg(F.sum("count").alias("n"), F.count_if(F.col("count") == 2).alias("twos")).first()
+    off = discount(n_pairs - (seen["n"] or 0), seen["twos"])  # every pair that is no arc is seen once
+    arcs = arcs.filter(F.col("count") >= n / ARC_SHARE)
+
+    # probability that arcs take from their history: in the words' table, and by id
+    taken = staged(arcs.groupBy("history").agg(F.sum(F.col("count") - off).alias("taken")), "taken")
+    by_history = taken.filter("history >= 0").toPandas()
+    left = np.ones(len(by_id))
+    at = by_history["history"].to_numpy(dtype=np.int64)
+    left[at] -= by_history["taken"].to_numpy(dtype=np.float64) / np.maximum(by_id[at], 1)
+    left = np.clip(left, 1e-9, 1)
     unseen = less / total
-    root = np.where(by_code > 0, np.maximum(by_code - less, less) / total, unseen)
-    follows = by_code[:size].copy()
-    follows[size - 1] = end_count  # every training text starts once
-    held = np.maximum(arc_counts - off, 0) / np.maximum(follows[keys // size], 1)
-    left = np.clip(1 - np.bincount(keys // size, weights=held, minlength=size)[:size], 1e-9, 1)
-    arc_scores = np.log10(held + left[keys // size] * root[keys % size])
-    fail = np.append(np.log10(left), np.zeros(1))  # the last is the root's own
-    shared = own.sparkSession.sparkContext.broadcast(
-        (places, np.log10((by_code + 0.1) / base_total), np.log10(root), by_code > 0, keys, arc_scores, fail))
+    root = np.where(by_id > 0, np.maximum(by_id - less, less) / total, unseen)
+    rare = staged(rare_words.join(taken.filter("history < 0").withColumnRenamed("history", "word"), "word", "left").select(
+        "word", "count", F.greatest(F.lit(1e-9), 1 - F.coalesce("taken", F.lit(0.0)) / F.col("count")).alias("left"),
+        (F.greatest(F.col("count") - less, F.lit(less)) / total).alias("root")), "rare")
+    model = context.broadcast((by_id, left, root))
+
+    def raise_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_id, left, root = model.value
+        for batch in batches:
+            history, word, count, own_left, own_root, follows = (batch.column(x).to_numpy(zero_copy_only=False)
+                                                                 for x in ("history", "word", "count", "left", "root", "follows"))
+            near, here = history >= 0, word >= 0
+            own_left, follows = (np.where(near, x[np.where(near, history, 0)], y) for x, y in ((left, own_left), (by_id, follows)))
+            own_root = np.where(here, root[np.where(here, word, 0)], own_root)
+            held = (count - off) / np.maximum(follows, 1)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(pair_keys(history, word)), "count": pa.array(count),
+                                              "score": pa.array(np.log10(1 + held / (own_left * own_root)))})
+
+    none = F.lit(None).cast("double")
+    far = rare.select(F.col("word").alias("history"), "left", F.col("count").cast("double").alias("follows"))
+    by_left = arcs.filter("history >= 0").withColumns({"left": none, "follows": none}).unionByName(arcs.filter("history < 0").join(far, "history"))
+    by_root = (by_left.filter("word >= 0").withColumn("root", none)
+               .unionByName(by_left.filter("word < 0").join(rare.select("word", "root"), "word")))
+    raised = staged(by_root.select("history", "word", "count", "left", "root", "follows")
+                    .mapInArrow(raise_by, "key long, count long, score double"), "raised")
+    often = raised.filter(F.col("count") >= n / CACHE_SHARE).select("key", "score").toPandas().sort_values("key")
+    table = (raised.filter(F.col("count") < n / CACHE_SHARE).select("key", "score", F.lit(0.0).alias("base"), F.lit(0).alias("known"))
+             .unionByName(rare.select(F.col("word").alias("key"), F.log10(F.col("root") * F.col("left")).alias("score"),
+                                      F.log10((F.col("count") + 0.1) / base_total).alias("base"), F.lit(1).alias("known"))))
+    by_token = np.stack([np.log10(root) + np.log10(left), np.log10((by_id + 0.1) / base_total), by_id > 0])
+    by_token[:, START] = np.log10(left[START]), 0, 0
+    shared = context.broadcast((known, by_token, often["key"].to_numpy(dtype=np.int64), often["score"].to_numpy(dtype=np.float64)))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, base, root, known, keys, arc_scores, fail = shared.value
-        find, start, end = places.get, size - 1, size - 2
+        """A row for each text with what the cache says, and one for each word and pair to look up."""
+        known, by_token, keys, scores = shared.value
         for batch in slices(batches):
-            texts = [words_of(x) for x in batch.column("text").to_pylist()]
-            flat: list[int] = []
-            for words in texts:
-                flat.append(start)
-                flat.extend(map(find, words, repeat(-1)))
-                flat.append(end)
-            codes = np.array(flat, dtype=np.int64)
-            edges = np.flatnonzero(codes == start)
-            state = np.where((codes >= 0) & (codes < size), codes, size)[:-1]
-            code = codes[1:]
-            rare = code < 0
-            from_root = np.where(rare, 0.0, root[code])
-            pair = state * size + code
+            ids, starts = tokens_of(batch.column("text"), known)
+            score, base, seen = (np.where(ids >= 0, x[np.maximum(ids, 0)], 0) for x in by_token)
+            pair = pair_keys(ids[:-1], ids[1:])
             at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
-            hit = (state < size) & (code >= 0) & (code < size)
-            hit &= keys[at] == pair if len(keys) else False
-            step = np.where(hit, arc_scores[at] if len(keys) else 0.0, fail[state] + from_root)
-            token = code != start
-            sums = [np.add.reduceat(np.where(token, x, 0), edges) if len(edges) else np.zeros(0)
-                    for x in (step, np.where(rare, 0.0, base[code]), np.where(rare, False, known[code]).astype(np.int64))]
-            others = [Counter(w for w in words if w not in places) for words in texts]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
-                "n_tokens": pa.array([len(x) + 1 for x in texts], pa.int64()), "near_known": pa.array(sums[2], pa.int64()),
-                "near_base": pa.array(sums[1]), "near_score": pa.array(sums[0]),
-                "words": pa.array([[w.decode() for w in x] for x in others], pa.list_(pa.string())),
-                "times": pa.array([list(x.values()) for x in others], pa.list_(pa.int32()))})
-
-    walked = own.mapInArrow(walk, "doc_id long, held_out boolean, n_tokens long, near_known long, near_base double, "
-                                  "near_score double, words array<string>, times array<int>")
-    walked = staged(walked.withColumn("row", F.monotonically_increasing_id()), "walked")
-    rare = walked.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", "x.words", "x.times")
-    c = F.coalesce("count", F.lit(0))
-    joined = (rare.join(counts.filter(F.col("count") < least), rare["words"] == counts["word"], "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(base_total))).alias("far_base"),
-        F.sum(F.col("times") * F.log10(F.when(c > 0, F.greatest(c - less, F.lit(less)) / total).otherwise(unseen))).alias("far_score"),
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("far_known")))
-    zero = F.lit(0)
-    return walked.drop("words", "times").join(joined, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("near_known") + F.coalesce("far_known", zero)).alias("n_known"),
-        F.lit(n).cast("bigint").alias("train_tokens"), (F.col("near_base") + F.coalesce("far_base", zero)).alias("base_score"),
-        (F.col("near_score") + F.coalesce("far_score", zero)).alias("score"))
+            hit = keys[at] == pair if len(keys) else np.zeros(len(pair), dtype=bool)
+            hit &= ids[1:] != START
+            score[1:][hit] += scores[at[hit]]
+            text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+            asked_words, asked_pairs = np.flatnonzero(ids < 0), np.flatnonzero(~hit & (ids[1:] != START))
+            rows = batch.column("row").to_numpy()
+            held = [np.add.reduceat(x, starts) for x in (score, base, seen)]
+            own = pa.StructArray.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(np.append(starts, len(ids))) - 1),
+                 pa.array(held[2].astype(np.int64)), pa.array(held[1]), pa.array(held[0])],
+                ["doc_id", "held_out", "n_tokens", "known", "base", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(shingles.mixed(rows.view(np.uint64)).view(np.int64)), own], ["row", "key", "own"])
+            for some, key in ((asked_words, ids), (asked_pairs, pair)):
+                for a in range(0, len(some), 1 << 17):
+                    part = some[a:a + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[text[part]]), pa.array(key[part]), pa.nulls(len(part), own.type)], ["row", "key", "own"])
+
+    kind = "struct<doc_id:long,held_out:boolean,n_tokens:long,known:long,base:double,score:double>"
+    asked = own.withColumn("row", F.monotonically_increasing_id()).mapInArrow(walk, f"row long, key long, own {kind}")
+    # a text's own row has a key of its own only so that such rows are dealt out
+    never = F.log10(F.lit(unseen)), F.log10(F.lit(0.1 / base_total))
+    mine, word = F.col("own").isNotNull(), F.col("asked") < 0
+    found = asked.withColumnRenamed("key", "asked").join(table, F.col("asked") == F.col("key"), "left")
+    nothing = F.lit(0.0)
+    # sums and maxima of plain columns, so that rows need no sorting by text
+    summed = found.groupBy("row").agg(
+        F.max("own.doc_id").alias("doc_id"), F.max("own.held_out").alias("held_out"), F.max("own.n_tokens").alias("n_tokens"),
+        F.sum(F.when(mine, F.col("own.known")).otherwise(F.coalesce("known", F.lit(0)))).alias("n_known"),
+        F.lit(n).cast("bigint").alias("train_tokens"),
+        F.sum(F.when(mine, F.col("own.base")).otherwise(F.coalesce("base", F.when(word, never[1]).otherwise(nothing)))).alias("base_score"),
+        F.sum(F.when(mine, F.col("own.score")).otherwise(F.coalesce("score", F.when(word, never[0]).otherwise(nothing)))).alias("score"))
+    return summed.drop("row")

@@ -196,6 +196,25 @@ def test_lm(odd_docs, no_docs, no_id_docs, monkeypatch, common):
     assert {(r["train_tokens"], r["n_known"], r["base_score"]) for r in lm_scoring.score_texts(no_id_docs).collect()} == {(0, 0, 0.0)}
 
 
+def test_lm_keeps_pairs_that_are_rare_in_a_large_corpus(spark, monkeypatch):
+    """Pairs seen twice are arcs, however many other tokens there are, in the cache or not."""
+    draw = random.Random(8)
+    texts = [" ".join(draw.choice("abcdefgh") for _ in range(300)) for _ in range(60)]
+    for k in range(60):
+        texts[k] += f" rare{k % 20} seldom{k % 20} once{k} Rare{k % 7}"
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = lm_scoring.score_texts(docs).collect()
+    monkeypatch.setattr(lm_scoring, "COMMON_SHARE", 64)
+    monkeypatch.setattr(lm_scoring, "CACHE_SHARE", 64, raising=False)
+    joined = lm_scoring.score_texts(docs).collect()
+    monkeypatch.setattr(lm_scoring, "HISTORY_SHARE", math.inf)
+    monkeypatch.setattr(lm_scoring, "ARC_SHARE", math.inf)
+    for told in (kept, joined):
+        assert len(told) == len(rows)
+        brute_scores(rows, told)
+
+
 @pytest.mark.parametrize("min_bytes", [0, 20])
 def test_archives(spark, tmp_path, min_bytes):
     tricky = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + "é漢" * 30
