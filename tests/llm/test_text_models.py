@@ -280,6 +280,18 @@ def test_vectors(spark, monkeypatch):
     assert pq_dedup.near_duplicate_vectors(none).collect() == []
 
 
+def test_no_link_of_vectors_in_few_directions_is_lost(spark):
+    """Where all displacements lie in three of 64 dimensions, many of them point straight to another list."""
+    draw = np.random.default_rng(4)
+    plane = np.linalg.qr(draw.normal(size=(64, 3)))[0]
+    points = draw.normal(size=(2000, 3)) @ plane.T
+    points /= np.sqrt((points * points).sum(axis=1, keepdims=True))
+    frame = spark.createDataFrame([(k, p.tolist(), "0") for k, p in enumerate(points)], "vec_id long, embedding array<double>, label string")
+    want = (points @ points.T >= 0.98).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in pq_dedup.near_duplicate_vectors(frame.repartition(3)).collect()}
+    assert [got[k] for k in range(2000)] == want.tolist() and want.sum() > 2000
+
+
 def test_pipeline(spark, tmp_path, odd_texts):
     folder = str(tmp_path)
     rows = [(k, t, "xx", f"s{k}", len(t or "")) for k, t in enumerate(odd_texts)]
