@@ -4,7 +4,7 @@ A shingle is five words; its weight is how often it is in the text times the mea
 words, scaled to 1 .. 2 so that edits don't outweigh what two copies share. Each of BANDS x ROWS samples is equal in
 two texts with the probability of their weighted Jaccard similarity. Texts with an equal band are candidates:
 
-1. each against the smallest id of its bucket, so that a bucket of copies costs one comparison a member;
+1. each against the first of its bucket, so that a bucket of copies costs one comparison a member;
 2. where that leaves a bucket in several clusters, its texts are paired by an exact filter over all their shingles
    (``prefix_pairs``), which drops no pair that is similar enough.
 """
@@ -110,7 +110,7 @@ def band_keys(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, seed:
 
 
 def signatures(docs: DataFrame, frequencies) -> DataFrame:
-    """doc_id, s1 and s2 (the word sequence; null without words), bands."""
+    """doc_id, text, s1 and s2 (the word sequence; null without words), bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
@@ -120,11 +120,11 @@ def signatures(docs: DataFrame, frequencies) -> DataFrame:
             lengths[own] = BANDS
             none = lengths == 0
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "s1": pa.array(sequence[:, 0].view(np.int64) if len(sequence) else [], pa.int64(), mask=none),
+                "doc_id": batch.column("doc_id"), "text": batch.column("text"), "s1": pa.array(sequence[:, 0].view(np.int64) if len(sequence) else [], pa.int64(), mask=none),
                 "s2": pa.array(np.ascontiguousarray(sequence[:, 1]).view(np.int64), pa.int64(), mask=none),
                 "bands": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))})
 
-    return docs.mapInArrow(sign, "doc_id long, s1 long, s2 long, bands array<long>")
+    return docs.mapInArrow(sign, "doc_id long, text string, s1 long, s2 long, bands array<long>")
 
 
 def similarities(left: pa.Array, right: pa.Array, frequencies) -> np.ndarray:
@@ -140,7 +140,7 @@ def similarities(left: pa.Array, right: pa.Array, frequencies) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, frequencies, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar enough. The text of b is fetched first: a may be in many pairs,
+    """Those of the pairs (a, b) whose texts are similar enough; ``docs`` has one row for each. The text of b is fetched first: a may be in many pairs,
     and such rows are then large enough for Spark to split."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,14 +148,15 @@ def verified(pairs: DataFrame, docs: DataFrame, frequencies, threshold: float) -
             good = similarities(batch.column("text_a"), batch.column("text_b"), frequencies.value) >= threshold - 1e-9
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    texts = docs.filter("doc_id is not null and text is not null")
+    texts = docs.select("doc_id", "text")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return staged(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "links")
 
 
 def prefix_pairs(docs: DataFrame, texts: DataFrame, frequencies, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of ``texts`` (id, cluster) in different clusters that can be similar enough.
+    """(a, b), a < b: pairs of ``texts`` (id, cluster) in different clusters that can be similar enough; ``docs`` has one
+    row for each id.
 
     Take each text's shingles from the rarest to the most frequent, all in one order. Of two texts with a similarity of
     t, both have their first common shingle within the first 1 - t of their weight, and what is left from it on must
@@ -202,25 +203,30 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     spark: SparkSession = docs.sparkSession
     own = identified(docs, id_col, text_col)
     frequencies = spark.sparkContext.broadcast(document_frequencies(own))
-    signed = staged(signatures(own.filter("doc_id is not null"), frequencies), "signatures")
-    texts = staged(signed.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")), "texts")
+    # one key for each row, and of rows with the same words that of one of them; ids come back in at the end
+    signed = staged(signatures(own.filter("doc_id is not null"), frequencies).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    bodies = signed.select(F.col("row").alias("doc_id"), "text")
+    texts = staged(signed.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("row").alias("id"), F.min_by("bands", "row").alias("bands")), "texts")
+    placed = staged(signed.select("doc_id", "row", "s1", "s2").join(texts.select("s1", "s2", "id"), ["s1", "s2"], "left")
+                    .select("doc_id", F.coalesce("id", "row").alias("id")), "placed")
+    several = placed.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("high")).filter("a <> high").drop("high")
+    same_id = placed.join(several, "doc_id").select("a", F.col("id").alias("b"))  # rows that repeat an id share its class
     members = texts.select("id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "id")
     leaders = members.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     members = staged(members.join(leaders, "bucket"), "members")  # only buckets of two texts or more
     tested = staged(members.filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    links = verified(tested, own, frequencies, threshold)
+    links = verified(tested, bodies, frequencies, threshold).unionByName(same_id)
     found = components(links)
     inside = (members.join(found.withColumnRenamed("id", "own"), F.col("id") == F.col("own"), "left")
               .select("bucket", "id", F.coalesce("component", "id").alias("cluster")))
     apart = inside.groupBy("bucket").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low <> high").select("bucket")
     open_texts = staged(inside.join(apart, "bucket", "left_semi").select("id", "cluster").distinct(), "open")
     if not open_texts.isEmpty():
-        more = staged(prefix_pairs(own, open_texts, frequencies, threshold).join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = components(links.unionByName(verified(more, own, frequencies, threshold)))
-    classes = (signed.select("doc_id", "s1", "s2").join(texts.select("s1", "s2", "id"), ["s1", "s2"], "left")
-               .join(found, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id", "doc_id")).alias("class_id")))
-    sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    classes = classes.join(sizes, "class_id")
+        more = staged(prefix_pairs(bodies, open_texts, frequencies, threshold).join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = components(links.unionByName(verified(more, bodies, frequencies, threshold)))
+    groups = placed.join(found, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("group"))
+    sizes = groups.groupBy("group").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    classes = groups.join(sizes, "group").drop("group")
     return own.select("doc_id").join(classes, "doc_id", "left").select(
         "doc_id", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"),
         (F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))).alias("kept"))

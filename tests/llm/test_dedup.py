@@ -182,6 +182,23 @@ def test_near_when_all_texts_share_a_bucket(spark, monkeypatch, sentences):
     assert 1 < len(set(want.values())) < 30
 
 
+def test_near_with_repeated_rows_in_a_mixed_bucket(spark, monkeypatch, sentences):
+    """Repeated rows and ids with several texts lose no link that the smallest text of a bucket doesn't show."""
+    monkeypatch.setattr(minhash, "band_keys", lambda owner, *_: (np.unique(owner), np.ones((len(np.unique(owner)), minhash.BANDS), dtype=np.uint64)))
+    texts = [(0, sentences[0])]
+    for k in range(1, 5):
+        words = sentences[k].split()
+        near = [*words[:60], "changed", *words[61:]]
+        texts += [(10 * k, " ".join(words))] * k + [(10 * k + 1, " ".join(near))]
+    texts += [(70, sentences[5]), (70, sentences[6]), (71, sentences[5] + " more"), (72, sentences[6] + " more"), (70, None), (73, ""), (73, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = {0: 0, **{10 * k + j: 10 * k for k in range(1, 5) for j in range(2)}, 70: 70, 71: 70, 72: 70, 73: 73}
+    got = minhash.near_duplicates(docs).collect()
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == Counter((d, want[d]) for d, _ in texts)
+    sizes = Counter(want.values())
+    assert all(r["class_size"] == sizes[r["class_id"]] and r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
+
+
 def test_samples_collide_as_often_as_weights_agree():
     draw = np.random.default_rng(3)
     shingle = draw.integers(1 << 63, size=400).astype(np.uint64)
