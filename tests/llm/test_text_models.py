@@ -313,6 +313,12 @@ def test_pipeline(spark, tmp_path, odd_texts):
     assert once == sorted(map(str, docs.drop("sequence_id", "offset").collect()))
 
 
+def test_pipeline_keeps_short_texts_that_languages_share(spark):
+    rows = [(k, f"shared {own} shared", own) for k, own in enumerate(["aaa", "bbb", "ccc"] * 6)] + [(100, "shared", None), (101, "12", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {*range(18), 100}
+
+
 def test_every_query_is_registered():
     assert sorted({int(x[2:].split("_")[0]) for x in queries.QUERIES}) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
