@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsgauge.functions import fixed_values as fixed
-from newsgauge.functions.numbers import let
 from newsgauge.functions.text import casefold, policy_impact_of, policy_sentence
-
-GRAM = 3  # letters of the parts by which names are looked up
+from newsgauge.operators.patterns import keyword_groups, pattern_hits
 
 
 def search_text(title: str = "title", summary: str = "summary") -> Column:
@@ -19,83 +17,43 @@ def search_text(title: str = "title", summary: str = "summary") -> Column:
                     F.coalesce(F.col(summary), F.lit("")))
 
 
-def symbol_matches(items: DataFrame, tickers: DataFrame, item_keys: Sequence[str], text: str) -> DataFrame:
-    """(item_keys, ticker) pairs where the symbol itself is mentioned.
+def symbol_patterns(tickers: DataFrame) -> DataFrame:
+    """(pattern, value) of a text with a blank at either end: symbols over two characters as a token between blanks or
+    after '$', shorter ones only after '$'."""
+    symbol = F.lower("ticker")
+    compact = F.replace(symbol, F.lit("."), F.lit(""))
 
-    Symbols over two characters match as a blank-delimited token or after '$'; shorter ones only
-    after '$'. Candidates come from the text's own tokens, so this is an equi join.
-    """
-    compact = F.replace(F.lower("ticker"), F.lit("."), F.lit(""))
-    wanted = (tickers.select("ticker").distinct()
-              .select("ticker", F.explode(F.when(
-                  F.length(compact) > 2,
-                  F.array(F.concat(F.lit("w:"), compact), F.concat(F.lit("w:"), F.lower("ticker")),
-                          F.concat(F.lit("$:"), compact)))
-                  .otherwise(F.array(F.concat(F.lit("$:"), compact)))).alias("_mark")).distinct())
-    # "$abc" matches when the text after some '$' starts with the symbol, whatever follows, so the start of each
-    # length that symbols have is a candidate.
-    lengths = tickers.select(F.length(compact).alias("n")).distinct().agg(F.collect_set("n")).scalar()
-
-    def marked(values: Column, prefix: str) -> Column:
-        return F.transform(values, lambda v: F.concat(F.lit(prefix), v))
-
-    def after_dollar(folded: Column) -> Column:
-        tails = F.filter(F.slice(F.split(folded, r"\$"), 2, 2_000_000_000), lambda t: t != "")
-        starts = F.flatten(F.transform(tails, lambda tail: F.transform(
-            F.col("_lengths"), lambda n: F.when(n <= F.length(tail), F.substr(tail, F.lit(1), n)))))
-        return F.array_compact(starts)
-
-    def marks(folded: Column) -> Column:
-        dollars = F.when(F.contains(folded, F.lit("$")), after_dollar(folded)).otherwise(F.array().cast("array<string>"))
-        return F.concat(marked(F.split(folded, " "), "w:"), marked(dollars, "$:"))
-
-    found = F.array_distinct(let(F.lower(F.col(text)), marks))
-    seen = items.withColumn("_lengths", lengths).select(*item_keys, F.explode(found).alias("_mark"))
-    return seen.join(wanted, "_mark").select(*item_keys, "ticker").distinct()
-
-
-def phrase_candidates(items: DataFrame, names: DataFrame, item_keys: Sequence[str], text: str) -> DataFrame:
-    """(item_keys, ticker, name): texts that hold the part of the name that the fewest texts hold.
-
-    A name's parts are its runs of GRAM letters (the whole name if it is shorter). Only keys travel with
-    the parts, and only with parts that some name has; a name with a part that no text holds is out.
-    """
-    size = F.least(F.length("name"), F.lit(GRAM))
-    parts = names.withColumn("_part", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("name") - size + 1), lambda at: F.substr(F.col("name"), at, size)))))
-    sizes = names.select(size.alias("n")).distinct().agg(F.collect_set("n")).scalar()
-
-    def shifted(n: int) -> Column:
-        return F.slice("_one", n + 1, 2_000_000_000)
-
-    def if_wanted(n: int, values: Column) -> Column:
-        return F.when(F.array_contains("_sizes", n), values).otherwise(F.array().cast("array<string>"))
-
-    keyed = (items.select(*item_keys, F.lower(F.col(text)).alias("_folded")).where(F.col("_folded") != "").withColumn("_sizes", sizes)
-             .withColumn("_one", F.split("_folded", ""))
-             .withColumn("_two", F.zip_with("_one", shifted(1), lambda a, b: F.concat(a, b)))
-             .withColumn("_three", F.zip_with("_two", shifted(2), lambda a, b: F.concat(a, b))))
-    grams = F.array_compact(F.array_distinct(F.concat(
-        *[if_wanted(n, F.col(name)) for n, name in ((1, "_one"), (2, "_two"), (GRAM, "_three"))])))
-    seen = (keyed.select(*item_keys, F.explode(grams).alias("_part"))
-            .join(parts.select("_part").distinct(), "_part", "left_semi"))
-    held = seen.groupBy("_part").agg(F.count(F.lit(1)).alias("texts"))
-    rarest = (parts.join(held, "_part", "left").groupBy("ticker", "name")
-              .agg(F.min_by("_part", F.struct("texts", "_part")).alias("_part"), F.min(F.coalesce("texts", F.lit(0))).alias("texts"))
-              .where("texts > 0").drop("texts"))
-    return seen.join(rarest, "_part").drop("_part")
+    def token(word: Column) -> Column:
+        return F.concat(F.lit(" "), word, F.lit(" "))
 
+    after_dollar = F.concat(F.lit("$"), compact)
+    wanted = F.when(F.length(compact) > 2, F.array(token(compact), token(symbol), after_dollar)).otherwise(F.array(after_dollar))
+    return tickers.select(F.explode(F.array_distinct(wanted)).alias("pattern"), F.col("ticker").alias("value"))
 
-def phrase_matches(items: DataFrame, names: DataFrame, item_keys: Sequence[str], text: str) -> DataFrame:
-    """(item_keys, ticker) pairs where lower(name) is contained in lower(text): one plan for lists of any length.
 
-    The texts come back only for the few candidates.
-    """
-    tidy = names.select("ticker", F.lower("name").alias("name")).where(F.col("name") != "").distinct()
-    candidates = phrase_candidates(items, tidy, item_keys, text)
-    texts = items.select(*item_keys, F.lower(F.col(text)).alias("_folded"))
-    return (texts.join(candidates, list(item_keys)).where(F.contains(F.col("_folded"), F.col("name")))
-            .select(*item_keys, "ticker").distinct())
+def name_patterns(names: DataFrame) -> DataFrame:
+    """(pattern, value) for (ticker, name): the name wherever the text contains it."""
+    return names.select(F.lower("name").alias("pattern"), F.col("ticker").alias("value"))
+
+
+def _pairs(items: DataFrame, patterns: DataFrame, item_keys: Sequence[str], folded: Column) -> DataFrame:
+    searched = items.select(*item_keys, folded.alias("_folded"))
+    return pattern_hits(searched, patterns, item_keys, "_folded").withColumnRenamed("value", "ticker").distinct()
+
+
+def _padded(folded: Column) -> Column:
+    """Blanks at both ends make the first and last word tokens like the others."""
+    return F.concat(F.lit(" "), folded, F.lit(" "))
+
+
+def symbol_matches(items: DataFrame, tickers: DataFrame, item_keys: Sequence[str], text: str) -> DataFrame:
+    """(item_keys, ticker) pairs where the symbol itself is mentioned."""
+    return _pairs(items, symbol_patterns(tickers), item_keys, _padded(F.lower(F.col(text))))
+
+
+def phrase_matches(items: DataFrame, names: DataFrame, item_keys: Sequence[str], text: str) -> DataFrame:
+    """(item_keys, ticker) pairs where lower(name) is contained in lower(text): one pass for lists of any length."""
+    return _pairs(items, name_patterns(names), item_keys, F.lower(F.col(text)))
 
 
 def match_tickers(items: DataFrame, tickers: DataFrame, item_keys: Sequence[str],
@@ -104,7 +62,8 @@ def match_tickers(items: DataFrame, tickers: DataFrame, item_keys: Sequence[str]
     """(item_keys, ticker): company name in the text, or symbol mentioned.
 
     ``names`` is (ticker, name). With ``legacy_match`` a ticker that has no name is matched as a
-    raw substring of the text too.
+    raw substring of the text too. Symbols and names are looked for in one pass; a name that begins or ends
+    with a blank could match the blanks put around the text, so such names take a pass of their own.
     """
     searched = items.withColumn("_search", text if text is not None else search_text())
     known = names.join(tickers.select("ticker").distinct(), "ticker", "left_semi") if names is not None else None
@@ -114,10 +73,15 @@ def match_tickers(items: DataFrame, tickers: DataFrame, item_keys: Sequence[str]
             unnamed = unnamed.join(known, "ticker", "left_anti")
         bare = unnamed.select("ticker", F.col("ticker").alias("name"))
         known = bare if known is None else known.select("ticker", "name").unionByName(bare)
-    found = symbol_matches(searched, tickers, item_keys, "_search")
+    patterns, odd = symbol_patterns(tickers), None
     if known is not None:
-        found = found.unionByName(phrase_matches(searched, known, item_keys, "_search"))
-    return found.distinct()
+        at_edge = F.col("name").startswith(" ") | F.col("name").endswith(" ")
+        patterns = patterns.unionByName(name_patterns(known.where(~at_edge)))
+        odd = known.where(at_edge)
+    found = _pairs(searched, patterns, item_keys, _padded(F.lower("_search")))
+    if odd is not None and not odd.isEmpty():
+        found = found.unionByName(phrase_matches(searched, odd, item_keys, "_search")).distinct()
+    return found
 
 
 def topic_dimension(spark: SparkSession,
@@ -130,15 +94,14 @@ def topic_dimension(spark: SparkSession,
 
 def matching_topics(text: Column, topics: Iterable[tuple[str, str, Sequence[str]]] = fixed.POLICY_TOPICS,
                     industry_tickers: dict[str, list[str]] = fixed.INDUSTRY_TICKERS) -> Column:
-    """array<struct<topic, industry, tickers>> of the topics with any keyword in the text."""
+    """array<struct<topic, industry, tickers>> of the topics with any keyword in the text, all looked for in one pass."""
     topics = list(topics)
-    entries = [F.struct(
+    table = F.array(*[F.struct(
         F.lit(topic).alias("topic"), F.lit(industry).alias("industry"),
-        F.array(*[F.lit(t) for t in industry_tickers.get(industry, [])]).cast("array<string>").alias("tickers"),
-        F.array(*[F.lit(k.lower()) for k in keywords]).alias("keywords")) for topic, industry, keywords in topics]
-    table = F.array(*entries)
-    return let(casefold(text), lambda t: F.filter(
-        table, lambda e: F.exists(e["keywords"], lambda k: F.contains(t, k))))
+        F.array(*[F.lit(t) for t in industry_tickers.get(industry, [])]).cast("array<string>").alias("tickers"))
+        for topic, industry, _ in topics])
+    places = keyword_groups(casefold(text), [[k.lower() for k in keywords] for _, _, keywords in topics])
+    return F.transform(places, lambda place: F.get(table, place))
 
 
 def fan_out_topics(items: DataFrame, selected: DataFrame, topics=fixed.POLICY_TOPICS,

@@ -113,3 +113,7 @@ REFERENCES: list[tuple[str, str, str, str]] = [
 
 # Tables partitioned by the day of a timestamp, so date filters prune whole folders.
 DAY_PARTITIONED = {"raw_headlines": "published_at_utc", "scored_headlines": "published_at_utc"}
+
+# Tables whose natural key holds a day: partitioned by it, so an upsert of some days rewrites these days only.
+KEY_DAYS = {"insights": "insight_date", "insight_evaluations": "evaluation_date", "price_quotes": "quote_date",
+            "portfolio_snapshots": "snapshot_date"}

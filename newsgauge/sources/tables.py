@@ -1,20 +1,36 @@
 """Stored tables: allow-listed reads, insert-if-absent, upsert, update and append.
 
 The set logic is in plain functions from DataFrame to DataFrame. ``Tables`` adds the files:
-each rewrite goes to a new version folder, so a plan never overwrites what it reads and a failed
+each change goes to new folders, so a plan never overwrites what it reads and a failed
 job leaves the old version in place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import copy
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsgauge import schemas
 from newsgauge.operators.keyed import first_rows
+from newsgauge.sources.versions import Versions
+
+
+@dataclass(frozen=True)
+class LoadCounts:
+    """What a load saw: rows fetched, rows left after removing copies, rows that were new."""
+
+    fetched: int
+    after_dedupe: int
+    saved: int
+
 
 # ---------------------------------------------------------------- set logic
 
@@ -32,6 +48,12 @@ def absent_rows(target: DataFrame, batch: DataFrame, keys: Sequence[str],
     return one_each.join(target.select(*keys), list(keys), "left_anti")
 
 
+def keys_met(stored: DataFrame, batch: DataFrame, keys: Sequence[str], few: bool) -> DataFrame:
+    """Keys of the batch that are stored. ``few`` keys go to the stored rows; otherwise both sides are shuffled."""
+    wanted = batch.select(*keys).distinct()
+    return stored.select(*keys).join(F.broadcast(wanted) if few else wanted, list(keys), "left_semi").distinct()
+
+
 def insert_if_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str],
                      order: Sequence[Column] = ()) -> DataFrame:
     return target.unionByName(absent_rows(target, batch, keys, order), allowMissingColumns=True)
@@ -156,35 +178,84 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
 # ---------------------------------------------------------------- files
 
 DAY = "published_day"  # partition column of the day-partitioned tables
-KEPT_VERSIONS = 2  # versions of a table that a rewrite leaves, the new one included
+PART = "part"  # of all others: the day in their key, or one of BUCKETS parts by the hash of the key
+BUCKETS = 16
+#: Batches of so many keys at most are sent to the stored rows; larger ones are joined by shuffling both.
+SMALL_BATCH = 100_000
+
+
+def _observed(observation: Observation) -> int:
+    """Rows that passed; none where the optimizer took the observed step out, because nothing can pass it."""
+    try:
+        return observation.get["rows"]
+    except Py4JJavaError as error:
+        if "AssertionError" in str(error.java_exception):  # no figures for this observation
+            return 0
+        raise
 
 
 class Tables:
-    """Parquet tables under one root folder, limited to the declared names."""
+    """Parquet tables under one root folder, limited to the declared names.
+
+    Each change is a commit (see ``versions``); those made in a ``transaction`` are one commit. Writes return the
+    number of rows they saved, counted while they were written.
+    """
 
     def __init__(self, spark: SparkSession, root: str, allowed: Mapping[str, T.StructType] = schemas.TABLES):
         self.spark, self.root, self.allowed = spark, root.rstrip("/"), dict(allowed)
-
-    def _files(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm.org.apache.hadoop.fs.Path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-
-    def _versions(self, name: str, finished: bool = True) -> list[int]:
-        """Version numbers; a version is finished once its job has committed."""
+        self.versions = Versions(spark, self.root)
+        self._open: dict | None = None
+
+    # ------------------------------------------------------------ state
+
+    def _state(self) -> dict:
+        return self._open if self._open is not None else self.versions.newest()
+
+    def _set(self, state: dict) -> None:
+        if self._open is not None:
+            self._open = state
+        else:
+            self.versions.commit(state)
+
+    @contextmanager
+    def transaction(self) -> Iterator[Tables]:
+        """Changes inside become visible to others together at the end, or not at all if it fails."""
+        if self._open is not None:
+            raise RuntimeError("a transaction is open already")
+        self._open = before = self.versions.newest()
+        try:
+            yield self
+            if self._open is not before:
+                self.versions.commit(self._open)
+        finally:
+            self._open = None
+
+    def last_batch(self, stream: str) -> int:
+        """The last batch of a stream that a commit holds; -1 before the first."""
+        return self._state()["batches"].get(stream, -1)
+
+    def note_batch(self, stream: str, batch: int) -> None:
+        state = copy.deepcopy(self._state())
+        state["batches"][stream] = batch
+        self._set(state)
+
+    # ------------------------------------------------------------ layout
+
+    def _check(self, name: str) -> None:
         if name not in self.allowed:
             raise ValueError(f"table {name!r} is not one of {sorted(self.allowed)}")
-        path, files = self._files()
-        folder = path(f"{self.root}/{name}")
-        if not files.exists(folder):
-            return []
-        found = [s.getPath().getName() for s in files.listStatus(folder)]
-        return sorted(int(v[1:]) for v in found if v.startswith("v") and v[1:].isdigit()
-                      and (not finished or files.exists(path(f"{self.root}/{name}/{v}/_SUCCESS"))))
-
-    def path(self, name: str) -> str | None:
-        versions = self._versions(name)
-        return f"{self.root}/{name}/v{versions[-1]}" if versions else None
+
+    def _partition(self, name: str) -> tuple[str, Column]:
+        """Partition column of a table and its value."""
+        if name in schemas.DAY_PARTITIONED:
+            return DAY, F.col(schemas.DAY_PARTITIONED[name]).cast("date")
+        if name in schemas.KEY_DAYS:
+            return PART, F.coalesce(F.col(schemas.KEY_DAYS[name]).cast("date").cast("string"), F.lit("none"))
+        keys = schemas.NATURAL_KEYS.get(name)
+        if keys is None:
+            return PART, F.lit("all")
+        hashed = F.xxhash64(*[F.col(k).cast("string") for k in keys])
+        return PART, F.concat(F.lit("b"), F.pmod(hashed, F.lit(BUCKETS)).cast("string"))
 
     def schema(self, name: str) -> T.StructType:
         fields = list(self.allowed[name].fields)
@@ -192,63 +263,108 @@ class Tables:
             fields.append(T.StructField(DAY, T.DateType()))
         return T.StructType(fields)
 
-    def read(self, name: str, every_column: bool = False) -> DataFrame:
+    def read(self, name: str, every_column: bool = False, only: set[str] | None = None) -> DataFrame:
         """The newest version, by its declared schema: no file is opened to plan the scan, and
         columns that older files lack are NULL. ``every_column`` adds undeclared columns, at the
-        price of reading all file footers."""
-        path, declared = self.path(name), self.schema(name)
-        if path is None:
+        price of reading all file footers; ``only`` reads some partition folders."""
+        self._check(name)
+        declared = self.schema(name)
+        paths = self.versions.paths(self._state(), name, only)
+        if not paths:
             return self.spark.createDataFrame([], declared)
+        reader = self.spark.read.option("basePath", f"{self.root}/{name}")
         if every_column:
-            return conform(self.spark.read.option("mergeSchema", "true").parquet(path), declared)
-        return self.spark.read.schema(declared).parquet(path)
-
-    def _prepared(self, name: str, df: DataFrame) -> tuple[DataFrame, list[str]]:
-        """Rows brought together by day, large days split by size: a few files a day, not one per task and day."""
-        stamp = schemas.DAY_PARTITIONED.get(name)
-        if stamp is None:
-            return df.hint("rebalance"), []
-        return df.withColumn(DAY, F.col(stamp).cast("date")).hint("rebalance", DAY), [DAY]
-
-    def replace(self, name: str, df: DataFrame) -> None:
-        taken = self._versions(name, finished=False)
-        rows, partitions = self._prepared(name, df)
-        target = f"{self.root}/{name}/v{taken[-1] + 1 if taken else 1}"
-        rows.write.mode("error").partitionBy(*partitions).parquet(target)
-        path, files = self._files()
-        for old in self._versions(name)[:-KEPT_VERSIONS]:
-            files.delete(path(f"{self.root}/{name}/v{old}"), True)
-
-    def append(self, name: str, df: DataFrame) -> None:
-        path = self.path(name)
-        if path is None:
-            return self.replace(name, df)
-        rows, partitions = self._prepared(name, df)
-        rows.write.mode("append").partitionBy(*partitions).parquet(path)
-
-    def insert_if_absent(self, name: str, batch: DataFrame, order: Sequence[Column] = ()) -> None:
-        """Appends the rows whose key is new. On day-partitioned tables only the days of the batch
-        are read (its set of days, not the span): the key contains the timestamp, so a copy can only be
-        on the same day, or among the rows without a day."""
+            found = reader.option("mergeSchema", "true").parquet(*paths).drop("write", PART)
+            return conform(found, declared)
+        inner = [T.StructField("write", T.StringType())] + ([] if DAY in declared.fieldNames() else [T.StructField(PART, T.StringType())])
+        return reader.schema(T.StructType([*declared.fields, *inner])).parquet(*paths).select(*declared.fieldNames())
+
+    # ------------------------------------------------------------ writes
+
+    def _write(self, name: str, df: DataFrame) -> tuple[str, int]:
+        """A new write folder with rows brought together by partition, large ones split by size; and how many rows."""
+        column, value = self._partition(name)
+        write, saved = "w" + uuid.uuid4().hex, Observation()
+        rows = df.withColumn(column, value).observe(saved, F.count(F.lit(1)).alias("rows")).hint("rebalance", column)
+        rows.write.mode("error").partitionBy(column).parquet(self.versions.folder(name, write))
+        return write, _observed(saved) if self.versions.partitions(name, write) else 0
+
+    def replace(self, name: str, df: DataFrame) -> int:
+        self._check(name)
+        write, saved = self._write(name, df)
+        state = copy.deepcopy(self._state())
+        state["tables"][name] = {write: None} if self.versions.partitions(name, write) else {}
+        self._set(state)
+        return saved
+
+    def append(self, name: str, df: DataFrame) -> int:
+        self._check(name)
+        write, saved = self._write(name, df)
+        if self.versions.partitions(name, write):
+            state = copy.deepcopy(self._state())
+            state["tables"].setdefault(name, {})[write] = None
+            self._set(state)
+        return saved
+
+    def rewrite(self, name: str, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+        """Copy on write: ``merge(stored, changes)`` replaces the partitions that the changes touch; the files of all
+        others stay as they are. Returns the rows written. ``changes`` is read twice."""
+        self._check(name)
+        column, value = self._partition(name)
+        touched = {self._folder_of(column, r[0]) for r in changes.select(value.alias("v")).distinct().collect()}  # days, or BUCKETS
+        if not touched:
+            return 0
+        merged = merge(self.read(name, every_column=True, only=touched), changes)
+        write, saved = self._write(name, merged)
+        state = self.versions.without(self._state(), name, touched)
+        if self.versions.partitions(name, write):
+            state["tables"][name][write] = None
+        self._set(state)
+        return saved
+
+    @staticmethod
+    def _folder_of(column: str, value: object) -> str:
+        return f"{column}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}"
+
+    def insert_if_absent(self, name: str, batch: DataFrame, order: Sequence[Column] = ()) -> LoadCounts:
+        """Appends the rows whose key is new and counts rows and distinct keys while finding their partitions, and rows
+        saved while writing them.
+
+        On day-partitioned tables only the days of the batch are read (its set of days, not the span): the key contains
+        the timestamp, so a copy can only be on the same day, or among the rows without a day. Keys of a small batch
+        are sent to the stored rows, so that those are not shuffled."""
+        self._check(name)
         keys = schemas.NATURAL_KEYS[name]
-        stamp = schemas.DAY_PARTITIONED.get(name)
-        target = self.read(name)
-        if stamp is not None and self.path(name) is not None:
-            days = [r[0] for r in batch.select(F.col(stamp).cast("date")).distinct().collect()]  # calendar days
-            same = F.col(DAY).isin([x for x in days if x is not None])
-            target = target.where(same | F.col(DAY).isNull() if None in days else same)
-        self.append(name, absent_rows(target, batch, keys, order))
+        column, value = self._partition(name)
+        one_key = F.struct(*keys)
+        touched = batch.groupBy(value.alias("v")).agg(  # calendar days, or BUCKETS; a key is in one of them
+            F.count(F.lit(1)).alias("rows"), F.count_distinct(one_key).alias("unique")).collect()
+        fetched, unique = (sum(r[c] for r in touched) for c in ("rows", "unique"))
+        stored = self.read(name, only={self._folder_of(column, r["v"]) for r in touched})
+        met = keys_met(stored, batch, keys, unique <= SMALL_BATCH)
+        one_each = first_rows(batch, keys, [*order, *_by_values(batch)])
+        return LoadCounts(fetched, unique, self.append(name, one_each.join(met, list(keys), "left_anti")))
 
     def upsert(self, name: str, updates: DataFrame, update_columns: Sequence[str] | None = None,
-               batch_order: str | None = None) -> None:
-        self.replace(name, upsert(self.read(name, every_column=True), updates, schemas.NATURAL_KEYS[name], update_columns, batch_order))
+               batch_order: str | None = None) -> int:
+        keys = schemas.NATURAL_KEYS[name]
+        return self.rewrite(name, updates, lambda stored, new: upsert(stored, new, keys, update_columns, batch_order))
+
+    def upsert_positions(self, updates: DataFrame, batch_order: str | None = None) -> int:
+        """Stored form of ``upsert_positions``: positions without quantity go."""
+        return self.rewrite("portfolio_positions", updates, lambda stored, new: upsert_positions(stored, new, batch_order))
+
+    def resolve_alerts(self, alert_types: Iterable[str]) -> None:
+        """Stored form of ``resolve_alerts``: only partitions with such an open alert are rewritten."""
+        types = list(alert_types)
+        hit = self.read("health_alerts").where((F.col("status") == "open") & F.col("alert_type").isin(types))
+        self.rewrite("health_alerts", hit, lambda stored, _: resolve_alerts(stored, types))
 
     def empty(self, names: Iterable[str]) -> dict[str, int]:
         """Empties tables and reports how many rows each had."""
         removed = {}
         for name in names:
-            old = self.read(name)
-            removed[name] = old.count()
+            removed[name] = self.read(name).count()
             self.replace(name, self.spark.createDataFrame([], self.allowed[name]))
         return removed
 

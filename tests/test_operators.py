@@ -8,7 +8,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from newsgauge.operators import asof, frames, keyed, matching
+from newsgauge.operators import asof, frames, keyed, matching, patterns
 from newsgauge.operators.halfsplit import half_split_momentum
 from newsgauge.operators.median import exact_median
 from newsgauge.plans.portfolio import capped_amounts
@@ -136,14 +136,27 @@ def test_names_are_found_wherever_texts_contain_them(spark):
     assert got == {(i, t) for i, body in texts for t, name in listed if name.lower() in body}
 
 
-def test_candidates_are_few_where_names_match_nowhere(spark):
+def test_long_name_lists_go_in_pieces_and_texts_are_not_shuffled(spark, monkeypatch):
     rng = random.Random(4)
-    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(400)]
-    items = spark.createDataFrame([(i, " ".join(rng.sample(words, 30))) for i in range(200)], "id int, body string")
-    names = spark.createDataFrame([(f"N{i}", w + "qz") for i, w in enumerate(words)], "ticker string, name string")
-    assert matching.phrase_candidates(items, names, ["id"], "body").count() < 0.02 * 200 * 400
-    hits = matching.phrase_candidates(items, names.withColumn("name", F.substring("name", 1, 6)), ["id"], "body").count()
-    assert hits < 3 * 200 * 30
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    texts = [(i, None if i == 3 else " ".join(rng.sample(words, 30))) for i in range(50)]
+    items = spark.createDataFrame(texts, "id int, body string")
+    listed = [(w, f"V{i % 40}") for i, w in enumerate(words)] + [("", "empty"), (None, "none"), ("a", None)]
+    patterns_df = spark.createDataFrame(listed, "pattern string, value string")
+    want = {(i, v) for i, body in texts if body for w, v in listed if w and v and w in body}
+    for letters in (1 << 20, 100):
+        monkeypatch.setattr(patterns, "PIECE_LETTERS", letters)
+        hits = patterns.pattern_hits(items, patterns_df, ["id"], "body")
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and (plan.count("MapInArrow") == 1) == (letters > 100)
+        assert set(map(tuple, hits.distinct().collect())) == want
+
+
+def test_names_with_blanks_at_their_ends(spark):
+    items = spark.createDataFrame([(1, "corp up"), (2, "big corp up"), (3, "up corp")], "id int, body string")
+    names = spark.createDataFrame([("A", " corp"), ("B", "corp "), ("C", "corp")], "ticker string, name string")
+    got = set(map(tuple, matching.match_tickers(items, names.select("ticker"), ["id"], names, text=F.col("body")).collect()))
+    assert got == {(2, "A"), (3, "A"), (1, "B"), (2, "B"), (1, "C"), (2, "C"), (3, "C")}
 
 
 def test_policy_topics_fan_out_with_impact(spark, utc):

@@ -12,7 +12,7 @@ from newsgauge.plans import marts
 from newsgauge.operators import frames
 from newsgauge.plans import insights
 from newsgauge.session import shared_root, shuffle_partitions_for
-from newsgauge.sources import landing, tables
+from newsgauge.sources import landing, tables, versions
 from newsgauge.streaming import headlines as stream
 
 
@@ -172,12 +172,83 @@ def test_rows_without_a_day_are_inserted_once(spark, fresh):
     assert store.read("scored_headlines").count() == 4
 
 
+QUOTE = "ticker string, quote_date date, close_price_usd double, data_source string"
+
+
+def _quotes(spark, *rows):
+    return spark.createDataFrame([(t, dt.date(2024, 1, day), price, "x") for t, day, price in rows], QUOTE)
+
+
 def test_old_versions_go(spark, fresh):
     store = tables.Tables(spark, fresh("versions"))
-    quotes = spark.createDataFrame([("A", dt.date(2024, 1, 1), 1.0, "x")], "ticker string, quote_date date, close_price_usd double, data_source string")
     for price in (1.0, 2.0, 3.0, 4.0):
-        store.upsert("price_quotes", quotes.withColumn("close_price_usd", F.lit(price)))
-    assert store.read("price_quotes").first()["close_price_usd"] == 4.0 and len(store._versions("price_quotes")) == tables.KEPT_VERSIONS
+        store.upsert("price_quotes", _quotes(spark, ("A", 1, price)))
+    assert store.read("price_quotes").first()["close_price_usd"] == 4.0
+    assert len(store.versions.numbers()) == versions.KEPT_VERSIONS
+    assert len([x for x in store.versions._names(f"{store.root}/price_quotes") if x.startswith("write=")]) == versions.KEPT_VERSIONS
+
+
+def test_upsert_leaves_the_files_of_other_days(spark, fresh):
+    store = tables.Tables(spark, fresh("days"))
+    assert store.upsert("price_quotes", _quotes(spark, ("A", 1, 1.0), ("A", 2, 1.0), ("B", 3, 1.0), ("B", 2, 7.0))) == 4
+    before = set(store.read("price_quotes").inputFiles())
+    assert store.upsert("price_quotes", _quotes(spark, ("A", 2, 2.0), ("C", 2, 3.0))) == 3
+    after = set(store.read("price_quotes").inputFiles())
+    kept = before & after
+    assert {x.split("part=")[1][:10] for x in kept} == {"2024-01-01", "2024-01-03"} and len(after - before) >= 1
+    for _ in range(3):  # folders that no kept version names are deleted, the others stay
+        store.upsert("price_quotes", _quotes(spark, ("A", 3, 9.0)))
+    got = {(r["ticker"], r["quote_date"].day, r["close_price_usd"]) for r in store.read("price_quotes").collect()}
+    assert got == {("A", 1, 1.0), ("A", 2, 2.0), ("A", 3, 9.0), ("B", 2, 7.0), ("B", 3, 1.0), ("C", 2, 3.0)}
+    first = next(x for x in kept if "2024-01-01" in x)
+    assert first in store.read("price_quotes").inputFiles()
+
+
+def test_stored_positions_and_alerts_are_rewritten_in_place(spark, fresh):
+    store = tables.Tables(spark, fresh("positions"))
+    shape = "run_name string, ticker string, quantity double, avg_cost_cad double, last_price_cad double"
+    store.upsert_positions(spark.createDataFrame([("r", f"T{i}", 2.0, 1.0, 3.0) for i in range(40)], shape))
+    before = set(store.read("portfolio_positions").inputFiles())
+    store.upsert_positions(spark.createDataFrame([("r", "T7", 0.0, 1.0, 3.0), ("r", "T8", 5.0, 1.0, 2.0)], shape))
+    got = {r["ticker"]: (r["quantity"], r["market_value_cad"], r["unrealized_pnl_cad"]) for r in store.read("portfolio_positions").collect()}
+    assert len(got) == 39 and got["T8"] == (5.0, 10.0, 5.0) and got["T1"] == (2.0, 6.0, 4.0)
+    assert len(before & set(store.read("portfolio_positions").inputFiles())) >= len(before) - 2
+    alert = [(f"g:{k}", None, "warning", k, "m", "{}", None, "open") for k in ("low_headline_coverage", "other")]
+    store.upsert("health_alerts", spark.createDataFrame(alert, schemas.HEALTH_ALERT))
+    store.resolve_alerts(["low_headline_coverage"])
+    assert {(r["alert_type"], r["status"]) for r in store.read("health_alerts").collect()} == {("low_headline_coverage", "resolved"), ("other", "open")}
+
+
+def test_transactions_commit_all_tables_or_none(spark, fresh):
+    store, other = (tables.Tables(spark, root) for root in [fresh("together")] * 2)
+    with store.transaction():
+        store.append("price_quotes", _quotes(spark, ("A", 1, 1.0)))
+        store.note_batch("s", 4)
+        assert store.read("price_quotes").count() == 1 and other.read("price_quotes").count() == 0
+    assert other.read("price_quotes").count() == 1 and other.last_batch("s") == 4 and other.last_batch("t") == -1
+    with pytest.raises(RuntimeError, match="stop"), store.transaction():
+        store.append("price_quotes", _quotes(spark, ("B", 1, 1.0)))
+        raise RuntimeError("stop")
+    assert store.read("price_quotes").count() == 1
+
+
+def test_loads_are_counted_as_they_pass(spark, fresh):
+    store = tables.Tables(spark, fresh("counts"))
+    rows = _headlines(spark, 30, 3)
+    assert store.insert_if_absent("scored_headlines", rows.where("ticker = 'T0'")) == tables.LoadCounts(6, 6, 6)
+    assert store.insert_if_absent("scored_headlines", rows.union(rows)) == tables.LoadCounts(60, 30, 24)
+    assert store.insert_if_absent("scored_headlines", rows.limit(0)) == tables.LoadCounts(0, 0, 0)
+    assert store.insert_if_absent("scored_headlines", rows) == tables.LoadCounts(30, 30, 0)
+    assert store.read("scored_headlines").count() == 30
+
+
+def test_small_batches_do_not_shuffle_the_stored_day(spark, fresh):
+    store = tables.Tables(spark, fresh("small"))
+    store.append("scored_headlines", _headlines(spark, 500, 2))
+    met = tables.keys_met(store.read("scored_headlines"), _headlines(spark, 20, 2), ["content_hash"], few=True)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    stored_side = plan[plan.index("BroadcastHashJoin"):].split("BroadcastExchange")[0]
+    assert "Exchange" not in stored_side and "FileScan parquet" in stored_side and met.count() == 20
 
 
 def test_unreadable_messages_are_kept(spark, fresh, utc):
