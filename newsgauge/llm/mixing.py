@@ -21,6 +21,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 GROUP = 512
 MOST_SOURCES = 1 << 16
 ROUNDS = 12
+SLOTS_A_TASK = 8192
 
 
 def draw(*parts: Column | str) -> Column:
@@ -88,15 +89,12 @@ def _recipe(sources: DataFrame, block: int) -> DataFrame:
             .withColumn("quota", rounds * F.col("blocks") + F.ceil((wanted - rounds * size) / block)))
 
 
-def _at(array: Column, index: Column) -> Column:
-    return F.get(array, index)
-
 
 def _interval(starts: Column, count: Column, value: Column) -> Column:
     """Index of the last of ``count`` ascending starts that is not above ``value``, by halving."""
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(MOST_SOURCES.bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda low, step: F.when(
-        (low + step < count) & (_at(starts, low + step) <= value), low + step).otherwise(low))
+        (low + step < count) & (F.get(starts, low + step) <= value), low + step).otherwise(low))
 
 
 def _lists(recipe: DataFrame, columns: list[str]) -> Column:
@@ -147,29 +145,29 @@ class Mix:
                  .select(F.floor(F.col("id") / shard).alias("shard"), F.col("id").alias("slot"), _interval(F.col("lists.from"), count, F.col("u")).alias("drew")))
         counts = staged(drawn.groupBy("drew", "shard").agg(F.count(F.lit(1)).alias("n")), "counts")
         drew = counts.groupBy("drew").agg(F.sum("n").alias("draws"))
-        settled = (recipe.join(drew, recipe["index"] == drew["drew"], "left").withColumn("draws", F.coalesce("draws", F.lit(0)))
-                   .withColumn("over", F.coalesce(F.sum(F.greatest(F.lit(0), F.col("draws") - F.col("quota"))).over(order), F.lit(0)))
-                   .withColumn("short", F.coalesce(F.sum(F.greatest(F.lit(0), F.col("quota") - F.col("draws"))).over(order), F.lit(0))))
-        lists = _lists(settled, ["size", "wanted", "blocks", "full_blocks", "quota", "draws", "over", "short"])
+        settled = staged(recipe.join(drew, recipe["index"] == drew["drew"], "left").withColumn("draws", F.coalesce("draws", F.lit(0)))
+                         .withColumn("over", F.coalesce(F.sum(F.greatest(F.lit(0), F.col("draws") - F.col("quota"))).over(order), F.lit(0)))
+                         .withColumn("short", F.coalesce(F.sum(F.greatest(F.lit(0), F.col("quota") - F.col("draws"))).over(order), F.lit(0))), "settled")
         inside = Window.partitionBy("shard", "drew").orderBy("slot")
         before = sums_before(counts, "drew", "shard", "n").select("drew", "shard", "before")
-        ranked = (drawn.withColumn("rank", F.row_number().over(inside) - 1).join(before, ["drew", "shard"])
-                  .withColumn("k", F.col("before") + F.col("rank")).withColumn("lists", lists))
-        beyond = F.col("k") >= _at(F.col("lists.quota"), F.col("drew"))
-        surplus = _at(F.col("lists.over"), F.col("drew")) + F.col("k") - _at(F.col("lists.quota"), F.col("drew"))
-        dealt = (ranked.withColumn("surplus", F.when(beyond, surplus))
-                 .withColumn("index", F.when(beyond, _interval(F.col("lists.short"), count, F.col("surplus"))).otherwise(F.col("drew")).cast("int"))
-                 .withColumn("k", F.when(beyond, _at(F.col("lists.draws"), F.col("index")) + F.col("surplus")
-                                         - _at(F.col("lists.short"), F.col("index"))).otherwise(F.col("k"))))
-        for name in ("size", "wanted", "blocks", "full_blocks"):
-            dealt = dealt.withColumn(name, _at(F.col(f"lists.{name}"), F.col("index")))
+        of_drew = F.broadcast(settled.select(F.col("index").alias("drew"), F.col("quota").alias("_quota"), F.col("over").alias("_over")))  # MOST_SOURCES rows
+        ranked = (drawn.select("shard", "slot", "drew").withColumn("rank", F.row_number().over(inside) - 1).join(before, ["drew", "shard"])
+                  .join(of_drew, "drew").withColumn("k", F.col("before") + F.col("rank")))
+        beyond = F.col("k") >= F.col("_quota")
+        chosen = (ranked.withColumn("surplus", F.when(beyond, F.col("_over") + F.col("k") - F.col("_quota")))
+                  .withColumn("lists", _lists(settled, ["short"]))
+                  .withColumn("index", F.when(beyond, _interval(F.col("lists.short"), count, F.col("surplus"))).otherwise(F.col("drew")).cast("int")))
+        of_index = F.broadcast(settled.select("index", "size", "wanted", "blocks", "full_blocks", "draws", "short"))
+        dealt = (chosen.join(of_index, "index")
+                 .withColumn("k", F.when(F.col("surplus").isNotNull(), F.col("draws") + F.col("surplus") - F.col("short")).otherwise(F.col("k"))))
         # The short last block of a source is always the last one of its epoch.
-        timed = (dealt.select("shard", "slot", "index", "size", "wanted", "full_blocks", F.floor(F.col("k") / F.col("blocks")).alias("epoch"),
-                              F.pmod("k", "blocks").alias("turn")))
+        timed = dealt.select("shard", "slot", "index", "size", "wanted", "full_blocks", F.floor(F.col("k") / F.col("blocks")).alias("epoch"),
+                             F.pmod("k", "blocks").alias("turn"))
+        spread = timed.repartition(total // SLOTS_A_TASK + 1, "slot")  # permuting takes longer than its bytes tell
         key = F.concat_ws(":", F.lit(f"{seed}:block"), F.col("index").cast("string"), F.col("epoch").cast("string"))
         block = F.when(F.col("turn") < F.col("full_blocks"), permuted(F.col("turn"), F.col("full_blocks"), key)).otherwise(F.col("turn"))
         left = F.col("wanted") - F.col("epoch") * F.col("size") - F.col("turn") * self.block
-        return (timed.withColumn("block", block)
+        return (spread.withColumn("block", block)
                 .select("shard", "slot", "index", "epoch", "block", F.least(left, F.lit(self.block)).alias("take")))
 
     def pieces(self) -> DataFrame:
