@@ -213,7 +213,7 @@ QUOTES = """line_quotes AS (
   SELECT 'P' || l_partkey AS ticker, CAST(l_shipdate AS DATE) AS quote_date, l_extendedprice / (l_quantity + 0.37) AS close_price_usd,
     CASE l_returnflag WHEN 'A' THEN 'polygon' WHEN 'N' THEN 'yahoo_chart' ELSE 'synthetic' END AS data_source,
     l_orderkey AS order_key, l_linenumber AS line FROM lineitem),
-provider_quotes AS (
+provider_quotes AS MATERIALIZED (
   SELECT * FROM line_quotes QUALIFY row_number() OVER (PARTITION BY ticker, quote_date, data_source
     ORDER BY order_key DESC, line DESC, close_price_usd DESC) = 1),
 quotes AS (

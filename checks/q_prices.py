@@ -36,20 +36,21 @@ def synthetic_sql(ticker: str, day: str) -> str:
           * (1.0::DOUBLE + ((CAST('0x' || substr({digest}, 7, 4) AS BIGINT) % 900) - 450) / 1000.0::DOUBLE / 10.0::DOUBLE))""", 2)
 
 
-# answers(ticker, as_of, quote_date, close_price_usd, data_source) for the CTE lookups(ticker, as_of).
-ANSWERS = f"""provider_best AS (
-  SELECT k.ticker, k.as_of, q.quote_date, q.close_price_usd, q.data_source,
-    row_number() OVER (PARTITION BY k.ticker, k.as_of ORDER BY CASE q.data_source WHEN 'polygon' THEN 1 ELSE 2 END, q.quote_date DESC) AS place
-  FROM (SELECT DISTINCT ticker, as_of FROM lookups) k
-  JOIN provider_quotes q ON q.ticker = k.ticker AND q.quote_date <= k.as_of AND q.quote_date >= k.as_of - 45
-    AND q.data_source IN ('polygon', 'yahoo_chart')),
+# answers(ticker, as_of, quote_date, close_price_usd, data_source) for the CTE lookups(ticker, as_of): the newest quote of
+# each provider by an as-of join, the first provider whose quote is not too old, else the made-up price.
+ANSWERS = f"""asked AS MATERIALIZED (SELECT DISTINCT ticker, as_of FROM lookups),
+first_quotes AS MATERIALIZED (SELECT * FROM provider_quotes WHERE data_source = 'polygon' AND ticker NOT IN ('P7', 'P11')),
+second_quotes AS MATERIALIZED (SELECT * FROM provider_quotes WHERE data_source = 'yahoo_chart' AND ticker NOT IN ('P7', 'P11')),
+newest AS MATERIALIZED (
+  SELECT k.ticker, k.as_of, CASE WHEN p.quote_date >= k.as_of - 45 THEN p.quote_date END AS day1, p.close_price_usd AS price1,
+    CASE WHEN y.quote_date >= k.as_of - 45 THEN y.quote_date END AS day2, y.close_price_usd AS price2
+  FROM asked k ASOF LEFT JOIN first_quotes p ON p.ticker = k.ticker AND p.quote_date <= k.as_of
+    ASOF LEFT JOIN second_quotes y ON y.ticker = k.ticker AND y.quote_date <= k.as_of),
 answers AS MATERIALIZED (
-  SELECT k.ticker, k.as_of, coalesce(b.quote_date, k.as_of) AS quote_date,
-    coalesce(b.close_price_usd, {synthetic_sql('k.ticker', 'k.as_of')}) AS close_price_usd,
-    coalesce(b.data_source, 'synthetic') AS data_source
-  FROM (SELECT DISTINCT ticker, as_of FROM lookups) k
-  LEFT JOIN (SELECT * FROM provider_best WHERE place = 1 AND ticker NOT IN ('P7', 'P11')) b
-    ON b.ticker = k.ticker AND b.as_of = k.as_of)"""
+  SELECT ticker, as_of, coalesce(day1, day2, as_of) AS quote_date,
+    CASE WHEN day1 IS NOT NULL THEN price1 WHEN day2 IS NOT NULL THEN price2 ELSE {synthetic_sql('ticker', 'as_of')} END AS close_price_usd,
+    CASE WHEN day1 IS NOT NULL THEN 'polygon' WHEN day2 IS NOT NULL THEN 'yahoo_chart' ELSE 'synthetic' END AS data_source
+  FROM newest)"""
 
 ORDER_LOOKUPS = """lookups AS (
   SELECT DISTINCT 'P' || l_partkey AS ticker, CAST(o_orderdate AS DATE) AS as_of FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
@@ -137,13 +138,13 @@ def _(spark, d):
     return reports.watchlist_prices(listed, cached, live, known, known)
 
 
-EVALUATIONS = f"""judged AS (
+EVALUATIONS = f"""judged AS MATERIALIZED (
   SELECT *, coalesce(horizon_days, 5) AS horizon, least(DATE '{AS_OF}', insight_date + coalesce(horizon_days, 5)) AS evaluation_date
   FROM part_insights),
 lookups AS (SELECT ticker, insight_date AS as_of FROM judged WHERE evaluation_date >= insight_date
   UNION SELECT ticker, evaluation_date FROM judged WHERE evaluation_date >= insight_date),
 {ANSWERS},
-evaluations AS (
+evaluations AS MATERIALIZED (
   SELECT *, round(move, 6) AS forward_return_pct,
     CAST(CASE signal_label WHEN 'positive' THEN move > 0 WHEN 'negative' THEN move < 0 ELSE abs(move) <= 1.0 END AS INTEGER) AS direction_correct
   FROM (SELECT j.insight_id, j.ticker, j.insight_date, j.evaluation_date, j.signal_label, j.recommendation, j.signal_score,

@@ -423,6 +423,34 @@ def _(spark, d):
     return tables.upsert_positions(held, updates)
 
 
+@register("s17_s24_run_logs_stored_twice", "run_id started_at_utc:t finished_at_utc:t status raw_headlines_collected:i insights_generated:i error_message", """
+SELECT run_id, started_at_utc - INTERVAL 1 HOUR AS started_at_utc, finished_at_utc, status, raw AS raw_headlines_collected, made AS insights_generated, error_message
+FROM run_logs""", (a.RUN_LOGS,))
+def _(spark, d):
+    """Every run is logged when it starts and again when it ends: the start stays, the rest is taken over."""
+    store = tables.Tables(spark, _fresh(spark, "logs"))
+    ended = tables.run_log_rows(a.run_logs(spark, d))
+    started = ended.select("run_id", "run_type", (F.col("started_at_utc") - F.expr("INTERVAL 1 HOUR")).alias("started_at_utc"), F.lit("running").alias("status"))
+    store.upsert("run_logs", started)
+    store.upsert("run_logs", ended, tables.RUN_LOG_UPDATES)
+    return store.read("run_logs")
+
+
+@register("s18_positions_stored_and_sold", "run_name ticker quantity:m avg_cost_cad:m market_value_cad:m unrealized_pnl_cad:m", """
+SELECT *, quantity * last_price_cad AS market_value_cad, quantity * last_price_cad - quantity * avg_cost_cad AS unrealized_pnl_cad FROM (
+  SELECT p.run_name, p.ticker, CASE WHEN s.ticker IS NULL THEN p.quantity ELSE greatest(p.quantity - s.sold, 0) END AS quantity,
+    p.avg_cost_cad, p.last_price_cad
+  FROM positions p LEFT JOIN (SELECT run_name, ticker, sum(quantity) AS sold FROM trades WHERE side = 'sell' GROUP BY 1, 2) s
+    ON s.run_name = p.run_name AND s.ticker = p.ticker) WHERE quantity > 1e-9""", (a.TRADES, a.POSITIONS))
+def _(spark, d):
+    store = tables.Tables(spark, _fresh(spark, "held"))
+    store.upsert_positions(a.positions(spark, d))
+    sold = a.trades(spark, d).where("side = 'sell'").groupBy("run_name", "ticker").agg(F.sum("quantity").alias("sold"))
+    store.upsert_positions(store.read("portfolio_positions").join(sold, ["run_name", "ticker"]).select(
+        "run_name", "ticker", F.greatest(F.col("quantity") - F.col("sold"), F.lit(0.0)).alias("quantity"), "avg_cost_cad", "last_price_cad"))
+    return store.read("portfolio_positions")
+
+
 @register("s20_get_or_create_runs_and_cash", "run_name starting_cash_cad:m cash_cad:m created_at_utc:t updated_at_utc:t", """
 SELECT r.run_name, r.start AS starting_cash_cad, coalesce(o.total, r.cash) AS cash_cad, r.made AS created_at_utc,
   CASE WHEN o.total IS NULL THEN r.made ELSE TIMESTAMP '2024-01-31' END AS updated_at_utc

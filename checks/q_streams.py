@@ -124,3 +124,28 @@ def _(spark, d):
     store = Tables(spark, _fresh(spark, "tables"))
     _drained(spark, d, stream.score_into(store, a.clock()))
     return marts.daily_sentiment(store.read("scored_headlines"))
+
+
+@register("x06_replayed_batches_change_nothing", "side n:i distinct_hashes:i", """
+SELECT side, count(*) AS n, count(DISTINCT content_hash) AS distinct_hashes FROM scored, (VALUES ('stored'), ('outbox')) s(side) GROUP BY side""", (a.SCORED,))
+def _(spark, d):
+    from newsgauge.plans.scoring import with_content_hash
+
+    store, source, progress = Tables(spark, _fresh(spark, "tables")), _fresh(spark, "raw"), _fresh(spark, "progress")
+    columns = ["ticker", "headline", "source", "url", "published_at_utc", "summary", "category", "topic", "industry"]
+    rows = a.scored(spark, d).select(*columns)
+    rows.write.parquet(source)
+
+    def drain():
+        stream.drain(spark.readStream.schema(rows.schema).parquet(source), stream.store_and_publish(store), progress).awaitTermination()
+
+    drain()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{progress}/commits")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)  # an old checkpoint: the batch was planned, not finished
+    drain()
+    sent, _ = stream.parse_messages(store.read("outbox"))
+
+    def counts(frame, side):
+        return frame.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("content_hash").alias("distinct_hashes")).withColumn("side", F.lit(side))
+
+    return counts(store.read("raw_headlines"), "stored").unionByName(counts(with_content_hash(sent), "outbox"))

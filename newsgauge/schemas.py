@@ -85,6 +85,7 @@ TABLES: dict[str, T.StructType] = {
     "health_alerts": HEALTH_ALERT,
     "report_runs": REPORT_RUN,
     "rejected_messages": _schema("value string"),
+    "outbox": _schema("key string, value string"),
 }
 
 NATURAL_KEYS: dict[str, list[str]] = {

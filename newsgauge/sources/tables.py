@@ -229,6 +229,7 @@ class Tables:
                 self.versions.commit(self._open)
         finally:
             self._open = None
+            self.versions.drop_steps()
 
     def last_batch(self, stream: str) -> int:
         """The last batch of a stream that a commit holds; -1 before the first."""
@@ -289,6 +290,13 @@ class Tables:
         rows.write.mode("error").partitionBy(column).parquet(self.versions.folder(name, write))
         return write, _observed(saved) if self.versions.partitions(name, write) else 0
 
+    def stage(self, df: DataFrame) -> DataFrame:
+        """Written beside the tables and read again, so that what several writes need is made once. Gone when the
+        transaction ends."""
+        path = self.versions.step()
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def replace(self, name: str, df: DataFrame) -> int:
         self._check(name)
         write, saved = self._write(name, df)
@@ -308,18 +316,24 @@ class Tables:
 
     def rewrite(self, name: str, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
         """Copy on write: ``merge(stored, changes)`` replaces the partitions that the changes touch; the files of all
-        others stay as they are. Returns the rows written. ``changes`` is read twice."""
+        others stay as they are. Returns the rows written."""
         self._check(name)
         column, value = self._partition(name)
+        changes = self.stage(changes)  # needed twice
         touched = {self._folder_of(column, r[0]) for r in changes.select(value.alias("v")).distinct().collect()}  # days, or BUCKETS
         if not touched:
-            return 0
+            return self._done(0)
         merged = merge(self.read(name, every_column=True, only=touched), changes)
         write, saved = self._write(name, merged)
         state = self.versions.without(self._state(), name, touched)
         if self.versions.partitions(name, write):
             state["tables"][name][write] = None
         self._set(state)
+        return self._done(saved)
+
+    def _done(self, saved: int) -> int:
+        if self._open is None:
+            self.versions.drop_steps()
         return saved
 
     @staticmethod

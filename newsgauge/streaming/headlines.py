@@ -85,36 +85,69 @@ def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
             .trigger(availableNow=True).start())
 
 
+def query_of(batch: DataFrame) -> str | None:
+    """Id of the stream whose batch is handled: it stays with the checkpoint, so a new checkpoint is a new stream."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def once(tables: Tables, batch: DataFrame, batch_id: int, change: Callable[[], None]) -> bool:
+    """Runs ``change`` in one transaction with a note of the batch; a batch that is noted already changes nothing.
+
+    So a start from an old checkpoint, which hands the same batches out again, is harmless for every table.
+    """
+    stream = query_of(batch)
+    if stream is not None and batch_id <= tables.last_batch(stream):
+        return False
+    with tables.transaction():
+        change()
+        if stream is not None:
+            tables.note_batch(stream, batch_id)
+    return True
+
+
 def score_into(tables: Tables, as_of: Column | datetime, **scoring) -> Callable[[DataFrame, int], None]:
     """Batch handler: parse, score and insert by content hash; messages that cannot be read go to their own
-    table. Replays change neither."""
+    table, in the same commit. Replays change neither."""
 
-    def handle(batch: DataFrame, _batch_id: int) -> None:
+    def handle(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
-        try:
-            headlines, rejects = parse_messages(held)
-            scored = with_content_hash(score_headlines(headlines, as_of, **scoring)).persist()
-            try:
-                tables.insert_if_absent("scored_headlines", scored, [F.col("published_at_utc").desc()])
-            finally:
-                scored.unpersist()
+        headlines, rejects = parse_messages(held)
+        scored = with_content_hash(score_headlines(headlines, as_of, **scoring)).persist()
+
+        def change() -> None:
+            tables.insert_if_absent("scored_headlines", scored, [F.col("published_at_utc").desc()])
             if not rejects.isEmpty():
                 tables.insert_if_absent("rejected_messages", rejects.where("value IS NOT NULL"))
+
+        try:
+            once(tables, batch, batch_id, change)
         finally:
+            scored.unpersist()
             held.unpersist()
 
     return handle
 
 
-def store_and_publish(tables: Tables, publish: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """Batch handler of the raw path: normalize, store raw by hash, publish the same rows."""
+def store_and_publish(tables: Tables, publish: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """Batch handler of the raw path: normalize, store raw by hash, publish the same rows.
 
-    def handle(batch: DataFrame, _batch_id: int) -> None:
-        normalized = with_content_hash(normalize_headlines(batch))
-        batch_rows = normalized.persist()
-        try:
+    Messages go to the table ``outbox`` in the commit that stores the rows, so the two agree whatever fails.
+    ``publish`` (a write to Kafka, say) is called before that commit: a batch that fails in between is published
+    again, a batch that is noted is not.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch_rows = with_content_hash(normalize_headlines(batch)).persist()
+
+        def change() -> None:
+            messages = to_messages(batch_rows)
             tables.insert_if_absent("raw_headlines", batch_rows, [F.col("published_at_utc").desc()])
-            publish(to_messages(batch_rows))
+            tables.append("outbox", messages.select("key", "value"))
+            if publish is not None:
+                publish(messages)
+
+        try:
+            once(tables, batch, batch_id, change)
         finally:
             batch_rows.unpersist()
 
