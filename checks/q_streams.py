@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import adapters as a
 from checks.q_sources import _fresh
 from checks.registry import register
+from newsgauge.options import LOCAL
 from newsgauge.plans import marts
 from newsgauge.sources.tables import Tables
 from newsgauge.streaming import headlines as stream
@@ -89,13 +90,43 @@ def _run_windowed(spark, d, build):
     return spark.read.parquet(out).where("ticker <> 'END'")
 
 
-@register("x07_daily_windows_with_watermark",
-          "ticker sentiment_date:d headline_count:i avg_compound_score:f compound_score_sum:f absolute_sentiment_volume:f",
-          "SELECT * FROM daily", a.WAREHOUSE_CHAIN[:2])
+DAILY_SPEC = ("ticker sentiment_date:d headline_count:i avg_compound_score:f avg_confidence:f positive_headline_count:i neutral_headline_count:i "
+              "negative_headline_count:i avg_positive_score:f avg_neutral_score:f avg_negative_score:f compound_score_sum:f absolute_sentiment_volume:f "
+              "confidence_weighted_compound_score:f source_weighted_compound_score:f headline_volume_weighted_sentiment_index:f "
+              "first_headline_at_utc:t latest_headline_at_utc:t")
+
+
+@register("x07_daily_windows_with_watermark", DAILY_SPEC, "SELECT * FROM daily", a.WAREHOUSE_CHAIN[:2])
 def _(spark, d):
     return _run_windowed(spark, d, stream.daily_stream)
 
 
+@register("x07_local_daily_windows_with_watermark", DAILY_SPEC + " political_headline_count:i financial_headline_count:i", "SELECT * FROM daily", a.LOCAL_CHAIN[:2])
+def _(spark, d):
+    return _run_windowed(spark, d, lambda scored: stream.daily_stream(scored, opts=LOCAL))
+
+
+@register("x07_daily_mart_from_partials_of_batches", DAILY_SPEC, "SELECT * FROM daily", a.WAREHOUSE_CHAIN[:2])
+def _(spark, d):
+    """Batches by day of the month, late ones among them, and one that comes twice."""
+    store, rows = Tables(spark, _fresh(spark, "partials")), a.scored(spark, d)
+    for batch in (rows.where("event_id % 3 = 1"), rows.where("event_id % 3 <> 2"), rows):
+        with store.transaction():
+            fresh = store.stage(store.absent("scored_headlines", batch)[0])
+            store.append("scored_headlines", fresh)
+            store.append("daily_partials", marts.daily_partials(fresh))
+    store.replace("daily_partials", marts.merged_partials(store.read("daily_partials")))
+    return marts.daily_from_partials(store.read("daily_partials"))
+
+
+@register("x07_daily_mart_from_streamed_partials", "ticker sentiment_date:d headline_count:i first_headline_at_utc:t latest_headline_at_utc:t",
+          "SELECT * FROM daily", a.WAREHOUSE_CHAIN[:2])
+def _(spark, d):
+    store = Tables(spark, _fresh(spark, "tables"))
+    _drained(spark, d, stream.score_into(store, a.clock()))
+    return marts.daily_from_partials(store.read("daily_partials"))
+
+
 @register("x07_sliding_windows_with_watermark", "ticker insight_date:d headline_count:i weighted_score:f", """
 SELECT ticker, CAST(insight_date AS DATE) AS insight_date, count(*) AS headline_count, sum(compound_score * wt) / sum(wt) AS weighted_score FROM (
   SELECT *, greatest(confidence, 0.2) * CASE source_tier WHEN 1 THEN 1.2 WHEN 2 THEN 1.0 ELSE 0.82 END

@@ -21,14 +21,17 @@ def _label_count(label: str) -> Column:
     return F.count_if(F.col("sentiment_label") == label)
 
 
-def daily_sentiment(scored: DataFrame, opts: MartOptions = WAREHOUSE) -> DataFrame:
-    """One row per ticker and day. The only plan here that reads every headline."""
+def _weighed(scored: DataFrame, opts: MartOptions) -> DataFrame:
     if opts.plain_means:
         scored = nan_as_null(scored, SCORES).where(
             F.col("ticker").isNotNull() & F.col("published_at_utc").isNotNull())
-    rows = scored.withColumns({
+    return scored.withColumns({
         "sentiment_date": F.col("published_at_utc").cast("date"),
         "_weight": tier_weight(F.col("source_tier"), opts.tier_weights, opts.other_weight)})
+
+
+def daily_measures(opts: MartOptions = WAREHOUSE) -> list[Column]:
+    """The measures of a ticker's day over its headlines."""
     c, conf, weight = F.col("compound_score"), F.col("confidence"), F.col("_weight")
     n = F.count("headline") if opts.plain_means else F.count(F.lit(1))
     if opts.plain_means:
@@ -56,7 +59,74 @@ def daily_sentiment(scored: DataFrame, opts: MartOptions = WAREHOUSE) -> DataFra
     if opts.category_counts:
         measures += [F.count_if(F.col("category") == k).alias(f"{k}_headline_count")
                      for k in ("political", "financial")]
-    return rows.groupBy("ticker", "sentiment_date").agg(*measures)
+    return measures
+
+
+def daily_sentiment(scored: DataFrame, opts: MartOptions = WAREHOUSE) -> DataFrame:
+    """One row per ticker and day. The only plan here that reads every headline."""
+    return _weighed(scored, opts).groupBy("ticker", "sentiment_date").agg(*daily_measures(opts))
+
+
+def daily_windows(scored: DataFrame, opts: MartOptions = WAREHOUSE) -> DataFrame:
+    """``daily_sentiment`` by windows of a day, for a stream with a watermark: a day's state is its sums and extremes."""
+    day = F.window("published_at_utc", "1 day")
+    rows = _weighed(scored, opts).groupBy("ticker", day).agg(*daily_measures(opts))
+    return rows.select("ticker", F.col("window.start").cast("date").alias("sentiment_date"), *[c for c in rows.columns if c not in ("ticker", "window")])
+
+
+# ---------------------------------------------------------------- days from stored partial states
+
+_SUMMED = ["n_rows", "n_headlines", "n_positive", "n_neutral", "n_negative", "n_political", "n_financial", "sum_compound", "n_compound",
+           "sum_confidence", "n_confidence", "sum_positive", "n_positive_score", "sum_neutral", "n_neutral_score", "sum_negative",
+           "n_negative_score", "sum_absolute", "sum_by_confidence", "n_by_confidence", "sum_by_weight", "n_by_weight", "sum_weight"]
+
+
+def daily_partials(scored: DataFrame, opts: MartOptions = WAREHOUSE) -> DataFrame:
+    """Sums, counts and extremes by ticker and day: all that the measures need, and they can be added up."""
+    c, conf, weight = F.col("compound_score"), F.col("confidence"), F.col("_weight")
+
+    def both(name: str, value: Column, count: str) -> list[Column]:
+        return [F.sum(value).alias(name), F.count(value).alias(count)]
+
+    return _weighed(scored, opts).groupBy("ticker", "sentiment_date").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("headline").alias("n_headlines"),
+        *[_label_count(x).alias(f"n_{x}") for x in ("positive", "neutral", "negative")],
+        *[F.count_if(F.col("category") == x).alias(f"n_{x}") for x in ("political", "financial")],
+        *both("sum_compound", c, "n_compound"), *both("sum_confidence", conf, "n_confidence"),
+        *[x for k in ("positive", "neutral", "negative") for x in both(f"sum_{k}", F.col(f"{k}_score"), f"n_{k}_score")],
+        F.sum(F.abs(c)).alias("sum_absolute"), *both("sum_by_confidence", c * conf, "n_by_confidence"),
+        *both("sum_by_weight", c * weight, "n_by_weight"), F.sum(weight).alias("sum_weight"),
+        F.min("published_at_utc").alias("first_headline_at_utc"), F.max("published_at_utc").alias("latest_headline_at_utc"))
+
+
+def merged_partials(partials: DataFrame) -> DataFrame:
+    """One row per ticker and day of partial states of several batches."""
+    return partials.groupBy("ticker", "sentiment_date").agg(
+        *[F.sum(x).alias(x) for x in _SUMMED], F.min("first_headline_at_utc").alias("first_headline_at_utc"),
+        F.max("latest_headline_at_utc").alias("latest_headline_at_utc"))
+
+
+def daily_from_partials(partials: DataFrame, opts: MartOptions = WAREHOUSE) -> DataFrame:
+    """The rows of ``daily_sentiment`` without reading a headline. Weights are those that the partials were made with."""
+    merged = merged_partials(partials)
+
+    def mean(total: str, count: str) -> Column:
+        return ratio(F.col(total), F.col(count))
+
+    n = F.col("n_headlines") if opts.plain_means else F.col("n_rows")
+    volume = F.log(1 + n) if opts.volume_scale is None else 1 + n / opts.volume_scale
+    average = mean("sum_compound", "n_compound")
+    by_confidence = mean("sum_by_confidence", "n_by_confidence" if opts.plain_means else "sum_confidence")
+    by_source = mean("sum_by_weight", "n_by_weight" if opts.plain_means else "sum_weight")
+    extra = [F.col(f"n_{k}").alias(f"{k}_headline_count") for k in ("political", "financial")] if opts.category_counts else []
+    return merged.select(
+        "ticker", "sentiment_date", n.alias("headline_count"), average.alias("avg_compound_score"),
+        mean("sum_confidence", "n_confidence").alias("avg_confidence"),
+        *[F.col(f"n_{k}").alias(f"{k}_headline_count") for k in ("positive", "neutral", "negative")],
+        *[mean(f"sum_{k}", f"n_{k}_score").alias(f"avg_{k}_score") for k in ("positive", "neutral", "negative")],
+        F.col("sum_compound").alias("compound_score_sum"), F.col("sum_absolute").alias("absolute_sentiment_volume"),
+        by_confidence.alias("confidence_weighted_compound_score"), by_source.alias("source_weighted_compound_score"),
+        (average * volume).alias("headline_volume_weighted_sentiment_index"), "first_headline_at_utc", "latest_headline_at_utc", *extra)
 
 
 def rolling_sentiment(daily: DataFrame, opts: MartOptions = WAREHOUSE) -> DataFrame:

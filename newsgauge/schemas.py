@@ -71,6 +71,14 @@ REPORT_RUN = _schema(
     "report_name string, period_start date, period_end date, generated_at_utc timestamp, "
     "output_dir string, metrics_json string")
 
+# Partial states of the daily measures, a row for each batch, ticker and day.
+DAILY_PARTIAL = _schema(
+    "ticker string, sentiment_date date, n_rows bigint, n_headlines bigint, n_positive bigint, n_neutral bigint, n_negative bigint, "
+    "n_political bigint, n_financial bigint, sum_compound double, n_compound bigint, sum_confidence double, n_confidence bigint, "
+    "sum_positive double, n_positive_score bigint, sum_neutral double, n_neutral_score bigint, sum_negative double, "
+    "n_negative_score bigint, sum_absolute double, sum_by_confidence double, n_by_confidence bigint, sum_by_weight double, "
+    "n_by_weight bigint, sum_weight double, first_headline_at_utc timestamp, latest_headline_at_utc timestamp")
+
 TABLES: dict[str, T.StructType] = {
     "raw_headlines": T.StructType(RAW_HEADLINE.fields + [T.StructField("content_hash", T.StringType())]),
     "scored_headlines": SCORED_HEADLINE,
@@ -86,6 +94,7 @@ TABLES: dict[str, T.StructType] = {
     "report_runs": REPORT_RUN,
     "rejected_messages": _schema("value string"),
     "outbox": _schema("key string, value string"),
+    "daily_partials": DAILY_PARTIAL,
 }
 
 NATURAL_KEYS: dict[str, list[str]] = {
@@ -117,4 +126,4 @@ DAY_PARTITIONED = {"raw_headlines": "published_at_utc", "scored_headlines": "pub
 
 # Tables whose natural key holds a day: partitioned by it, so an upsert of some days rewrites these days only.
 KEY_DAYS = {"insights": "insight_date", "insight_evaluations": "evaluation_date", "price_quotes": "quote_date",
-            "portfolio_snapshots": "snapshot_date"}
+            "portfolio_snapshots": "snapshot_date", "daily_partials": "sentiment_date"}

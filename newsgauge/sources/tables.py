@@ -340,9 +340,8 @@ class Tables:
     def _folder_of(column: str, value: object) -> str:
         return f"{column}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}"
 
-    def insert_if_absent(self, name: str, batch: DataFrame, order: Sequence[Column] = ()) -> LoadCounts:
-        """Appends the rows whose key is new and counts rows and distinct keys while finding their partitions, and rows
-        saved while writing them.
+    def absent(self, name: str, batch: DataFrame, order: Sequence[Column] = ()) -> tuple[DataFrame, int, int]:
+        """(rows whose key the table lacks, one per key; rows of the batch; distinct keys of the batch).
 
         On day-partitioned tables only the days of the batch are read (its set of days, not the span): the key contains
         the timestamp, so a copy can only be on the same day, or among the rows without a day. Keys of a small batch
@@ -350,14 +349,19 @@ class Tables:
         self._check(name)
         keys = schemas.NATURAL_KEYS[name]
         column, value = self._partition(name)
-        one_key = F.struct(*keys)
         touched = batch.groupBy(value.alias("v")).agg(  # calendar days, or BUCKETS; a key is in one of them
-            F.count(F.lit(1)).alias("rows"), F.count_distinct(one_key).alias("unique")).collect()
+            F.count(F.lit(1)).alias("rows"), F.count_distinct(F.struct(*keys)).alias("unique")).collect()
         fetched, unique = (sum(r[c] for r in touched) for c in ("rows", "unique"))
         stored = self.read(name, only={self._folder_of(column, r["v"]) for r in touched})
         met = keys_met(stored, batch, keys, unique <= SMALL_BATCH)
         one_each = first_rows(batch, keys, [*order, *_by_values(batch)])
-        return LoadCounts(fetched, unique, self.append(name, one_each.join(met, list(keys), "left_anti")))
+        return one_each.join(met, list(keys), "left_anti"), fetched, unique
+
+    def insert_if_absent(self, name: str, batch: DataFrame, order: Sequence[Column] = ()) -> LoadCounts:
+        """Appends the rows whose key is new. Rows and keys are counted while their partitions are found, what is saved
+        while it is written."""
+        fresh, fetched, unique = self.absent(name, batch, order)
+        return LoadCounts(fetched, unique, self.append(name, fresh))
 
     def upsert(self, name: str, updates: DataFrame, update_columns: Sequence[str] | None = None,
                batch_order: str | None = None) -> int:

@@ -15,7 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsgauge.functions.numbers import ratio
 from newsgauge.functions.text import HASHED_FIELDS, content_hash, iso_timestamp, parse_timestamp
+from newsgauge.options import WAREHOUSE, MartOptions
 from newsgauge.plans.insights import row_weight
+from newsgauge.plans.marts import daily_partials, daily_windows
 from newsgauge.plans.scoring import normalize_headlines, score_headlines, with_content_hash
 from newsgauge.sources.tables import Tables
 
@@ -105,9 +107,10 @@ def once(tables: Tables, batch: DataFrame, batch_id: int, change: Callable[[], N
     return True
 
 
-def score_into(tables: Tables, as_of: Column | datetime, **scoring) -> Callable[[DataFrame, int], None]:
+def score_into(tables: Tables, as_of: Column | datetime, opts: MartOptions = WAREHOUSE, **scoring) -> Callable[[DataFrame, int], None]:
     """Batch handler: parse, score and insert by content hash; messages that cannot be read go to their own
-    table, in the same commit. Replays change neither."""
+    table, and the new headlines' partial daily states to ``daily_partials``, in the same commit. So the daily mart
+    (``marts.daily_from_partials``) needs no headline again, however late it comes. Replays change nothing."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
@@ -115,7 +118,9 @@ def score_into(tables: Tables, as_of: Column | datetime, **scoring) -> Callable[
         scored = with_content_hash(score_headlines(headlines, as_of, **scoring)).persist()
 
         def change() -> None:
-            tables.insert_if_absent("scored_headlines", scored, [F.col("published_at_utc").desc()])
+            fresh = tables.stage(tables.absent("scored_headlines", scored, [F.col("published_at_utc").desc()])[0])
+            tables.append("scored_headlines", fresh)
+            tables.append("daily_partials", daily_partials(fresh, opts))
             if not rejects.isEmpty():
                 tables.insert_if_absent("rejected_messages", rejects.where("value IS NOT NULL"))
 
@@ -163,15 +168,9 @@ def dedupe_within(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return rows.withWatermark("published_at_utc", delay).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def daily_stream(scored: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Daily counts and means per ticker; a day closes once the watermark has passed it."""
-    c = F.col("compound_score")
-    day = F.window("published_at_utc", "1 day")
-    return (scored.withWatermark("published_at_utc", delay).groupBy("ticker", day)
-            .agg(F.count(F.lit(1)).alias("headline_count"), F.avg(c).alias("avg_compound_score"),
-                 F.sum(c).alias("compound_score_sum"), F.sum(F.abs(c)).alias("absolute_sentiment_volume"))
-            .select("ticker", F.col("window.start").cast("date").alias("sentiment_date"), "headline_count",
-                    "avg_compound_score", "compound_score_sum", "absolute_sentiment_volume"))
+def daily_stream(scored: DataFrame, delay: str = "1 day", opts: MartOptions = WAREHOUSE) -> DataFrame:
+    """All measures of the daily mart per ticker and day; a day closes once the watermark has passed it."""
+    return daily_windows(scored.withWatermark("published_at_utc", delay), opts)
 
 
 def sliding_stream(scored: DataFrame, lookback_days: int = 3, delay: str = "1 day") -> DataFrame:
