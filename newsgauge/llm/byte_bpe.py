@@ -9,12 +9,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 
+from newsgauge.llm.shared import SLICE_BYTES, kept_in_process, slices, text_bytes
+
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: Code points with the property White_Space beyond ASCII.
 WIDE_SPACES = {0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
@@ -46,9 +47,12 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-@lru_cache(2)
 def load_vocabulary(text: str) -> Vocabulary:
-    """From the JSON text of a tokenizers file with a byte-level BPE model."""
+    """From the JSON text of a tokenizers file with a byte-level BPE model; a worker process keeps the last one."""
+    return kept_in_process("vocabulary", text, _read_vocabulary)
+
+
+def _read_vocabulary(text: str) -> Vocabulary:
     spec, letters = json.loads(text), byte_letters()
     special = {x["content"]: x["id"] for x in spec["added_tokens"]}
     names = spec["model"]["vocab"]
@@ -74,7 +78,6 @@ def load_vocabulary(text: str) -> Vocabulary:
                       {x: k for k, x in enumerate(pieces) if k not in special.values()}, {k.encode(): v for k, v in special.items()})
 
 
-@lru_cache(1 << 16)
 def _kind(code: int) -> int:
     letter = chr(code)
     if code in WIDE_SPACES or letter in " \t\n\x0b\x0c\r":
@@ -268,10 +271,8 @@ def decode_ids(vocab: Vocabulary, ids: np.ndarray) -> bytes:
 
 
 def encoded_slices(batches: Iterator[pa.RecordBatch], vocab: Vocabulary,
-                   encoder: Encoder) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Each slice of the batches with the ids of its texts and their offsets."""
-    from newsgauge.llm.shared import slices, text_bytes
-
-    for batch in slices(batches):
+                   encoder: Encoder, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each slice of the batches, of about ``limit`` bytes, with the ids of its texts and their offsets."""
+    for batch in slices(batches, limit=limit):
         data, edges = text_bytes(batch.column("text"))
         yield batch, *encode_texts(vocab, data, edges, encoder)

@@ -23,6 +23,8 @@ from newsgauge.llm.shared import identified, staged
 END_ID = 2
 #: Pieces of a length are ranked in groups of about this many documents.
 GROUP_DOCUMENTS = 4096
+#: Text that is encoded at a time; the arrays of a slice take some twenty times its bytes.
+ENCODED_BYTES = 2 << 20
 
 
 def fullest(counts: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -85,7 +87,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = load_vocabulary(spec.value)
-        for batch, ids, at in encoded_slices(batches, vocab, merge_words):
+        for batch, ids, at in encoded_slices(batches, vocab, merge_words, ENCODED_BYTES):
             flat, n = ids.astype("<u4"), np.diff(at) + 1
             pieces = -(-n // capacity)
             doc = np.repeat(np.arange(len(n)), pieces)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_in_process(name: str, source: object, make: Callable) -> object:
+    """``make(source)``, the last one of a name kept while the worker process lives.
+
+    Functions travel to workers by value, so that these need not have this package installed; their globals are then new
+    in every task, and a cache there would be too.
+    """
+    kept = sys.modules.setdefault("_llm_kept", ModuleType("_llm_kept")).__dict__
+    if name not in kept or kept[name][0] != source:
+        kept[name] = (source, make(source))
+    return kept[name][1]
+
+
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator works on, under its own names, so that others cannot clash."""
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))

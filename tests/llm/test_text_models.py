@@ -4,7 +4,10 @@ import base64
 import gzip
 import hashlib
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -280,6 +283,40 @@ def test_vectors(spark, monkeypatch):
     assert pq_dedup.near_duplicate_vectors(none).collect() == []
 
 
+@pytest.mark.parametrize("element", ["double", "float"])
+def test_vectors_with_repeated_and_missing_ids(spark, element):
+    """Ids name rows, not vectors: each (label, vector) links and groups by itself."""
+    draw = np.random.default_rng(9)
+    near = [(np.array([1.0, 2.0, 3.0, 4.0]) + draw.normal(size=4) * 0.02).astype(np.float32).tolist() for _ in range(8)]
+    far = [4.0, -3.0, 2.0, -1.0]
+    rows = [(1, near[0], "a"), (1, near[1], "a"), (2, near[2], "a"), (None, near[3], "a"), (5, near[4], "b"), (6, near[5], "b"),
+            (5, far, "c"), (7, [x * 2 for x in far], "c"), (None, [0.0, 0.0, 0.0, 1.0], "d"), (None, near[6], "e"), (None, near[7], "e"), (9, near[0], "f")]
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{element}>, label string").repartition(3)
+    got = Counter(tuple(r) for r in pq_dedup.near_duplicate_vectors(frame).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert got == Counter([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False), (5, 1, 5, True), (6, 1, 5, False),
+                           (5, 1, 5, True), (7, 1, 5, False), (None, 0, None, True), (None, 1, None, True), (None, 1, None, True), (9, 0, 9, True)])
+
+
+def test_queries_run_where_workers_lack_the_package(tmp_path):
+    """A session started in another folder, whose workers find neither this package nor its modules."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = tmp_path / "far.py"
+    script.write_text(f"""
+import os, sys
+sys.path.insert(0, {root!r})
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+for name, query in entry.queries().items():
+    if name.startswith("op"):
+        query(spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+        print("ran", name)
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert done.stdout.count("ran op") == len(queries.QUERIES), done.stdout + done.stderr[-3000:]
+
+
 def test_no_link_of_vectors_in_few_directions_is_lost(spark):
     """Where all displacements lie in three of 64 dimensions, many of them point straight to another list."""
     draw = np.random.default_rng(4)
