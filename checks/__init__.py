@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_marts", "q_text", "q_insights", "q_prices", "q_portfolio", "q_reports", "q_sources", "q_streams", "q_run"]
+MODULES = ["q_marts", "q_text", "q_insights", "q_prices", "q_portfolio", "q_reports", "q_sources", "q_streams", "q_run", "q_orders"]
 
 
 def load():

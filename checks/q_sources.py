@@ -451,6 +451,28 @@ def _(spark, d):
     return store.read("portfolio_positions")
 
 
+@register("h08_j19_declared_references", "child column parent orphans:i", """
+SELECT 'portfolio_positions' AS child, 'run_name' AS "column", 'portfolio_runs' AS parent, (SELECT count(*) FROM positions WHERE run_name NOT IN (SELECT run_name FROM known)) AS orphans
+UNION ALL SELECT 'portfolio_trades', 'run_name', 'portfolio_runs', (SELECT count(*) FROM trades WHERE run_name NOT IN (SELECT run_name FROM known))
+UNION ALL SELECT 'portfolio_snapshots', 'run_name', 'portfolio_runs', (SELECT count(*) FROM runs WHERE run_name NOT IN (SELECT run_name FROM known))
+UNION ALL SELECT 'insight_evaluations', 'insight_id', 'insights', (SELECT count(DISTINCT l_partkey) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 10)
+UNION ALL SELECT 'portfolio_trades', 'insight_id', 'insights', (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN part ON l_partkey = p_partkey WHERE p_size <= 10)""",
+          (a.TRADES, a.POSITIONS, a.RUNS, "known AS (SELECT 'C' || c_custkey AS run_name FROM customer WHERE c_nationkey < 20)"))
+def _(spark, d):
+    """Accounts of some nations and insights on large parts are stored; trades and evaluations of all."""
+    store, day = tables.Tables(spark, _fresh(spark, "references")), F.lit("2024-01-31").cast("date")
+    part = a.table(spark, d, "part")
+    by_ticker = F.substring("ticker", 2, 20).cast("bigint").alias("insight_id")
+    store.append("portfolio_runs", a.table(spark, d, "customer").where("c_nationkey < 20").select(F.concat(F.lit("C"), _s("c_custkey")).alias("run_name")))
+    store.append("insights", part.where("p_size > 10").select(F.col("p_partkey").cast("bigint").alias("insight_id"), day.alias("insight_date")))
+    store.append("portfolio_positions", a.positions(spark, d))
+    store.append("portfolio_trades", a.trades(spark, d).withColumn("insight_id", by_ticker))
+    store.append("portfolio_snapshots", a.runs(spark, d).select("run_name", day.alias("snapshot_date")))
+    store.append("insight_evaluations", a.trades(spark, d).select(by_ticker, day.alias("evaluation_date")).distinct())
+    return tables.broken_references(store)
+
+
 @register("s20_get_or_create_runs_and_cash", "run_name starting_cash_cad:m cash_cad:m created_at_utc:t updated_at_utc:t", """
 SELECT r.run_name, r.start AS starting_cash_cad, coalesce(o.total, r.cash) AS cash_cad, r.made AS created_at_utc,
   CASE WHEN o.total IS NULL THEN r.made ELSE TIMESTAMP '2024-01-31' END AS updated_at_utc

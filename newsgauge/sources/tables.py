@@ -175,6 +175,22 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
     return child.where(F.col(column).isNotNull()).join(known, column, "left_anti")
 
 
+def broken_references(store: Tables, references: Iterable[tuple[str, str, str, str]] = tuple(schemas.REFERENCES)) -> DataFrame:
+    """(child, column, parent, orphans): rows of each declared reference whose parent is missing.
+
+    Children are counted by reference first, before the shuffle, so what meets the parents is one row per key, however
+    many rows refer to it; parents are one row per key as well.
+    """
+    found = None
+    for child, column, parent, parent_column in references:
+        refs = store.read(child).where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+        known = store.read(parent).select(F.col(parent_column).alias("_key")).distinct()
+        lost = refs.join(known, "_key", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans"))
+        row = lost.select(F.lit(child).alias("child"), F.lit(column).alias("column"), F.lit(parent).alias("parent"), "orphans")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 # ---------------------------------------------------------------- files
 
 DAY = "published_day"  # partition column of the day-partitioned tables
