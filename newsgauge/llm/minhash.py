@@ -154,6 +154,14 @@ def verified(pairs: DataFrame, docs: DataFrame, frequencies, threshold: float) -
     return staged(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "links")
 
 
+def to_smallest(links: DataFrame) -> DataFrame:
+    """(a, b) links that connect the same texts: each b to its smallest a, and its other a to that one. A text has a link
+    for each band at most, and texts of a large class have theirs to the same few."""
+    low = links.select("a", "b", F.min("a").over(Window.partitionBy("b")).alias("low"))
+    return low.select(F.col("low").alias("a"), "b").distinct().unionByName(
+        low.filter("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b")).distinct())
+
+
 def prefix_pairs(docs: DataFrame, texts: DataFrame, frequencies, threshold: float) -> DataFrame:
     """(a, b), a < b: pairs of ``texts`` (id, cluster) in different clusters that can be similar enough; ``docs`` has one
     row for each id.
@@ -215,7 +223,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     leaders = members.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     members = staged(members.join(leaders, "bucket"), "members")  # only buckets of two texts or more
     tested = staged(members.filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    links = verified(tested, bodies, frequencies, threshold).unionByName(same_id)
+    links = staged(to_smallest(verified(tested, bodies, frequencies, threshold)).unionByName(same_id), "links")
     found = components(links)
     inside = (members.join(found.withColumnRenamed("id", "own"), F.col("id") == F.col("own"), "left")
               .select("bucket", "id", F.coalesce("component", "id").alias("cluster")))

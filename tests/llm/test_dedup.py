@@ -1,6 +1,7 @@
 """Exact, near, line and substring dedup against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -229,3 +230,26 @@ def test_word_hashes():
     same = shingles.whole(words.hashes, words.first)
     assert same[0] == same[2] == same[4] and len({*same.tolist()}) == 4
     assert SimpleNamespace(n=len(shingles.windows(words.hashes, 9))).n == 0
+
+
+def test_links_to_the_smallest_connect_the_same_texts(spark):
+    draw = random.Random(12)
+    links = {tuple(sorted(draw.sample(range(60), 2))) for _ in range(45)}
+
+    def classes(pairs):
+        root = {k: k for k in range(60)}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+        return [find(k) for k in range(60)]
+
+    thinned = [tuple(r) for r in minhash.to_smallest(spark.createDataFrame(sorted(links), "a long, b long")).select("a", "b").collect()]
+    assert classes(thinned) == classes(links)
+    star = spark.createDataFrame([(k % 3, 10 + k // 3) for k in range(300)], "a long, b long")
+    assert minhash.to_smallest(star).count() == 102  # of 300: each text once, and two of its three centres
