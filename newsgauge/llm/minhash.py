@@ -162,15 +162,14 @@ def to_smallest(links: DataFrame) -> DataFrame:
         low.filter("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b")).distinct())
 
 
-def prefix_pairs(docs: DataFrame, texts: DataFrame, frequencies, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of ``texts`` (id, cluster) in different clusters that can be similar enough; ``docs`` has one
-    row for each id.
+def prefix_lists(docs: DataFrame, ids: DataFrame, frequencies, threshold: float) -> DataFrame:
+    """(shingle, id, total, rest): of the texts with these ids, the shingles by which a similar text must be found;
+    ``docs`` has one row for each id.
 
     Take each text's shingles from the rarest to the most frequent, all in one order. Of two texts with a similarity of
     t, both have their first common shingle within the first 1 - t of their weight, and what is left from it on must
     make up t / (1 + t) of both weights together. So a passage that many texts share makes no pairs of texts that also
-    have much of their own. In a list of texts with a shingle, members of its largest cluster are not paired with
-    each other.
+    have much of their own.
     """
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,24 +178,36 @@ def prefix_pairs(docs: DataFrame, texts: DataFrame, frequencies, threshold: floa
             yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id").take(pa.array(owner)), "shingle": pa.array(shingle.view(np.int64)),
                                               "weight": pa.array(weight.astype(np.float32))})
 
-    chosen = docs.join(texts.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    chosen = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     rows = chosen.select("doc_id", "text").mapInArrow(unfold, "id long, shingle long, weight float")
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"))
     one = Window.partitionBy("id")
     before = one.orderBy("texts", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    lists = (rows.join(shared, "shingle")
-             .withColumns({"before": F.coalesce(F.sum("weight").over(before), F.lit(0.0)), "total": F.sum("weight").over(one)})
-             .filter((F.col("texts") > 1) & (F.col("before") <= (1 - threshold) * F.col("total") * (1 + SLACK)))
-             .select("shingle", "id", "total", (F.col("total") - F.col("before")).alias("rest")).join(texts, "id"))
-    lists = staged(lists, "lists")
+    return staged(rows.join(shared, "shingle")
+                  .withColumns({"before": F.coalesce(F.sum("weight").over(before), F.lit(0.0)), "total": F.sum("weight").over(one)})
+                  .filter((F.col("texts") > 1) & (F.col("before") <= (1 - threshold) * F.col("total") * (1 + SLACK)))
+                  .select("shingle", "id", "total", (F.col("total") - F.col("before")).alias("rest")), "lists")
+
+
+def prefix_pairs(lists: DataFrame, clusters: DataFrame, threshold: float, first: bool = False) -> DataFrame:
+    """(a, b), a < b: pairs in different ``clusters`` (id, cluster) that can be similar enough, by their ``lists``.
+
+    In a list of texts with a shingle, members of its largest cluster are not paired with each other. With ``first``,
+    texts are paired with only one member of each other cluster in a list, the one with most left: where a text belongs
+    to a large cluster, one such link spares it the pairs with all members.
+    """
+    lists = lists.join(clusters, "id")
     sizes = lists.groupBy("shingle", "cluster").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("shingle").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"), F.count(F.lit(1)).alias("clusters")).filter("clusters > 1")
     inside = lists.join(largest.select("shingle", "main"), "shingle")
     left = inside.filter("cluster <> main").select("shingle", *[F.col(x).alias(f"left_{x}") for x in ("id", "cluster", "total", "rest")])
+    if first:
+        head = F.max(F.struct("rest", "total", "id")).alias("head")
+        inside = inside.groupBy("shingle", "cluster", "main").agg(head).select("shingle", "cluster", "main", "head.*")
     needed = threshold / (1 + threshold) * (1 - SLACK)
+    one_way = F.lit(True) if first else (F.col("cluster") == F.col("main")) | (F.col("left_id") < F.col("id"))
     both = left.join(inside, "shingle").filter(
-        (F.col("left_cluster") != F.col("cluster")) & ((F.col("cluster") == F.col("main")) | (F.col("left_id") < F.col("id")))
-        & (F.least("left_rest", "rest") >= needed * (F.col("left_total") + F.col("total"))))
+        (F.col("left_cluster") != F.col("cluster")) & one_way & (F.least("left_rest", "rest") >= needed * (F.col("left_total") + F.col("total"))))
     return both.select(F.least("left_id", "id").alias("a"), F.greatest("left_id", "id").alias("b")).distinct()
 
 
@@ -225,13 +236,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     tested = staged(members.filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
     links = staged(to_smallest(verified(tested, bodies, frequencies, threshold)).unionByName(same_id), "links")
     found = components(links)
-    inside = (members.join(found.withColumnRenamed("id", "own"), F.col("id") == F.col("own"), "left")
-              .select("bucket", "id", F.coalesce("component", "id").alias("cluster")))
+
+    def clustered(ids: DataFrame, found: DataFrame) -> DataFrame:
+        """(..., id, cluster): ids without links are clusters of their own."""
+        known = found.withColumnRenamed("id", "own")
+        return ids.join(known, F.col("id") == F.col("own"), "left").withColumn("cluster", F.coalesce("component", "id")).drop("own", "component")
+
+    inside = clustered(members.select("bucket", "id"), found)
     apart = inside.groupBy("bucket").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low <> high").select("bucket")
-    open_texts = staged(inside.join(apart, "bucket", "left_semi").select("id", "cluster").distinct(), "open")
+    open_texts = staged(inside.join(apart, "bucket", "left_semi").select("id").distinct(), "open")
     if not open_texts.isEmpty():
-        more = staged(prefix_pairs(bodies, open_texts, frequencies, threshold).join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = components(links.unionByName(verified(more, bodies, frequencies, threshold)))
+        lists = prefix_lists(bodies, open_texts, frequencies, threshold)
+        for first in (True, False):
+            clusters = clustered(open_texts, found)
+            more = staged(prefix_pairs(lists, clusters, threshold, first).join(tested, ["a", "b"], "left_anti"), "pairs")
+            links = staged(links.unionByName(verified(more, bodies, frequencies, threshold)), "links")
+            tested = tested.unionByName(more)
+            found = components(links)
     groups = placed.join(found, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("group"))
     sizes = groups.groupBy("group").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     classes = groups.join(sizes, "group").drop("group")
