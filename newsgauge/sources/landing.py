@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsgauge.functions.numbers import clamp
+from newsgauge.functions.numbers import clamp, text_to_double
 from newsgauge.functions.text import collapse_or_null, epoch_timestamp, parse_feed_date, parse_timestamp
 from newsgauge.operators.frames import split_list
 from newsgauge.operators.keyed import first_rows
@@ -100,14 +100,16 @@ _QUOTE = "struct<quote_date:date,close:double>"
 
 def _latest_close(rows: DataFrame, keys: Sequence[str], source: str, as_of: Column | None,
                   digits: int | None = 4) -> DataFrame:
-    """(keys, quote_date, close) -> newest usable close per key, on or before ``as_of``."""
+    """(keys, quote_date, _at, close) -> newest usable close per key, on or before ``as_of``. Day and place are one
+    number, so that each key is a few fixed-size values, reduced by hashing before the shuffle."""
     usable = rows.where(F.col("quote_date").isNotNull() & F.col("close").isNotNull())
     if as_of is not None:
         usable = usable.where(F.col("quote_date") <= as_of)
-    newest = first_rows(usable, keys, [F.col("quote_date").desc(), F.col("_at").desc()])
+    place = F.shiftleft(F.unix_date("quote_date").cast("bigint"), 32) + F.col("_at")
+    newest = usable.groupBy(*keys).agg(F.max(place).alias("_place"), F.max_by("close", place).alias("close"))
     close = F.col("close") if digits is None else F.round("close", digits)
-    return newest.select(*keys, "quote_date", close.alias("close_price_usd"),
-                         F.lit(source).alias("data_source"))
+    return newest.select(*keys, F.date_from_unix_date(F.shiftright("_place", 32).cast("int")).alias("quote_date"),
+                         close.alias("close_price_usd"), F.lit(source).alias("data_source"))
 
 
 def bar_closes(payloads: DataFrame, as_of: Column, keys: Sequence[str] = ("ticker",)) -> DataFrame:
@@ -146,19 +148,22 @@ def chart_closes(payloads: DataFrame, as_of: Column, keys: Sequence[str] = ("tic
 
 
 def csv_closes(payloads: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataFrame:
-    """Quote CSV text with a header that names Date and Close; bad rows dropped, not rounded."""
-    lines = F.filter(F.split("payload", r"\r?\n"), lambda line: F.trim(line) != "")
-    header = F.transform(F.split(F.element_at(lines, 1), ","), lambda h: F.trim(h))
-    rows = (payloads.where(F.size(lines) > 1)
-            .select(*keys, header.alias("_h"), F.posexplode(F.slice(lines, 2, 2_000_000_000)).alias("_at", "_l"))
+    """Quote CSV text with a header that names Date and Close; bad rows dropped, not rounded.
+
+    The header is read once a payload, as the places of the two columns; a blank line has no date."""
+    text = F.regexp_replace(F.replace("payload", F.lit("\r\n"), F.lit("\n")), r"^(?: *\n)+", "")
+    lines = payloads.select(*keys, F.split(text, "\n").alias("_lines"))
+    header = F.transform(F.split(F.get("_lines", F.lit(0)), ","), lambda h: F.trim(h))
+    lines = lines.select(*keys, "_lines", header.alias("_h"))
+    placed = lines.select(*keys, "_lines", *[F.nullif(F.array_position("_h", name).cast("int"), F.lit(0)).alias(f"_{name}") for name in ("Date", "Close")])
+    rows = (placed.select(*keys, "_Date", "_Close", F.posexplode("_lines").alias("_at", "_l")).where("_at > 0")
             .withColumn("_l", F.split("_l", ",")))
 
     def cell(name: str) -> Column:
-        place = F.array_position("_h", name).cast("int")
-        return F.when(place > 0, F.trim(F.try_element_at("_l", F.nullif(place, F.lit(0)))))
+        return F.trim(F.get("_l", F.col(f"_{name}") - 1))
 
     rows = rows.select(*keys, "_at", F.try_to_timestamp(cell("Date")).cast("date").alias("quote_date"),
-                       cell("Close").try_cast("double").alias("close"))
+                       text_to_double(cell("Close")).alias("close"))
     return _latest_close(rows, list(keys), "stooq", None, digits=None)
 
 

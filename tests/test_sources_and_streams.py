@@ -261,3 +261,19 @@ def test_unreadable_messages_are_kept(spark, fresh, utc):
         stream.drain(stream.subscribe_files(spark, folder), stream.score_into(store, utc(2024, 1, 3)), fresh(f"at{run}")).awaitTermination()
     assert store.read("scored_headlines").count() == 1
     assert sorted(r["value"] for r in store.read("rejected_messages").collect()) == sorted(bad)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quote_csv_is_reduced_by_hashing_and_its_header_read_once(spark):
+    rows = spark.createDataFrame([
+        ("A", " \nDate,Open, Close\r\n2024-01-02,1,5.5\r\n\r\n2024-01-03,1,bad\noops,1,2\n2024-01-02,2,6.5"),
+        ("A", "Close,Date\n9,2023-12-31"), ("B", "Close,Date\n3, 2024-02-01 \n1e1,2024-02-02"), ("C", "Date,Open\n2024-01-01,2"),
+        ("D", None), ("E", "Date,Close"), (None, "Date,Close\n1960-01-01,-Infinity")], "ticker string, payload string")
+    found = landing.csv_closes(rows)
+    got = {(r["ticker"], str(r["quote_date"]), r["close_price_usd"]) for r in found.collect()}
+    assert got == {("A", "2024-01-02", 6.5), ("B", "2024-02-02", 10.0), (None, "1960-01-01", float("-inf"))}
+    plan = _plan(found)
+    assert "HashAggregate" in plan and "Window" not in plan and "SortAggregate" not in plan
