@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 #: Letters of the patterns in one automaton: some 60,000 names, about 100 MB in a worker.
 PIECE_LETTERS = 1 << 20
+#: Hits are handed on in batches of at most twice as many.
+HITS = 1 << 15
 
 
 def automaton_of(patterns: Sequence[str]) -> ahocorasick.Automaton:
@@ -43,14 +45,24 @@ def _piece_hits(items: DataFrame, piece: DataFrame, keys: Sequence[str], text: s
         automaton = automaton_of([pattern for pattern, _ in shared.value])
         values = [v for _, v in shared.value]
         for batch in batches:
+            texts, keyed = batch.column(len(keys)), batch.select(list(range(len(keys))))
             rows, found = [], []
-            texts = batch.column(len(keys))
+
+            def taken() -> pa.RecordBatch:
+                columns = keyed.take(pa.array(rows, pa.int64())).columns
+                return pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string())], names=[*keys, "value"])
+
             for row in range(batch.num_rows):  # one text at a time: a batch may hold very long ones
-                hits = {v for place in places_in(automaton, texts[row].as_py()) for v in values[place]}
-                rows += [row] * len(hits)
-                found += hits
-            taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns[:len(keys)], pa.array(found, pa.string())], names=[*keys, "value"])
+                hits = list({v for place in places_in(automaton, texts[row].as_py()) for v in values[place]})
+                for start in range(0, len(hits), HITS):
+                    part = hits[start:start + HITS]
+                    rows += [row] * len(part)
+                    found += part
+                    if len(found) >= HITS:  # a text may hold thousands of names, and a batch thousands of texts
+                        yield taken()
+                        rows, found = [], []
+            if found:
+                yield taken()
 
     shape = T.StructType([*fields, T.StructField("value", T.StringType())])
     return items.select(*keys, F.col(text).alias("_text")).mapInArrow(scan, shape)
@@ -78,9 +90,10 @@ def keyword_groups(text: Column, groups: Sequence[Sequence[str]]) -> Column:
     words = sorted({w for group in groups for w in group if w})
     holders = [[k for k, group in enumerate(groups) if w in group] for w in words]
 
-    @F.pandas_udf("array<int>")
-    def found(texts):
+    @F.arrow_udf("array<int>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = automaton_of(words)
-        return texts.map(lambda t: sorted({k for place in places_in(automaton, t) for k in holders[place]}))
+        for texts in batches:  # one text at a time becomes a Python string
+            yield pa.array([sorted({k for place in places_in(automaton, t.as_py()) for k in holders[place]}) for t in texts], pa.list_(pa.int32()))
 
     return found(text)

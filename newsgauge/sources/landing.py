@@ -129,7 +129,7 @@ def daily_map_closes(payloads: DataFrame, as_of: Column, keys: Sequence[str] = (
     rows = payloads.select(*keys, F.explode(series).alias("_d", "_v")).select(
         *keys, F.lit(0).alias("_at"),
         F.when(F.col("_d").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("_d")).alias("quote_date"),
-        value.try_cast("double").alias("close"))
+        text_to_double(value).alias("close"))
     return _latest_close(rows, list(keys), "alpha_vantage", as_of)
 
 

@@ -277,3 +277,13 @@ def test_quote_csv_is_reduced_by_hashing_and_its_header_read_once(spark):
     assert got == {("A", "2024-01-02", 6.5), ("B", "2024-02-02", 10.0), (None, "1960-01-01", float("-inf"))}
     plan = _plan(found)
     assert "HashAggregate" in plan and "Window" not in plan and "SortAggregate" not in plan
+
+
+def test_daily_maps_are_reduced_by_hashing_and_cast_only_what_can_be_a_number(spark):
+    entry = '"%s": {"4. close": "%s", "5. adjusted close": "%s"}'
+    body = ", ".join(entry % x for x in (("2024-01-02", "5", ""), ("2024-01-03", "n/a", "n/a"), ("no date", "1", "1"), ("2024-01-01", "9", "NaN")))
+    rows = spark.createDataFrame([("A", '{"Time Series (Daily)": {%s}}' % body), ("B", "{}"), ("C", None)], "ticker string, payload string")
+    found = landing.daily_map_closes(rows, F.lit("2024-01-31").cast("date"))
+    assert [(r["ticker"], str(r["quote_date"]), r["close_price_usd"]) for r in found.collect()] == [("A", "2024-01-02", 5.0)]
+    plan = _plan(found)
+    assert "HashAggregate" in plan and "Window" not in plan and "(?i)[0-9]|nan|inf" in plan
