@@ -48,12 +48,15 @@ def counters(tables: Tables, counts: RunCounts) -> DataFrame:
 
 
 def load_headlines(tables: Tables, raw: DataFrame, as_of: datetime, score: Scorer | None = None) -> RunCounts:
-    """Normalizes, stores and scores raw headlines. Copies, and headlines stored before, are counted but not stored."""
+    """Normalizes, stores and scores raw headlines. Copies, and headlines stored before, are counted but not stored.
+
+    Normalized and scored rows are steps of their own: an insert goes over its batch three times."""
     newest = [F.col("published_at_utc").desc_nulls_last()]
-    normal = with_content_hash(normalize_headlines(raw))
+    normal = tables.stage(with_content_hash(normalize_headlines(raw)))
     kept = tables.insert_if_absent("raw_headlines", normal, newest)
-    scored = with_content_hash(score(normal) if score else score_headlines(normal, as_of))
+    scored = tables.stage(with_content_hash(score(normal) if score else score_headlines(normal, as_of)))
     judged = tables.insert_if_absent("scored_headlines", scored, newest)
+    tables.drop_steps()
     return RunCounts(kept.fetched, kept.after_dedupe, kept.saved, judged.saved)
 
 

@@ -36,8 +36,9 @@ class LoadCounts:
 
 
 def _by_values(df: DataFrame) -> list[Column]:
-    """An order by everything in a row, so that a choice among copies never depends on how they arrive."""
-    return [F.xxhash64(*df.columns), F.to_json(F.struct(*df.columns))]
+    """An order by everything in a row, so that a choice among copies never depends on how they arrive. The values
+    themselves break ties of the hash: no text of the row is made and shuffled beside it."""
+    return [F.xxhash64(*df.columns), *[F.col(c) for c in df.columns]]
 
 
 def absent_rows(target: DataFrame, batch: DataFrame, keys: Sequence[str],
@@ -347,9 +348,13 @@ class Tables:
         self._set(state)
         return self._done(saved)
 
-    def _done(self, saved: int) -> int:
+    def drop_steps(self) -> None:
+        """Deletes what was staged; inside a transaction that is left to its end."""
         if self._open is None:
             self.versions.drop_steps()
+
+    def _done(self, saved: int) -> int:
+        self.drop_steps()
         return saved
 
     @staticmethod

@@ -85,3 +85,28 @@ def test_an_old_checkpoint_changes_nothing(spark, fresh, utc):
 def test_counters_are_rows(spark, fresh):
     got = run.counters(tables.Tables(spark, fresh("c")), run.RunCounts(3, 2, 1)).collect()
     assert [(r["stage"], r["n"]) for r in got][:3] == [("headlines_fetched", 3), ("headlines_after_dedupe", 2), ("raw_saved", 1)]
+
+
+def test_a_load_goes_over_its_raw_rows_once(spark):
+    import datetime as dt
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from newsgauge.plans import run
+    from newsgauge.session import shared_root
+    from newsgauge.sources import tables
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = spark.createDataFrame([("A", f"h{i % 3}", "s", "u", "2024-01-20T00:00:00Z") for i in range(6)],
+                                 "ticker string, headline string, source string, url string, published_at_utc string")
+    store = tables.Tables(spark, f"{shared_root(spark).rstrip('/')}/once-{uuid.uuid4().hex}")
+    counts = run.load_headlines(store, rows.withColumn("headline", counted("headline")), dt.datetime(2024, 1, 21, tzinfo=dt.timezone.utc))
+    assert (counts.headlines_fetched, counts.headlines_after_dedupe, counts.raw_saved, counts.scored_saved) == (6, 3, 3, 3)
+    assert seen.value == 6
