@@ -17,9 +17,18 @@ from newsgauge.sources import landing
 
 
 def placed(ordered):
-    """The rows of a sorted frame with their place: ids grow in the order in which the frame hands its rows out."""
+    """The rows of a sorted frame with their place: ids grow in the order in which the frame hands its rows out. An id is
+    its partition and the place in it, so only the partitions' row counts are added up in one task. The frame is stored
+    first: run again, its partitions could be cut elsewhere."""
+    spark, folder = ordered.sparkSession, _fresh(ordered.sparkSession, "placed")
     numbered = ordered.withColumn("_id", F.monotonically_increasing_id())
-    return numbered.withColumn("place", F.row_number().over(Window.orderBy("_id"))).drop("_id")
+    numbered.write.parquet(folder)
+    stored = spark.read.schema(numbered.schema).parquet(folder).withColumn("_part", F.shiftright("_id", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    spot = F.col("_id") - F.shiftleft("_part", 33)
+    return stored.join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + spot + 1).drop("_id", "_part", "_start")
 
 
 @register("t03_default_tickers_in_order", "ticker place:i", """

@@ -202,3 +202,14 @@ def test_health_rules(spark, utc):
     assert stale[0]["message"] == "Latest successful run is 5.0 hours old; threshold is 3.0 hours."
     assert health.staleness_alerts(runs, utc(2024, 1, 1, 3)).count() == 0
     assert health.staleness_alerts(runs.where("status = 'x'"), utc(2024, 1, 1)).first()["alert_type"] == "pipeline_never_finished"
+
+
+def test_places_are_added_up_from_partition_counts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from checks.q_orders import placed
+
+    rows = placed(spark.range(0, 5000, 1, 6).orderBy(F.col("id").desc()))
+    assert {(r["id"], r["place"]) for r in rows.collect()} == {(i, 5000 - i) for i in range(5000)}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan[plan.index("Window"):] and "BroadcastHashJoin" in plan
