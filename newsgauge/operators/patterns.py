@@ -36,6 +36,29 @@ def places_in(automaton: ahocorasick.Automaton, text: str | None) -> set[int]:
     return {place for _, place in automaton.iter(text)} if text and len(automaton) else set()
 
 
+def hit_batches(batch: pa.RecordBatch, automaton: ahocorasick.Automaton, values: Sequence[Sequence[str]], most: int = HITS) -> Iterator[pa.RecordBatch]:
+    """(keys, value) for the keys and texts, the last column, of a batch; under twice ``most`` rows at a time, as a text
+    may hold thousands of names and a batch thousands of texts."""
+    *keys, text = batch.schema.names
+    texts, keyed = batch.column(text), batch.select(keys)
+    rows, found = [], []
+
+    def taken() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*keyed.take(pa.array(rows, pa.int64())).columns, pa.array(found, pa.string())], names=[*keys, "value"])
+
+    for row in range(batch.num_rows):  # one text at a time: a batch may hold very long ones
+        hits = list({v for place in places_in(automaton, texts[row].as_py()) for v in values[place]})
+        for start in range(0, len(hits), most):
+            part = hits[start:start + most]
+            rows += [row] * len(part)
+            found += part
+            if len(found) >= most:
+                yield taken()
+                rows, found = [], []
+    if found:
+        yield taken()
+
+
 def _piece_hits(items: DataFrame, piece: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     listed = piece.groupBy("pattern").agg(F.collect_set("value").alias("values")).collect()  # one piece
     shared = items.sparkSession.sparkContext.broadcast([(r["pattern"], r["values"]) for r in listed])
@@ -45,24 +68,7 @@ def _piece_hits(items: DataFrame, piece: DataFrame, keys: Sequence[str], text: s
         automaton = automaton_of([pattern for pattern, _ in shared.value])
         values = [v for _, v in shared.value]
         for batch in batches:
-            texts, keyed = batch.column(len(keys)), batch.select(list(range(len(keys))))
-            rows, found = [], []
-
-            def taken() -> pa.RecordBatch:
-                columns = keyed.take(pa.array(rows, pa.int64())).columns
-                return pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string())], names=[*keys, "value"])
-
-            for row in range(batch.num_rows):  # one text at a time: a batch may hold very long ones
-                hits = list({v for place in places_in(automaton, texts[row].as_py()) for v in values[place]})
-                for start in range(0, len(hits), HITS):
-                    part = hits[start:start + HITS]
-                    rows += [row] * len(part)
-                    found += part
-                    if len(found) >= HITS:  # a text may hold thousands of names, and a batch thousands of texts
-                        yield taken()
-                        rows, found = [], []
-            if found:
-                yield taken()
+            yield from hit_batches(batch, automaton, values)
 
     shape = T.StructType([*fields, T.StructField("value", T.StringType())])
     return items.select(*keys, F.col(text).alias("_text")).mapInArrow(scan, shape)

@@ -189,3 +189,24 @@ def test_momentum_without_ties_splits_a_burst(spark):
     rows = [("a", dt.datetime(2024, 1, 1), float(v)) for v in (0.1, 0.2, 0.3, 0.4)]
     got = half_split_momentum(spark.createDataFrame(rows, "k string, ts timestamp, v double"), ["k"], "ts", "content_hash", "v").first()
     assert -1 <= got["momentum"] <= 1
+
+
+def test_hits_of_a_batch_come_in_bounded_batches():
+    import pyarrow as pa
+
+    from newsgauge.operators import patterns
+
+    names = [f"n{i}" for i in range(50)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, None, 3, 4], "_text": ["ab", "xabx", None, "a"]})
+    got = list(patterns.hit_batches(batch, patterns.automaton_of(["ab", "b"]), [names, ["n0", "m"]], most=8))
+    assert max(b.num_rows for b in got) < 16 and len(got) > 10
+    assert sorted((str(r["doc_id"]), r["value"]) for b in got for r in b.to_pylist()) == sorted((k, v) for k in ("1", "None") for v in [*names, "m"])
+
+
+def test_keyword_groups_read_arrow_batches_of_bounded_bytes(spark):
+    from newsgauge.operators import patterns
+
+    rows = spark.createDataFrame([(1, "The oil price"), (2, None), (3, ""), (4, "x" * 100 + "gas, oil")], "id int, t string")
+    found = rows.select("id", patterns.keyword_groups(F.col("t"), [["oil"], ["gas", "coal"], []]).alias("g"))
+    assert {r["id"]: r["g"] for r in found.collect()} == {1: [0], 2: [], 3: [], 4: [0, 1]}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("16m", "16777216b", "16777216")
