@@ -38,7 +38,7 @@ def name_patterns(names: DataFrame) -> DataFrame:
 
 def _pairs(items: DataFrame, patterns: DataFrame, item_keys: Sequence[str], folded: Column) -> DataFrame:
     searched = items.select(*item_keys, folded.alias("_folded"))
-    return pattern_hits(searched, patterns, item_keys, "_folded").withColumnRenamed("value", "ticker").distinct()
+    return pattern_hits(searched, patterns, item_keys, "_folded").withColumnRenamed("value", "ticker")
 
 
 def _padded(folded: Column) -> Column:

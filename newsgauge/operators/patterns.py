@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,9 +62,7 @@ def hit_batches(batch: pa.RecordBatch, automaton: ahocorasick.Automaton, values:
         yield taken()
 
 
-def _piece_hits(items: DataFrame, piece: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    listed = piece.groupBy("pattern").agg(F.collect_set("value").alias("values")).collect()  # one piece
-    shared = items.sparkSession.sparkContext.broadcast([(r["pattern"], r["values"]) for r in listed])
+def _scanned(items: DataFrame, shared: Broadcast, keys: Sequence[str], text: str) -> DataFrame:
     fields = [items.schema[k] for k in keys]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,18 +76,24 @@ def _piece_hits(items: DataFrame, piece: DataFrame, keys: Sequence[str], text: s
 
 
 def pattern_hits(items: DataFrame, patterns: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """(keys, value) for each row of ``items`` and each value that has a pattern contained in its ``text``.
+    """Distinct (keys, value) of the rows of ``items`` and the values that have a pattern contained in their ``text``.
 
-    ``patterns`` is (pattern, value); letters are compared as they are. A row gives a value once. Null texts and null
-    or empty patterns match nothing.
+    ``patterns`` is (pattern, value); letters are compared as they are. Null texts and null or empty patterns match
+    nothing. A row gives a value once, as a piece holds all patterns of its values; so only the pairs of keys that
+    several rows have are made distinct, and those of all other rows are not shuffled.
     """
     tidy = patterns.select("pattern", F.col("value").cast("string").alias("value")).where("pattern <> '' AND value IS NOT NULL").distinct()
     letters = tidy.agg(F.sum(F.length("pattern")).alias("n")).first()["n"] or 0
     pieces = max(1, math.ceil(letters / PIECE_LETTERS))
+    again = items.groupBy(*[F.col(k).alias(f"_{k}_") for k in keys]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys])
+    once, repeated = items.join(again, same, "left_anti"), items.join(again, same, "left_semi")
     found = None
     for k in range(pieces):
-        piece = tidy if pieces == 1 else tidy.where(F.pmod(F.xxhash64("pattern"), F.lit(pieces)) == k)
-        hits = _piece_hits(items, piece, keys, text)
+        piece = tidy if pieces == 1 else tidy.where(F.pmod(F.xxhash64("value"), F.lit(pieces)) == k)
+        listed = piece.groupBy("pattern").agg(F.collect_set("value").alias("values")).collect()  # one piece
+        shared = items.sparkSession.sparkContext.broadcast([(r["pattern"], r["values"]) for r in listed])
+        hits = _scanned(once, shared, keys, text).unionByName(_scanned(repeated, shared, keys, text).distinct())
         found = hits if found is None else found.unionByName(hits)
     return found
 

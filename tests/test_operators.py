@@ -210,3 +210,15 @@ def test_keyword_groups_read_arrow_batches_of_bounded_bytes(spark):
     found = rows.select("id", patterns.keyword_groups(F.col("t"), [["oil"], ["gas", "coal"], []]).alias("g"))
     assert {r["id"]: r["g"] for r in found.collect()} == {1: [0], 2: [], 3: [], 4: [0, 1]}
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("16m", "16777216b", "16777216")
+
+
+def test_only_pairs_of_repeated_keys_are_shuffled(spark):
+    from newsgauge.operators import patterns
+
+    rows = spark.createDataFrame([(1, "ab"), (2, "b"), (2, "ab"), (None, "b"), (None, "xb"), (5, None)], "doc_id int, t string")
+    names = spark.createDataFrame([("ab", "X"), ("b", "Y"), ("a", "X")], "pattern string, value string")
+    found = patterns.pattern_hits(rows, names, ["doc_id"], "t")
+    got = sorted((str(r["doc_id"]), r["value"]) for r in found.collect())
+    assert got == [("1", "X"), ("1", "Y"), ("2", "X"), ("2", "Y"), ("None", "Y")]
+    top = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert top[0].startswith("Union") and "MapInArrow" in top[1]
