@@ -104,7 +104,7 @@ def trade(tables: Tables, accounts: DataFrame, provider_quotes: DataFrame, as_of
     latest = tables.stage(insights.latest_insight_per_ticker(tables.read("insights").where(F.col("insight_date") <= F.lit(day))))
     asks = latest.select("ticker").union(held.select("ticker")).distinct().withColumn("as_of", F.lit(day))
     quotes = _answers(tables, asks, provider_quotes, resolve).drop("as_of")
-    result = portfolio.rebalance(runs.select("run_name", "starting_cash_cad", "cash_cad"), held, latest, quotes, day, opts)
+    result = portfolio.rebalance(runs.select("run_name", "starting_cash_cad", "cash_cad"), held, latest, quotes, day, opts, tables.stage)
     trades = result["trades"].withColumns({"traded_at_utc": now, "fee_cad": F.lit(0.0)})
     executed = tables.append("portfolio_trades", trades)
     sold = held.join(result["positions"].select("run_name", "ticker"), ["run_name", "ticker"], "left_anti").withColumn("quantity", F.lit(0.0))

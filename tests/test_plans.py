@@ -213,3 +213,39 @@ def test_places_are_added_up_from_partition_counts(spark, monkeypatch):
     assert {(r["id"], r["place"]) for r in rows.collect()} == {(i, 5000 - i) for i in range(5000)}
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan[plan.index("Window"):] and "BroadcastHashJoin" in plan
+
+
+def _counted(spark, rows, schema):
+    """Rows, and how many of them jobs have read so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return spark.createDataFrame(rows, schema).mapInArrow(read, schema), seen
+
+
+def test_a_trading_day_reads_its_holdings_twice_and_keeps_duplicates_and_nameless_runs(spark):
+    schema = ("run_name string, ticker string, quantity double, avg_cost_cad double, last_price_cad double, "
+              "market_value_cad double, unrealized_pnl_cad double")
+    rows = [("r", "BAD", 2.0, 1.0, 3.0, 6.0, 4.0), (None, "BAD", 2.0, 1.0, 3.0, 6.0, 4.0), ("r", "UP", 1.0, 1.0, 1.0, 1.0, 0.0),
+            ("s", "UP", 3.0, 1.0, 1.0, 3.0, 0.0), ("s", "FLAT", 4.0, 1.0, 9.0, 36.0, 32.0)]
+    held, seen = _counted(spark, rows, schema)
+    day = dt.date(2024, 1, 5)
+    views = spark.createDataFrame(
+        [("BAD", day, "negative", -0.5, 0.9, 0.1, 0.1, "sell", 1), ("UP", day, "positive", 0.6, 0.9, 0.8, 0.1, "buy", 2)],
+        "ticker string, insight_date date, signal_label string, signal_score double, confidence double, opportunity_score double, "
+        "risk_score double, recommendation string, insight_id bigint")
+    quotes = spark.createDataFrame([("BAD", day, 10.0, "polygon"), ("UP", day, 2.0, "polygon"), ("FLAT", day, 5.0, "synthetic")],
+                                   "ticker string, quote_date date, close_price_usd double, data_source string")
+    runs = spark.createDataFrame([("r", 1000.0, 500.0), ("s", 1000.0, 40.0)], "run_name string, starting_cash_cad double, cash_cad double")
+    got = portfolio.rebalance(runs, held, views, quotes, day)
+    trades = {(r["run_name"], r["side"], r["ticker"]): r["gross_cad"] for r in got["trades"].collect()}
+    cash = 500 + 2 * 13.7
+    assert trades == {("r", "sell", "BAD"): pytest.approx(27.4), (None, "sell", "BAD"): pytest.approx(27.4),
+                      ("r", "buy", "UP"): pytest.approx((cash + 2.74) * 0.95 - 2.74), ("s", "buy", "UP"): pytest.approx((40 + 36 + 3 * 2.74) * 0.95 - 8.22) if (40 + 36 + 8.22) * 0.95 - 8.22 < 40 else 40.0}
+    assert {(r["run_name"], r["ticker"]) for r in got["positions"].collect()} == {(None, "BAD"), ("r", "UP"), ("s", "UP"), ("s", "FLAT")}
+    assert {r["run_name"]: r["data_source"] for r in got["snapshots"].collect()} == {"r": "polygon", "s": "polygon,synthetic"}
+    assert seen.value <= 2 * len(rows)  # once for the marked holdings, once for the sources
