@@ -15,8 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsgauge.functions.numbers import let
+from newsgauge.llm.shared import staged
+
 #: The alphabet of base 32.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 #: Records of a file at most: a file is read back as one value.
 RECORDS_PER_FILE = 5_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -25,13 +29,13 @@ READ_SCHEMA = ("page_id long, url string, record_type string, payload_digest str
 
 
 def sha1_base32(data: Column) -> Column:
-    """Bare upper-case base 32 of the SHA-1 of a binary column."""
-    digest, letters = F.sha1(data), []
-    for part in range(4):
-        bits = F.conv(F.substring(digest, 1 + 10 * part, 10), 16, 10).cast("bigint")
-        letters += [F.substr(F.lit(BASE32), (F.shiftright(bits, 35 - 5 * k).bitwiseAND(31) + 1).cast("int"), F.lit(1))
-                    for k in range(8)]
-    return F.concat(*letters)
+    """Bare upper-case base 32 of the SHA-1 of a binary column, which is hashed once: the digits of base 32 are made in
+    four parts and only then exchanged for the letters."""
+    def letters(digest: Column) -> Column:
+        parts = [F.lpad(F.conv(F.substring(digest, 1 + 10 * part, 10), 16, 32), 8, "0") for part in range(4)]
+        return F.translate(F.concat(*parts), DIGITS, BASE32)
+
+    return let(F.sha1(data), letters)
 
 
 def _records(pages: DataFrame) -> DataFrame:
@@ -72,7 +76,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     original's id and payload are responses too.
     """
     records = _records(pages)
-    heads = records.filter((F.col("bytes") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest", "bytes")
+    heads = staged(records.filter((F.col("bytes") >= min_bytes) & F.col("page_id").isNotNull())
+                   .select("page_id", "digest", "bytes"), "heads")
     originals = heads.groupBy("digest", "bytes").agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("copies"))
     revisits = (heads.join(originals.filter("copies > 1"), ["digest", "bytes"]).filter("page_id <> original")
                 .select("page_id", "digest", "original").distinct())
@@ -132,8 +137,9 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Headers with each revisit joined to the response it names by digest; lengths come from the response read."""
-    heads = records.select("page_id", "record_type", "payload_digest", "refers_to", "payload_bytes")
+    """Headers with each revisit joined to the response it names by digest; lengths come from the response read. The
+    headers are stored, so that archives are read once."""
+    heads = staged(records.select("page_id", "record_type", "payload_digest", "refers_to", "payload_bytes"), "read-heads")
     responses = (heads.filter("record_type = 'response'").groupBy("payload_digest")
                  .agg(F.min("page_id").alias("found"), F.max("payload_bytes").alias("found_bytes")))
     revisits = heads.filter("record_type = 'revisit'").join(responses, "payload_digest", "left")

@@ -250,6 +250,16 @@ def test_archives_of_no_pages(spark, tmp_path):
     assert warc.resolve_revisits(warc.read_archives(spark, str(tmp_path / "none"))).collect() == []
 
 
+def test_payloads_are_hashed_once_and_archives_read_once(spark, tmp_path):
+    texts = spark.createDataFrame([("a" * k,) for k in range(40)] + [(None,)], "html string").select("html", warc.sha1_base32(F.encode("html", "UTF-8")).alias("d"))
+    assert texts._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
+    want = {h: h and base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for h in [*["a" * k for k in range(1, 40)], None]}
+    assert {r["html"]: r["d"] for r in texts.where("html IS NULL OR html <> ''").collect()} == want
+    warc.write_archives(spark.createDataFrame([(1, "u", "x"), (2, "u", "x")], "page_id long, url string, html string"), str(tmp_path / "two"))
+    found = warc.resolve_revisits(warc.read_archives(spark, str(tmp_path / "two")))
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 2
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(pq_dedup, "BLOCK", 16)
     draw = np.random.default_rng(2)
