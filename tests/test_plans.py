@@ -249,3 +249,16 @@ def test_a_trading_day_reads_its_holdings_twice_and_keeps_duplicates_and_nameles
     assert {(r["run_name"], r["ticker"]) for r in got["positions"].collect()} == {(None, "BAD"), ("r", "UP"), ("s", "UP"), ("s", "FLAT")}
     assert {r["run_name"]: r["data_source"] for r in got["snapshots"].collect()} == {"r": "polygon", "s": "polygon,synthetic"}
     assert seen.value <= 2 * len(rows)  # once for the marked holdings, once for the sources
+
+
+def test_portfolio_per_ticker_reads_evaluations_once(spark):
+    schema = "ticker string, direction_correct int, is_real_market_data int, forward_return_pct double"
+    judged, seen = _counted(spark, [("x", 1, 1, 2.0), ("X", 0, 1, 1.0), (None, 1, 1, 9.0)], schema)
+    listed = spark.createDataFrame([("l",)], "ticker string")
+    held = spark.createDataFrame([("P", 1.0, 2.0, 2.0, 0.0)], "ticker string, quantity double, last_price_cad double, market_value_cad double, unrealized_pnl_cad double")
+    traded = spark.createDataFrame([("b", "buy", 1.0, 3.0, 3.0)], "ticker string, side string, quantity double, price_cad double, gross_cad double")
+    daily = spark.createDataFrame([("D", dt.date(2024, 1, 1), 2)], "ticker string, sentiment_date date, headline_count bigint")
+    prices = spark.createDataFrame([("L", 1.0)], "ticker string, close_price_usd double")
+    got = {r["ticker"]: r for r in reports.portfolio_tickers(listed, held, traded, daily, judged, prices).collect()}
+    assert set(got) == {"L", "P", "B", "D", "X"} and got["X"]["avg_market_move_pct"] == 1.5 and got["D"]["headlines"] == 2
+    assert seen.value == 3
