@@ -6,11 +6,13 @@ two texts with the probability of their weighted Jaccard similarity. Texts with
 
 1. each against the first of its bucket, so that a bucket of copies costs one comparison a member;
 2. where that leaves a bucket in several clusters, its texts are paired by an exact filter over all their shingles
-   (``prefix_pairs``), which drops no pair that is similar enough.
+   (``prefix_pairs``), which drops no pair that is similar enough; first with a few members of other clusters, then with
+   one of each cluster that is left, then with all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,9 @@ POOL_BITS = 14
 SLICE = 3 << 20
 #: Weights travel as 32-bit floats, so bounds leave this much room.
 SLACK = 1e-4
+#: Members that a text of an open bucket is compared with at first, for each size that differs by SIZE_STEP.
+HEADS = 4
+SIZE_STEP = 1.25
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -189,23 +194,26 @@ def prefix_lists(docs: DataFrame, ids: DataFrame, frequencies, threshold: float)
                   .select("shingle", "id", "total", (F.col("total") - F.col("before")).alias("rest")), "lists")
 
 
-def prefix_pairs(lists: DataFrame, clusters: DataFrame, threshold: float, first: bool = False) -> DataFrame:
+def prefix_pairs(lists: DataFrame, clusters: DataFrame, threshold: float, first: bool = False, heads: int = 0) -> DataFrame:
     """(a, b), a < b: pairs in different ``clusters`` (id, cluster) that can be similar enough, by their ``lists``.
 
     In a list of texts with a shingle, members of its largest cluster are not paired with each other. With ``first``,
     texts are paired with only one member of each other cluster in a list, the one with most left: where a text belongs
-    to a large cluster, one such link spares it the pairs with all members.
+    to a large cluster, one such link spares it the pairs with all members. With ``heads``, clusters are dealt into so
+    many classes by hash, and texts are paired with one member of a class and of about a size: a large group that is
+    still in many clusters is joined by pairs in proportion to its size.
     """
     lists = lists.join(clusters, "id")
     sizes = lists.groupBy("shingle", "cluster").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("shingle").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"), F.count(F.lit(1)).alias("clusters")).filter("clusters > 1")
     inside = lists.join(largest.select("shingle", "main"), "shingle")
     left = inside.filter("cluster <> main").select("shingle", *[F.col(x).alias(f"left_{x}") for x in ("id", "cluster", "total", "rest")])
-    if first:
-        head = F.max(F.struct("rest", "total", "id")).alias("head")
-        inside = inside.groupBy("shingle", "cluster", "main").agg(head).select("shingle", "cluster", "main", "head.*")
+    if first or heads:
+        head = F.max(F.struct("rest", "total", "id", "cluster")).alias("head")
+        own = [F.floor(F.log("total") / math.log(SIZE_STEP)), F.pmod(F.xxhash64("cluster"), F.lit(heads))] if heads else ["cluster"]
+        inside = inside.groupBy("shingle", *own).agg(head).select("shingle", "head.*")
     needed = threshold / (1 + threshold) * (1 - SLACK)
-    one_way = F.lit(True) if first else (F.col("cluster") == F.col("main")) | (F.col("left_id") < F.col("id"))
+    one_way = F.lit(True) if first or heads else (F.col("cluster") == F.col("main")) | (F.col("left_id") < F.col("id"))
     both = left.join(inside, "shingle").filter(
         (F.col("left_cluster") != F.col("cluster")) & one_way & (F.least("left_rest", "rest") >= needed * (F.col("left_total") + F.col("total"))))
     return both.select(F.least("left_id", "id").alias("a"), F.greatest("left_id", "id").alias("b")).distinct()
@@ -247,9 +255,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     open_texts = staged(inside.join(apart, "bucket", "left_semi").select("id").distinct(), "open")
     if not open_texts.isEmpty():
         lists = prefix_lists(bodies, open_texts, frequencies, threshold)
-        for first in (True, False):
+        for first, heads in ((False, HEADS), (True, 0), (False, 0)):
             clusters = clustered(open_texts, found)
-            more = staged(prefix_pairs(lists, clusters, threshold, first).join(tested, ["a", "b"], "left_anti"), "pairs")
+            more = staged(prefix_pairs(lists, clusters, threshold, first, heads).join(tested, ["a", "b"], "left_anti"), "pairs")
             links = staged(links.unionByName(verified(more, bodies, frequencies, threshold)), "links")
             tested = tested.unionByName(more)
             found = components(links)

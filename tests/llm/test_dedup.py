@@ -253,3 +253,19 @@ def test_links_to_the_smallest_connect_the_same_texts(spark):
     assert classes(thinned) == classes(links)
     star = spark.createDataFrame([(k % 3, 10 + k // 3) for k in range(300)], "a long, b long")
     assert minhash.to_smallest(star).count() == 102  # of 300: each text once, and two of its three centres
+
+
+def test_large_groups_of_near_copies_are_joined_by_few_pairs(spark, monkeypatch):
+    draw = random.Random(8)
+    base, texts = [f"w{draw.randrange(10 ** 6)}" for _ in range(160)], []
+    for k in range(300):
+        words = list(base)
+        for _ in range(2):
+            words[draw.randrange(160)] = f"x{k}y{draw.randrange(10 ** 6)}"
+        texts.append((k, " ".join(words)))
+    compared, verified = [], minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute_classes(texts, minhash.document_frequencies(docs), 0.8)
+    assert sum(compared) < 300 * 300 / 16
