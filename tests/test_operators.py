@@ -222,3 +222,14 @@ def test_only_pairs_of_repeated_keys_are_shuffled(spark):
     assert got == [("1", "X"), ("1", "Y"), ("2", "X"), ("2", "Y"), ("None", "Y")]
     top = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert top[0].startswith("Union") and "MapInArrow" in top[1]
+
+
+def test_a_filter_on_the_price_does_not_make_prices_again(spark):
+    quotes = spark.createDataFrame([("A", dt.date(2024, 1, 3), 5.0, "polygon"), ("A", dt.date(2024, 1, 5), None, "polygon")],
+                                   "ticker string, quote_date date, close_price_usd double, data_source string")
+    asks = spark.createDataFrame([("A", dt.date(2024, 1, 4)), ("A", dt.date(2024, 1, 6)), ("B", dt.date(2024, 1, 4)), (None, None)], "ticker string, as_of date")
+    found = asof.resolve_quotes(asks, quotes).where(F.col("close_price_usd").isNotNull())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan and not any("sha2" in line for line in plan.splitlines() if "Filter " in line)
+    got = {(r["ticker"], r["as_of"]): r["data_source"] for r in found.collect()}
+    assert got[("A", dt.date(2024, 1, 4))] == "polygon" and got[("B", dt.date(2024, 1, 4))] == "synthetic" and ("A", dt.date(2024, 1, 6)) not in got
