@@ -15,15 +15,17 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgauge.llm.byte_bpe import load_vocabulary
-from newsgauge.llm.shared import crc_of_id, identified, slices
+from newsgauge.llm.shared import crc_of_id, identified, slices, staged
 
 #: Labelled texts of a language that the pieces are fitted on: those whose hashed ids are smallest.
 FIT_TEXTS = 800
 ROUNDS = 2
+FIT_TASKS = 8
 PRIOR = 0.05
 #: A run of letters longer than this many bytes is cut there into several words.
 LONGEST = 40
@@ -113,7 +115,7 @@ class Pieces:
         return total[:-1]
 
 
-def fit(labelled: DataFrame, spec: str) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, spec: Broadcast) -> tuple[list[str], np.ndarray]:
     """(languages, piece probabilities) from at most FIT_TEXTS texts a language of (doc_id, text, lang)."""
     hashed = F.xxhash64("doc_id")
     first = Window.partitionBy("lang").orderBy(hashed, "doc_id")
@@ -134,35 +136,61 @@ def fit(labelled: DataFrame, spec: str) -> tuple[list[str], np.ndarray]:
                                           "word": pa.array([x for _, x in held], pa.string()), "n": pa.array(held.values(), pa.int64())})
 
     sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang")
-    table = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(table["lang"].unique().tolist())
-    words = sorted(table["word"].unique().tolist())
+    table = staged(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+                   .repartition(FIT_TASKS, "word"), "words")  # a word's languages in one task
+    languages = sorted(r["lang"] for r in table.select("lang").distinct().collect())
     if not languages:
         return [], np.zeros((0, 0))
-    weights = np.zeros((len(words), len(languages)))
-    weights[np.searchsorted(words, table["word"]), np.searchsorted(languages, table["lang"])] = table["n"]
-    pieces = Pieces(spec)
-    chance = np.full((pieces.count + 1, len(languages)), 1 / pieces.count)
+    chance = np.zeros((0, len(languages)))
     for _ in range(ROUNDS):
-        chance[-1] = 0
-        got = pieces.expected(words, weights, chance) + PRIOR
-        chance[:-1] = got / got.sum(axis=0)
-    chance[-1] = 0
+        chance = _maximised(table, languages, spec, chance)
     return languages, chance
 
 
+def _maximised(table: DataFrame, languages: list[str], spec: Broadcast, chance: np.ndarray) -> np.ndarray:
+    """Piece probabilities after a round; ``chance`` are those before it, none for even ones. Tasks load the vocabulary and
+    add up their words; only one sum for each piece and language comes to the driver."""
+    given = table.sparkSession.sparkContext.broadcast(chance)
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, schema) if (batches := list(batches)) else None
+        if not rows:
+            return
+        words, place = np.unique(np.array(rows["word"].to_pylist(), dtype=object), return_inverse=True)
+        weights = np.zeros((len(words), len(languages)))
+        weights[place, np.searchsorted(languages, rows["lang"].to_pylist())] = rows["n"].to_numpy()
+        pieces = Pieces(spec.value)
+        before = given.value
+        if not len(before):
+            before = np.full((pieces.count + 1, len(languages)), 1 / pieces.count)
+            before[-1] = 0
+        got = pieces.expected(words.tolist(), weights, before)
+        piece, lang = np.nonzero(got)
+        # the last row tells how many pieces there are
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(np.append(piece, pieces.count)), "lang": pa.array(np.append(lang, 0)),
+                                          "n": pa.array(np.append(got[piece, lang], 0.0))})
+
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+    sums = table.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+    got = np.zeros((int(sums["piece"].max()) + 1, len(languages)))
+    got[sums["piece"], sums["lang"]] = sums["n"]
+    got = got[:-1] + PRIOR
+    return np.append(got / got.sum(axis=0), np.zeros((1, len(languages))), axis=0)
+
+
 def _predictions(docs: DataFrame, vocabulary: str, held_out_of: int, id_col: str, text_col: str, lang_col: str):
     """A function that gives slices of batches with the languages and scores of their texts."""
     labelled = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"),
                            docs[lang_col].cast("string").alias("lang"))
     labelled = labelled.filter((crc_of_id(F.col("doc_id")) % held_out_of != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    spec = Path(vocabulary).read_text()
+    context = docs.sparkSession.sparkContext
+    spec = context.broadcast(Path(vocabulary).read_text())
     languages, chance = fit(labelled, spec)
-    shared = docs.sparkSession.sparkContext.broadcast((spec, chance))
+    shared = context.broadcast(chance)
 
     def predict(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
-        spec, chance = shared.value
-        pieces = Pieces(spec) if languages else None
+        chance = shared.value
+        pieces = Pieces(spec.value) if languages else None
         for batch in slices(batches, column):
             counts = [word_counts(x) for x in batch.column(column).to_pylist()]
             words = sorted(set().union(*counts))
