@@ -7,7 +7,7 @@ carries the probability left. A text goes through once from left to right; the s
 Nothing of the model depends on the size of the input: all pairs are counted, and the words and arcs are one staged
 table. A token adds what its word has in the table (log10 of the root's arc to it and of its own failure arc), and what
 its pair has (log10 of how much the arc raises the failure path). Tasks carry only a cache of the table's most frequent
-rows; all other words and pairs of the texts are joined with it. Words are told apart by 63-bit hashes, and so are
+rows; all other words and pairs of the texts are joined with it, in a few rounds. Words are told apart by 63-bit hashes, and so are
 pairs with a word that is not in the cache.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ ARC_SHARE = math.inf
 COMMON_SHARE = 1 << 17
 CACHE_SHARE = 1 << 22
 FLUSH = 4_000_000
+#: Words and pairs are looked up in so many rounds by their hash: what a round shuffles is gone before the next begins.
+#: The texts are read once a round, which is a constant factor at any input.
+LOOKUP_ROUNDS = 3
 _TOP = np.uint64(1 << 63)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -87,6 +91,11 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("count"))
 
 
+def round_of(key: np.ndarray, rounds: int) -> np.ndarray:
+    """The round that a key belongs to, in 0 .. rounds - 1."""
+    return shingles.mixed(key.view(np.uint64)) % np.uint64(rounds)
+
+
 def pair_counts(training: DataFrame, known: np.ndarray) -> DataFrame:
     """(history, word, count) of all neighbouring tokens of the training texts; counted in the task before the shuffle."""
     shared = training.sparkSession.sparkContext.broadcast(known)
@@ -194,43 +203,59 @@ def score_texts(docs: DataFrame, held_out_of: int = 10, id_col: str = "doc_id",
     by_token[:, START] = np.log10(left[START]), 0, 0
     shared = context.broadcast((known, by_token, often["key"].to_numpy(dtype=np.int64), often["score"].to_numpy(dtype=np.float64)))
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with what the cache says, and one for each word and pair to look up."""
+    never = float(np.log10(unseen)), float(np.log10(0.1 / base_total))
+
+    def walk(batches: Iterator[pa.RecordBatch], own_round: int) -> Iterator[pa.RecordBatch]:
+        """A row for each word and pair to look up in a round; in the first one also a row for each text with what the cache
+        says, as if none of its other words were known and none of its other pairs an arc."""
         known, by_token, keys, scores = shared.value
         for batch in slices(batches):
             ids, starts = tokens_of(batch.column("text"), known)
-            score, base, seen = (np.where(ids >= 0, x[np.maximum(ids, 0)], 0) for x in by_token)
             pair = pair_keys(ids[:-1], ids[1:])
             at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
             hit = keys[at] == pair if len(keys) else np.zeros(len(pair), dtype=bool)
             hit &= ids[1:] != START
-            score[1:][hit] += scores[at[hit]]
             text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-            asked_words, asked_pairs = np.flatnonzero(ids < 0), np.flatnonzero(~hit & (ids[1:] != START))
-            rows = batch.column("row").to_numpy()
-            held = [np.add.reduceat(x, starts) for x in (score, base, seen)]
-            own = pa.StructArray.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(np.append(starts, len(ids))) - 1),
-                 pa.array(held[2].astype(np.int64)), pa.array(held[1]), pa.array(held[0])],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "score"])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(shingles.mixed(rows.view(np.uint64)).view(np.int64)), own], ["row", "key", "own"])
-            for some, key in ((asked_words, ids), (asked_pairs, pair)):
+            asked_words, asked_pairs = ids < 0, ~hit & (ids[1:] != START)
+            if own_round == 0:
+                score, base, seen = (np.where(asked_words, other, x[np.maximum(ids, 0)]) for x, other in zip(by_token, (*never, 0), strict=True))
+                score[1:][hit] += scores[at[hit]]
+                held = [np.add.reduceat(x, starts) for x in (score, base, seen)]
+                own = pa.StructArray.from_arrays(
+                    [pa.array(np.diff(np.append(starts, len(ids))) - 1), pa.array(held[2].astype(np.int64)), pa.array(held[1]), pa.array(held[0])],
+                    ["n_tokens", "known", "base", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.nulls(batch.num_rows, pa.int64()), own],
+                                                 ["doc_id", "text_hash", "key", "own"])
+            asked_words &= round_of(ids, LOOKUP_ROUNDS) == own_round
+            asked_pairs &= round_of(pair, LOOKUP_ROUNDS) == own_round
+            for some, key in ((np.flatnonzero(asked_words), ids), (np.flatnonzero(asked_pairs), pair)):
                 for a in range(0, len(some), 1 << 17):
                     part = some[a:a + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[text[part]]), pa.array(key[part]), pa.nulls(len(part), own.type)], ["row", "key", "own"])
-
-    kind = "struct<doc_id:long,held_out:boolean,n_tokens:long,known:long,base:double,score:double>"
-    asked = own.withColumn("row", F.monotonically_increasing_id()).mapInArrow(walk, f"row long, key long, own {kind}")
-    # a text's own row has a key of its own only so that such rows are dealt out
-    never = F.log10(F.lit(unseen)), F.log10(F.lit(0.1 / base_total))
-    mine, word = F.col("own").isNotNull(), F.col("asked") < 0
-    found = asked.withColumnRenamed("key", "asked").join(table, F.col("asked") == F.col("key"), "left")
-    nothing = F.lit(0.0)
-    # sums and maxima of plain columns, so that rows need no sorting by text
-    summed = found.groupBy("row").agg(
-        F.max("own.doc_id").alias("doc_id"), F.max("own.held_out").alias("held_out"), F.max("own.n_tokens").alias("n_tokens"),
-        F.sum(F.when(mine, F.col("own.known")).otherwise(F.coalesce("known", F.lit(0)))).alias("n_known"),
-        F.lit(n).cast("bigint").alias("train_tokens"),
-        F.sum(F.when(mine, F.col("own.base")).otherwise(F.coalesce("base", F.when(word, never[1]).otherwise(nothing)))).alias("base_score"),
-        F.sum(F.when(mine, F.col("own.score")).otherwise(F.coalesce("score", F.when(word, never[0]).otherwise(nothing)))).alias("score"))
-    return summed.drop("row")
+                    rows = pa.array(text[part])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(key[part]),
+                                                      pa.nulls(len(part), kind)], ["doc_id", "text_hash", "key", "own"])
+
+    # a text is known by its id and hash, which are the same whenever it is read; rows with equal ones have equal results
+    texts = own.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    kind = pa.struct([("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    names = "doc_id long, text_hash long, key long, own struct<n_tokens:long,known:long,base:double,score:double>"
+    told = table.select(F.col("key").alias("told"), *[F.col(x).alias(f"told_{x}") for x in ("score", "base", "known")])
+    # what a found word has is more than an unknown one has; sums of plain columns, so that rows need no sorting by text
+    word = F.col("told") < 0
+    found = {"known": F.col("told_known"), "base": F.when(word, F.col("told_base") - never[1]), "score": F.col("told_score") - F.when(word, never[0]).otherwise(0.0)}
+    parts = []
+    for k in range(LOOKUP_ROUNDS):
+        asked = texts.mapInArrow(lambda batches, k=k: walk(batches, k), names)
+        # a text's own row has no key and is dealt out by its hash
+        joined = (asked.withColumn("at", F.coalesce("key", "text_hash")).join(told, (F.col("at") == F.col("told")) & F.col("key").isNotNull(), "left" if k == 0 else "inner")
+                  .filter("own is not null or told is not null"))
+        mine = F.col("own").isNotNull()
+        sums = joined.groupBy("doc_id", "text_hash").agg(
+            F.count("own").alias("copies"), F.sum("own.n_tokens").alias("n_tokens"),
+            *[F.sum(F.when(mine, F.col(f"own.{x}")).otherwise(y)).alias(x) for x, y in found.items()])
+        parts.append(staged(sums, "sums"))
+    added = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "text_hash").agg(*[F.sum(x).alias(x) for x in ("copies", "n_tokens", "known", "base", "score")])
+    return added.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+        "doc_id", (crc_of_id(F.col("doc_id")) % held_out_of == 0).alias("held_out"), F.expr("n_tokens div copies").alias("n_tokens"),
+        F.expr("known div copies").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
+        (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
