@@ -17,7 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsgauge.operators.frames import shared_exchange
+from newsgauge.operators.frames import shared_exchange, taken
 
 Expand = Callable[[DataFrame], DataFrame]
 
@@ -70,27 +70,25 @@ def locate_midpoints(minutes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def finish_split(opened: DataFrame, keys: Sequence[str]) -> DataFrame:
     """-> (keys, momentum). ``opened``: (keys, _minute, place, _ts, _tie, _value, KNOWN), the rows of at least the
-    minutes with a place. Rows of other minutes are masked, not filtered, so that all readers share one exchange."""
+    minutes with a place. Only rows of a minute that is cut are shuffled again; all readers share one exchange."""
     keys = list(keys)
     final = ["n_all", "sum_all", "count_all", "older_sum", "older_count"]
 
-    def known(place: int, names: Sequence[str]) -> list[Column]:
-        return [F.max(F.when(F.col("place") == place, F.col(name))).alias(name) for name in names]
+    def known(names: Sequence[str]) -> list[Column]:
+        return [F.max(name).alias(name) for name in names]
 
-    opened = opened.withColumn("_cell", F.substring("_tie", 1, CELL))
-    in_cut = F.when(F.col("place") == 2, F.col("_value"))
-    cells = opened.groupBy(*keys, "_ts", "_cell").agg(
-        F.count_if(F.col("place") == 2).alias("n"), F.sum(in_cut).alias("total"), F.count(in_cut).alias("n_value"), *known(2, KNOWN))
+    cut = taken(opened, F.col("place") == 2).withColumn("_cell", F.substring("_tie", 1, CELL))
+    cells = cut.groupBy(*keys, "_ts", "_cell").agg(*minute_measures("_value"), *known(KNOWN))
     cell = _located(cells, keys, ["_ts", "_cell"])
     cut_cells = cell.where("place = 2").select(*keys, "_ts", "_cell", *KNOWN)
     in_cell = Window.partitionBy(*keys, "_ts", "_cell").orderBy("_tie", "_value")
-    singles = (opened.drop(*KNOWN, "place").join(cut_cells, [*keys, "_ts", "_cell"])
+    singles = (cut.drop(*KNOWN, "place").join(cut_cells, [*keys, "_ts", "_cell"])
                .withColumn("_rank", F.row_number().over(in_cell)).where(F.col("_rank") <= F.col("need"))
                .groupBy(*keys).agg(
                    *[F.max(name).alias(name) for name in ("n_all", "sum_all", "count_all")],
                    (F.max("older_sum") + F.coalesce(F.sum("_value"), F.lit(0.0))).alias("older_sum"),
                    (F.max("older_count") + F.count("_value")).alias("older_count")))
-    uncut = opened.groupBy(*keys).agg(*known(1, final)).where("n_all IS NOT NULL")
+    uncut = taken(opened, F.col("place") == 1).groupBy(*keys).agg(*known(final))
     done = (uncut.unionByName(cell.where("place = 1").select(*keys, *final))
             .unionByName(singles.select(*keys, *final)))
     older = F.try_divide("older_sum", F.nullif("older_count", F.lit(0)))

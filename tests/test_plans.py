@@ -262,3 +262,18 @@ def test_portfolio_per_ticker_reads_evaluations_once(spark):
     got = {r["ticker"]: r for r in reports.portfolio_tickers(listed, held, traded, daily, judged, prices).collect()}
     assert set(got) == {"L", "P", "B", "D", "X"} and got["X"]["avg_market_move_pct"] == 1.5 and got["D"]["headlines"] == 2
     assert seen.value == 3
+
+
+def test_opened_headlines_are_exchanged_once(spark):
+    """All readers of the opened headlines share one exchange, and none shuffles all of them again."""
+    rows = spark.range(400).select(
+        F.concat(F.lit("T"), (F.col("id") % 7).cast("string")).alias("ticker"), F.col("id").cast("string").alias("headline"),
+        F.lit("s").alias("source"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 997).alias("published_at_utc"),
+        F.sin("id").alias("compound_score"), F.lit(0.5).alias("confidence"), F.sha2(F.col("id").cast("string"), 256).alias("content_hash"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = insights.insights_for_days(rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    dealt = [x for x in plan.split("\n") if "REPARTITION_BY_COL" in x]
+    assert len([x for x in dealt if "ReusedExchange" not in x]) == 1 and len(dealt) > 2
