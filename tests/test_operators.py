@@ -233,3 +233,22 @@ def test_a_filter_on_the_price_does_not_make_prices_again(spark):
     assert "sha2" in plan and not any("sha2" in line for line in plan.splitlines() if "Filter " in line)
     got = {(r["ticker"], r["as_of"]): r["data_source"] for r in found.collect()}
     assert got[("A", dt.date(2024, 1, 4))] == "polygon" and got[("B", dt.date(2024, 1, 4))] == "synthetic" and ("A", dt.date(2024, 1, 6)) not in got
+
+
+def test_rows_get_the_quotes_of_several_days_in_one_exchange(spark):
+    rng = random.Random(8)
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    quotes = spark.createDataFrame(
+        [(t, day(n), rng.random(), s) for t in ("AA", "BB", "CC") for s in ("yahoo_chart", "polygon", "synthetic") for n in rng.sample(range(80), 9)]
+        + [("AA", None, 1.5, "polygon")], "ticker string, quote_date date, close_price_usd double, data_source string")
+    asked = [(i, rng.choice(["AA", "aa", "BB", "DD", None]), day(rng.randrange(90)), day(rng.randrange(90))) for i in range(80)]
+    asked = spark.createDataFrame(asked + asked[:9] + [(99, "AA", None, day(3))], "id int, ticker string, a date, b date")
+    got = asof.resolve_quotes(asked, quotes, cached_quotes=quotes, days={"first": "a", "second": "b"})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    want = asked
+    for prefix, name in (("first", "a"), ("second", "b")):
+        one = asof.resolve_quotes(asked.select("ticker", F.col(name).alias("as_of")), quotes, cached_quotes=quotes)
+        one = one.toDF("_t", "_d", *[f"{prefix}_{f}" for f in asof.QUOTE_FIELDS])
+        want = want.join(one, F.col("ticker").eqNullSafe(F.col("_t")) & F.col(name).eqNullSafe(F.col("_d"))).drop("_t", "_d")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and got.count() == 90

@@ -277,3 +277,18 @@ def test_opened_headlines_are_exchanged_once(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     dealt = [x for x in plan.split("\n") if "REPARTITION_BY_COL" in x]
     assert len([x for x in dealt if "ReusedExchange" not in x]) == 1 and len(dealt) > 2
+
+
+def test_insights_are_judged_without_joins(spark):
+    from newsgauge.operators.asof import resolve_quotes
+
+    day = dt.date(2026, 1, 5)
+    quotes = spark.createDataFrame([("AAPL", day, 100.0, "yahoo_chart"), ("MSFT", day, None, "polygon"), ("IBM", day, 50.0, "polygon")], QUOTES)
+    views = spark.createDataFrame([(i, t, day + dt.timedelta(days=i % 3), "positive", 0.5, "buy", i % 4) for i, t in enumerate(["AAPL", "aapl", "MSFT", "IBM", None] * 4)]
+                                  + [(0, "AAPL", day, "positive", 0.5, "buy", 0)] * 2 + [(50, "IBM", None, "neutral", 0.0, None, None)],
+                                  "insight_id bigint, ticker string, insight_date date, signal_label string, signal_score double, recommendation string, horizon_days int")
+    judged = evaluation.evaluate_insights(views, quotes, dt.date(2026, 1, 12))
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    joined = evaluation.evaluate_insights(views, quotes, dt.date(2026, 1, 12), lambda lookups, quotes: resolve_quotes(lookups, quotes))
+    assert sorted(map(str, judged.collect())) == sorted(map(str, joined.collect())) and 0 < judged.count() < 22
