@@ -252,3 +252,15 @@ def test_rows_get_the_quotes_of_several_days_in_one_exchange(spark):
         one = one.toDF("_t", "_d", *[f"{prefix}_{f}" for f in asof.QUOTE_FIELDS])
         want = want.join(one, F.col("ticker").eqNullSafe(F.col("_t")) & F.col(name).eqNullSafe(F.col("_d"))).drop("_t", "_d")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and got.count() == 90
+
+
+def test_values_of_few_groups_are_not_shuffled_for_their_median(spark, monkeypatch):
+    from newsgauge.operators import median
+
+    rows = spark.createDataFrame([(k, float(v)) for k in ("a", "b") for v in range(7)] + [(None, 1.0), ("c", None)], "k string, v double")
+    for few in (10, 1):
+        monkeypatch.setattr(median, "FEW_GROUPS", few)
+        got = exact_median(rows, ["k"], "v")
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate") == (2 if few > 1 else 3)  # the values are counted before the join only there
+        assert {tuple(r) for r in got.collect()} == {("a", 3.0), ("b", 3.0)}

@@ -292,3 +292,17 @@ def test_insights_are_judged_without_joins(spark):
     assert "Join" not in plan and plan.count("Exchange") == 1
     joined = evaluation.evaluate_insights(views, quotes, dt.date(2026, 1, 12), lambda lookups, quotes: resolve_quotes(lookups, quotes))
     assert sorted(map(str, judged.collect())) == sorted(map(str, joined.collect())) and 0 < judged.count() < 22
+
+
+def test_evaluations_are_made_once_for_their_summary(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def move(x):
+        made.add(1)
+        return float(x)
+
+    rows = spark.createDataFrame([(1, 1, n, "matured", "positive", "buy") for n in range(9)],
+                                 "direction_correct int, is_real_market_data int, n int, evaluation_status string, signal_label string, recommendation string")
+    got = evaluation.performance_summary(rows.withColumn("forward_return_pct", move("n"))).collect()
+    assert {r["median_forward_return_pct"] for r in got} == {4.0} and len(got) == 3 and made.value == 9
