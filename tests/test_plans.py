@@ -306,3 +306,20 @@ def test_evaluations_are_made_once_for_their_summary(spark):
                                  "direction_correct int, is_real_market_data int, n int, evaluation_status string, signal_label string, recommendation string")
     got = evaluation.performance_summary(rows.withColumn("forward_return_pct", move("n"))).collect()
     assert {r["median_forward_return_pct"] for r in got} == {4.0} and len(got) == 3 and made.value == 9
+
+
+def test_shuffle_files_of_a_stored_step_go_with_it(spark):
+    import time
+
+    from newsgauge.session import staged
+
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    step = staged(spark.range(1000).repartition(3, "id"))
+    until = time.time() + 20
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and step.count() == 1000
