@@ -228,7 +228,7 @@ def _(spark, d):
 
 def doc_items(spark, d):
     docs = a.table(spark, d, "documents")
-    return docs.select("doc_id", F.split("text", "\n").getItem(0).alias("title"), F.col("text").alias("summary"), "source",
+    return docs.select("doc_id", F.split("text", "\n", 2).getItem(0).alias("title"), F.col("text").alias("summary"), "source",
                        F.concat(F.lit("http://doc/"), _s("doc_id")).alias("link"),
                        F.lit("2024-01-20 00:00:00").cast("timestamp").alias("published_at_utc"))
 
@@ -273,7 +273,7 @@ FROM (SELECT doc_id, lower(string_split(text, chr(10))[1] || ' ' || text) AS bod
 JOIN (SELECT doc_id, lower(string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3]) AS name FROM documents
   WHERE len(string_split(text, ' ')) > 3) n ON contains(d.body, n.name)""")
 def _(spark, d):
-    words = F.split("text", " ")
+    words = F.split("text", " ", 4)  # the rest of a text stays in one piece
     names = a.table(spark, d, "documents").where(F.size(words) > 3).select(
         F.concat(F.lit("N"), _s("doc_id")).alias("ticker"), F.concat_ws(" ", words[1], words[2]).alias("name"))
     items = doc_items(spark, d).withColumn("_search", matching.search_text())

@@ -264,3 +264,20 @@ def test_values_of_few_groups_are_not_shuffled_for_their_median(spark, monkeypat
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Aggregate") == (2 if few > 1 else 3)  # the values are counted before the join only there
         assert {tuple(r) for r in got.collect()} == {("a", 3.0), ("b", 3.0)}
+
+
+def test_names_that_many_share_take_one_pass(spark, monkeypatch):
+    from newsgauge.operators import patterns
+
+    rng = random.Random(12)
+    words = ["oil", "il", "gas co", "s", "coal"]
+    listed = [(w, f"V{rng.randrange(60)}") for w in words for _ in range(40)]
+    items = spark.createDataFrame([(i, " ".join(rng.sample(words + ["x", "co"], 3))) for i in range(30)], "id int, body string")
+    monkeypatch.setattr(patterns, "PIECE_LETTERS", 40)  # 14 letters, 560 with the repeats
+    want = sorted({(i, v) for i, body in items.collect() for w, v in listed if w in body})
+    for most, passes in ((1000, 1), (100, 2)):
+        monkeypatch.setattr(patterns, "PIECE_VALUES", most)
+        hits = patterns.pattern_hits(items, spark.createDataFrame(listed, "pattern string, value string"), ["id"], "body")
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count("MapInArrow") == 1) == (passes == 1) and "Exchange" not in plan
+        assert sorted(map(tuple, hits.collect())) == want
