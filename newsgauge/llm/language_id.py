@@ -179,7 +179,7 @@ def _maximised(table: DataFrame, languages: list[str], spec: Broadcast, chance:
 
 
 def _predictions(docs: DataFrame, vocabulary: str, held_out_of: int, id_col: str, text_col: str, lang_col: str):
-    """A function that gives slices of batches with the languages and scores of their texts."""
+    """A function that gives slices of batches with the languages, scores and numbers of words of their texts."""
     labelled = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"),
                            docs[lang_col].cast("string").alias("lang"))
     labelled = labelled.filter((crc_of_id(F.col("doc_id")) % held_out_of != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -188,7 +188,7 @@ def _predictions(docs: DataFrame, vocabulary: str, held_out_of: int, id_col: str
     languages, chance = fit(labelled, spec)
     shared = context.broadcast(chance)
 
-    def predict(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
+    def predict(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str], list[float], list[int]]]:
         chance = shared.value
         pieces = Pieces(spec.value) if languages else None
         for batch in slices(batches, column):
@@ -206,7 +206,7 @@ def _predictions(docs: DataFrame, vocabulary: str, held_out_of: int, id_col: str
                 best = int(np.argmax(sums))
                 names.append(languages[best])
                 scores.append(float(1 / np.exp(np.maximum(sums - sums[best], -700)).sum()))
-            yield batch, names, scores
+            yield batch, names, scores, [own.total() for own in counts]
 
     return predict
 
@@ -224,7 +224,7 @@ def identify(docs: DataFrame, vocabulary: str, held_out_of: int = 3, id_col: str
     predict = _predictions(docs, vocabulary, held_out_of, id_col, text_col, lang_col)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, names, scores in predict(batches, "text"):
+        for batch, names, scores, _ in predict(batches, "text"):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
                                               "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
@@ -232,12 +232,14 @@ def identify(docs: DataFrame, vocabulary: str, held_out_of: int = 3, id_col: str
 
 
 def drop_unidentified(docs: DataFrame, vocabulary: str, least_score: float = 0.5, held_out_of: int = 3, id_col: str = "doc_id",
-                      text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text has a language with ``least_score`` or more, unchanged and where they are."""
+                      text_col: str = "text", lang_col: str = "lang", least_words: int = 1) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with ``least_score`` or more, unchanged and where they are. Texts of
+    fewer than ``least_words`` words need no score: what few words languages share says little of any of them."""
     predict = _predictions(docs, vocabulary, held_out_of, id_col, text_col, lang_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, names, scores in predict(batches, text_col):
-            yield batch.filter(pa.array([n != NOTHING and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+        for batch, names, scores, words in predict(batches, text_col):
+            yield batch.filter(pa.array([n != NOTHING and (s >= least_score or w < least_words)
+                                         for n, s, w in zip(names, scores, words, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

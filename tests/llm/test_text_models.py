@@ -366,6 +366,14 @@ def test_pipeline_keeps_short_texts_that_languages_share(spark):
     assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {*range(18), 100}
 
 
+def test_pipeline_drops_long_texts_without_one_language(spark):
+    learned = [k for k in range(90) if zlib.crc32(str(k).encode()) % 3 != 1][:9]
+    rows = [(k, "shared words", lang) for k, lang in zip(learned, ["aaa", "bbb", "ccc"] * 3, strict=True)]  # the same in each language
+    rows += [(100, "shared " * 7, None), (101, "shared " * 8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {*learned, 100}
+
+
 def test_every_query_is_registered():
     assert sorted({int(x[2:].split("_")[0]) for x in queries.QUERIES}) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
