@@ -76,10 +76,14 @@ def merge_filters(parts: Iterator[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
     return zlib.compress(once.tobytes(), 1), zlib.compress(twice.tobytes(), 1)
 
 
+def segments_for(lines: int) -> int:
+    """A power of two: about ten bits a line, MOST_BITS at most."""
+    return max(1, min(MOST_BITS, 1 << math.ceil(math.log2(lines * 10))) // SEGMENT_BITS)
+
+
 def twice_filter(docs: DataFrame, min_chars: int) -> dict[int, bytes]:
     """The twice-seen filter by segment; MOST_BITS bounds it."""
-    lines = max(1, docs.count()) * LINES_PER_DOCUMENT
-    segments = 1 << max(0, min(math.log2(MOST_BITS), math.ceil(math.log2(lines * 10))) - int(math.log2(SEGMENT_BITS)))
+    segments = segments_for(max(1, docs.count()) * LINES_PER_DOCUMENT)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[int] = []

@@ -269,3 +269,11 @@ def test_large_groups_of_near_copies_are_joined_by_few_pairs(spark, monkeypatch)
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
     assert got == brute_classes(texts, minhash.document_frequencies(docs), 0.8)
     assert sum(compared) < 300 * 300 / 16
+
+
+def test_line_filters_of_many_lines_have_a_bounded_size(odd_docs, monkeypatch):
+    assert [line_dedup.segments_for(x) for x in (1, 1 << 17, 1 << 18, 1 << 25, 1 << 40)] == [1, 2, 4, 256, 256]
+    want = sorted(map(str, line_dedup.drop_repeated_lines(odd_docs, min_docs=2).collect()))
+    monkeypatch.setattr(line_dedup, "MOST_BITS", line_dedup.SEGMENT_BITS)
+    monkeypatch.setattr(line_dedup, "LINES_PER_DOCUMENT", 1 << 20)
+    assert sorted(map(str, line_dedup.drop_repeated_lines(odd_docs, min_docs=2).collect())) == want
