@@ -323,3 +323,34 @@ def test_shuffle_files_of_a_stored_step_go_with_it(spark):
     while (left := files() - before) and time.time() < until:
         time.sleep(0.2)
     assert not left and step.count() == 1000
+
+
+def test_windows_take_what_stands_out_from_their_slots(spark):
+    rng = random.Random(21)
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = []
+    for i in range(260):
+        key = rng.choice([f"{rng.getrandbits(256):064x}", f"{rng.getrandbits(256):064X}", f"é{i}", ""])
+        c = rng.choice([None, math.nan, 0.5, -0.5, rng.uniform(-1, 1), rng.uniform(-0.4, 0.4)])
+        rows.append((rng.choice("AB"), start + dt.timedelta(days=rng.choice([0, 1, 4, 9]), minutes=rng.randint(0, 40)), f"h{i}", key, c))
+    rows += rows[:20]
+    schema = "ticker string, published_at_utc timestamp, headline string, content_hash string, compound_score double"
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "0.5D AS confidence", "'s' AS source", "string(null) AS topic")
+    got = insights.insights_for_days(df, InsightOptions(lookback_days=3, evidence_rows=4))
+    hashes = {(r["insight_date"], r["ticker"]): (r["source_headline_hashes"], r["rationale"]) for r in got.collect()}
+    days = {r[1].date() for r in rows}
+    windows = {(d, t): [r for r in rows if r[0] == t and d - dt.timedelta(days=3) <= r[1].date() <= d] for d in days for t in "AB"}
+    assert {k for k, w in windows.items() if w} == set(hashes)
+    for key, (listed, why) in hashes.items():
+        newest = sorted(windows[key], key=lambda r: (-r[1].timestamp(), r[3].encode()))
+        assert listed == [r[3] for r in newest[:4]]
+        rank = lambda r: (r[4] is None, not (r[4] is not None and math.isnan(r[4])), -abs(r[4]) if r[4] is not None and not math.isnan(r[4]) else 0.0)
+        best = min((*rank(r), -r[1].timestamp(), r[3].encode()) for r in windows[key])
+        assert any(f"Strongest catalyst: {r[2]}." in why for r in windows[key] if (*rank(r), -r[1].timestamp(), r[3].encode()) == best)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = insights.insights_for_days(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    dealt = plan.split("REPARTITION_BY_COL")[1].split("\n")[1]
+    assert "_tie" in dealt and "headline" not in dealt  # only what the midpoint needs is repeated for the windows
